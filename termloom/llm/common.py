@@ -86,7 +86,7 @@ def maybe_in(df: DataFrame, words: DataFrame, slot: Column, flag: str) -> DataFr
     return joined.withColumn(flag, F.coalesce(hit, F.lit(False))).drop("__slot", "__word", "__bits")
 
 
-def lookup(rows: DataFrame, groups: DataFrame, key: str, size: str, n: int, how: str = "inner") -> DataFrame:
+def lookup(rows: DataFrame, groups: DataFrame, key: list[str], size: str, n: int, how: str = "inner") -> DataFrame:
     """Joins ``rows`` with one-row-per-key ``groups``, whose column ``size`` counts the key's rows.
 
     Keys with more than n / HOT of the ``n`` rows (so at most HOT of them) are broadcast and their
@@ -94,7 +94,7 @@ def lookup(rows: DataFrame, groups: DataFrame, key: str, size: str, n: int, how:
     """
     hot = F.col(size) * HOT > F.lit(int(n))
     few = F.broadcast(groups.where(hot))
-    rest = rows.join(F.broadcast(groups.where(hot).select(key)), key, "left_anti")
+    rest = rows.join(F.broadcast(groups.where(hot).select(*key)), key, "left_anti")
     return rows.join(few, key, "inner").unionByName(rest.join(groups.where(~hot), key, how))
 
 

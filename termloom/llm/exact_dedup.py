@@ -57,7 +57,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     single = flagged.where("not suspect").select("id", "__digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     suspects = flagged.where("suspect").select("id", "__digest")
     groups = store.put(_groups(suspects, "id"), "groups")
-    found = lookup(suspects, groups, "__digest", "group_size", n)
+    found = lookup(suspects, groups, ["__digest"], "group_size", n)
     return single.unionByName(found.select(*single.columns)).select(
         F.col("id").alias(id_col), "keep_id", "group_size",
         F.coalesce(F.col("id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"),
