@@ -1,11 +1,234 @@
-"""The registered queries of the lexical engine and their SQL counterparts."""
+"""The registered queries of the lexical engine: each applies one operator to the given tables."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scoring
+from ..functions.scoring import Bm25, Dirichlet, JelinekMercer, TfIdf
+from ..operators import fuzzy, oplog
+from ..operators.index import LexicalIndex
+from ..operators.retrieve import as_queries, candidates, retrieve, score_documents
+from ..sources import lines, oplog_files, snapshot
+from ..streaming.ingest import OpStream
+from .corpus import DOC_IDS, MISSPELT, QUERY, REPEATED, UNSEEN, benchmark_queries, docs, index, ops, table
+from .oracle import SQL
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; one of our own in local mode."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='termloom-')}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _ids(spark: SparkSession, ids: list[int]) -> DataFrame:
+    return spark.range(1).select(F.explode(F.array(*[F.lit(i).cast("long") for i in ids])).alias("doc_id"))
+
+
+def _ranked(params, query=QUERY, k: int = 10, mode: str = "matching"):
+    return lambda spark, d: retrieve(index(spark, d), query, k, params, mode, spark)
+
+
+def _benchmark(params):
+    return lambda spark, d: retrieve(index(spark, d), benchmark_queries(spark, d), 10, params, spark=spark)
+
+
+def _scored(params):
+    def run(spark, d):
+        i = index(spark, d)
+        asked = _ids(spark, DOC_IDS).join(i.document_ids(), "doc_id", "left_semi")
+        return score_documents(i, as_queries(spark, QUERY), asked, params)
+
+    return run
+
+
+def _weights(formula):
+    def run(spark, d):
+        i = index(spark, d)
+        return i.term_stats().select("term", F.round(formula(F.lit(i.scalars().n_docs), F.col("df")), 6).alias("idf"))
+
+    return run
+
+
+def _state(state: DataFrame) -> DataFrame:
+    return state.select("doc_id", F.array_join(F.array_sort("terms"), " ").alias("terms"), F.size("terms").cast("long").alias("doc_len"))
+
+
+def tokenize_docs(spark, d):
+    return docs(spark, d).select("doc_id", F.explode("terms").alias("t")).groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.min("t").alias("first_term"), F.max("t").alias("last_term"))
+
+
+def token_counts(spark, d):
+    return docs(spark, d).select("doc_id", F.size("terms").cast("long").alias("doc_len"))
+
+
+def line_corpus_scan(spark, d):
+    """All texts, in order of id, as one file's lines."""
+    path = _scratch(spark, "lines")
+    table(spark, d, "documents").orderBy("doc_id").select(F.col("text").alias("value")).coalesce(1).write.text(path)
+    corpus = lines.read_corpus(spark, path)
+    return corpus.select("doc_id", F.size("terms").cast("long").alias("n_terms"))
+
+
+def term_frequency_lookup(spark, d):
+    i = index(spark, d)
+    asked = _ids(spark, DOC_IDS).join(i.document_ids(), "doc_id", "left_semi")
+    return i.term_frequency(asked.select("doc_id", F.explode(F.array(*map(F.lit, QUERY))).alias("term")))
+
+
+def _terms(spark, terms):
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, terms))).alias("term"))
+
+
+def upsert_documents(spark, d):
+    """Every document whose id ends in 3 is replaced by one of three terms."""
+    changed = docs(spark, d).where("doc_id % 10 = 3").select("doc_id", F.array(F.lit("a"), F.lit("b"), F.lit("a")).alias("terms"))
+    return index(spark, d).upsert(changed).doc_stats()
+
+
+def delete_documents(spark, d):
+    gone = docs(spark, d).where("doc_id % 10 = 3")
+    return index(spark, d).delete(gone).term_stats().select("term", "df")
+
+
+def log_state_suffix_merge(spark, d):
+    log = ops(spark, d)
+    return _state(oplog.merge(oplog.replay(oplog.prefix(log, 4000)), oplog.suffix(log, 4000)))
+
+
+def log_compact(spark, d):
+    kept = oplog.compacted(oplog.replay(ops(spark, d)))
+    return kept.select("seq", "op", "doc_id", F.array_join(F.array_sort("terms"), " ").alias("terms"))
+
+
+def log_status(spark, d):
+    n = F.count("*")
+    return ops(spark, d).agg(n.alias("records"), F.lit(4000).cast("long").alias("applied"), F.greatest(n - 4000, F.lit(0)).alias("pending"))
+
+
+def log_validate(spark, d):
+    log = ops(spark, d)
+    merged = oplog.merge(oplog.replay(oplog.prefix(log, 4000)), oplog.suffix(log, 4000))
+    return oplog.same_state(merged, oplog.replay(log))
+
+
+def log_infer_applied(spark, d):
+    """A checkpoint of 5,000 records is recognised; later records may leave the state as it was."""
+    log = ops(spark, d)
+    state = oplog.replay(oplog.prefix(log, 5000))
+    found = oplog.infer_applied(log, state, max_scan=10_000_000)
+    same = oplog.same_state(state, oplog.replay(oplog.prefix(log, found)))
+    return same.select(F.least(F.lit(found), F.lit(5000)).cast("long").alias("at_least"), F.col("valid").alias("same_state"))
+
+
+def log_search_bm25(spark, d):
+    return retrieve(LexicalIndex.build(oplog.replay(ops(spark, d))), ["click", "view"], 10, spark=spark)
+
+
+def log_torn_tail_best_effort(spark, d):
+    """A log whose record 7,000 was torn: what stands before it is read."""
+    written = ops(spark, d).select((F.col("seq") - 1).alias("pos"), F.to_json(F.struct("seq", "op", "doc_id", "terms")).alias("line"))
+    torn = written.withColumn("line", F.when(F.col("pos") == 6999, F.expr("substring(line, 1, length(line) - 3)")).otherwise(F.col("line")))
+    return oplog_files.parse_best_effort(torn).select("seq", "op", "doc_id")
+
+
+def stream_ops_replay(spark, d):
+    source = _scratch(spark, "ops")
+    ops(spark, d).repartitionByRange(8, "seq").write.json(source)
+    stream = OpStream(spark, source, _scratch(spark, "stream"))
+    stream.start(max_files=3).awaitTermination()
+    return _state(stream.state())
+
+
+def snapshot_roundtrip(spark, d):
+    path = _scratch(spark, "snapshot")
+    snapshot.save(index(spark, d), spark, path)
+    return snapshot.load(spark, path).postings().select("term", "doc_id", "tf")
+
+
+def _expanded(spark, d):
+    i = index(spark, d)
+    return i, fuzzy.FuzzyVocabulary.of_index(i)
+
+
+QUERIES = {
+    "tokenize_docs": tokenize_docs,
+    "token_counts": token_counts,
+    "line_corpus_scan": line_corpus_scan,
+    "postings_build": lambda s, d: index(s, d).postings().select("term", "doc_id", "tf"),
+    "postings_list_term": lambda s, d: index(s, d).postings_list("the"),
+    "doc_stats": lambda s, d: index(s, d).doc_stats(),
+    "corpus_stats": lambda s, d: index(s, d).corpus_stats().withColumn("avg_doc_len", F.round("avg_doc_len", 6)),
+    "term_stats": lambda s, d: index(s, d).term_stats(),
+    "term_frequency_lookup": term_frequency_lookup,
+    "document_frequency_lookup": lambda s, d: index(s, d).document_frequency(_terms(s, QUERY + UNSEEN)),
+    "document_length_lookup": lambda s, d: index(s, d).document_length(_ids(s, [*DOC_IDS, -7])),
+    "document_ids": lambda s, d: index(s, d).document_ids(),
+    "vocabulary": lambda s, d: index(s, d).terms(),
+    "idf_bm25": _weights(scoring.idf_smoothed),
+    "idf_standard": _weights(scoring.idf_standard),
+    "idf_smoothed": _weights(scoring.idf_smoothed),
+    "tf_linear": lambda s, d: index(s, d).postings().select("term", "doc_id", scoring.tf_linear(F.col("tf")).alias("weight")),
+    "tf_log": lambda s, d: index(s, d).postings().select("term", "doc_id", F.round(scoring.tf_log(F.col("tf")), 6).alias("weight")),
+    "candidates_any_term": lambda s, d: candidates(index(s, d), as_queries(s, QUERY)),
+    "candidates_scan_all": lambda s, d: index(s, d).document_ids().select(F.lit(0).cast("long").alias("query_id"), "doc_id"),
+    "bm25_top10": _ranked(Bm25()),
+    "bm25l_top10": _ranked(Bm25.lower_bounded()),
+    "bm25l_delta_top10": _ranked(Bm25.lower_bounded(0.8)),
+    "bm25plus_top10": _ranked(Bm25.plus()),
+    "bm25plus_delta_top10": _ranked(Bm25.plus(1.7)),
+    "bm25_custom_k1_b": _ranked(Bm25(2.0, 0.3)),
+    "bm25_dup_terms": _ranked(Bm25(), REPEATED),
+    "bm25_unseen_terms": _ranked(Bm25(), UNSEEN),
+    "bm25_score_docs": _scored(Bm25()),
+    "bm25_batch_benchmark": _benchmark(Bm25()),
+    "tfidf_default": _ranked(TfIdf()),
+    "tfidf_linear": _ranked(TfIdf.linear()),
+    "tfidf_smoothed": _ranked(TfIdf.smoothed()),
+    "tfidf_linear_smoothed": _ranked(TfIdf("linear", "smoothed")),
+    "tfidf_batch_benchmark": _benchmark(TfIdf()),
+    "tfidf_score_docs": _scored(TfIdf()),
+    "ql_dirichlet": _ranked(Dirichlet()),
+    "ql_dirichlet_mu": _ranked(Dirichlet.of(250.0)),
+    "ql_jm": _ranked(JelinekMercer()),
+    "ql_jm_lambda": _ranked(JelinekMercer.of(0.2), REPEATED),
+    "ql_dirichlet_scan_all": _ranked(Dirichlet(), QUERY, 50, "scan_all"),
+    "ql_jm_boundary": _ranked(JelinekMercer.of(-1.0)),
+    "ql_fallback_all_docs": _ranked(Dirichlet(), UNSEEN),
+    "ql_batch_benchmark": _benchmark(Dirichlet()),
+    "kgrams_vocab": lambda s, d: _expanded(s, d)[1].grams.select("term", "gram"),
+    "gram_overlap_jaccard": lambda s, d: fuzzy.overlaps(_terms(s, MISSPELT), _expanded(s, d)[1]).withColumn("jaccard", F.round("jaccard", 6)),
+    "fuzzy_expand_term": lambda s, d: fuzzy.expand_terms(_terms(s, MISSPELT), _expanded(s, d)[1]).withColumn("jaccard", F.round("jaccard", 6)),
+    "fuzzy_expand_query": lambda s, d: fuzzy.expand_queries(*_expanded(s, d), as_queries(s, MISSPELT)),
+    "fuzzy_bm25": lambda s, d: fuzzy.fuzzy_retrieve(*_expanded(s, d), MISSPELT, 10, spark=s),
+    "log_replay_state": lambda s, d: _state(oplog.replay(ops(s, d))),
+    "log_state_prefix": lambda s, d: _state(oplog.replay(oplog.prefix(ops(s, d), 5000))),
+    "log_state_suffix_merge": log_state_suffix_merge,
+    "log_compact": log_compact,
+    "log_status": log_status,
+    "log_validate": log_validate,
+    "log_digest_by_prefix": lambda s, d: oplog.digests_by_prefix(ops(s, d)).select("seq", "n_docs"),
+    "log_infer_applied": log_infer_applied,
+    "log_search_bm25": log_search_bm25,
+    "upsert_documents": upsert_documents,
+    "delete_documents": delete_documents,
+    "log_torn_tail_best_effort": log_torn_tail_best_effort,
+    "stream_ops_replay": stream_ops_replay,
+    "snapshot_roundtrip": snapshot_roundtrip,
+}
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
