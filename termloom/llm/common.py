@@ -31,11 +31,16 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{path}"
 
 
+#: Rows and bytes of an Arrow batch: texts may be long, and a worker's memory must not depend on it.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
 class Store:
     """Tables that a job writes to the shared folder so that lost executors cost no recomputation."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
@@ -62,6 +67,15 @@ class Store:
         p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Holds Arrow batches to BATCH_ROWS and BATCH_BYTES, unless the session asks for less."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def power_of_two(n: int) -> int:
     return 1 << max(0, int(n) - 1).bit_length()
 

@@ -4,8 +4,8 @@ Writing: each page becomes three records: a request, a response or revisit, and
 outer two with WARC-Concurrent-To the middle one. Of pages with equal payloads of at least
 MIN_REVISIT bytes the one with the smallest id is the response and the others are revisits, which carry
 the payload's digest and length but not the payload. Spark's text writer writes the archives (gzip), so
-they go wherever Spark can write. Only digests shuffle; a bounded filter of the revisits' row numbers
-lets all other pages go straight from the scan to the archive.
+they go wherever Spark can write. Only digests shuffle; a bounded filter of the repeated ones lets all
+other pages go straight from the scan to the archive.
 
 Reading: Spark's text reader splits an archive at what stands between records, one record after the
 other and never a whole file in memory; a payload that holds this separator itself is put together
@@ -15,7 +15,8 @@ Assembly: request and metadata records find their response or revisit by the con
 identifier, directly or through a record that has one itself, and every capture becomes one nested row.
 
 Defined cases: a null payload is empty; pages without an id are captures too and come last when the
-smallest id is sought; pages that repeat an id are captures of their own. Of several requests (or
+smallest id is sought; rows that repeat the response's id and payload are that response again; other
+rows that repeat an id are captures of their own. Of several requests (or
 metadata records) of a capture the one with the smallest record id is kept and all are counted; records
 that name no capture that is there belong to none. Control characters and spaces in URLs are
 escaped in headers. Columns besides page_id, url and html are ignored. An empty table gives no records
@@ -44,21 +45,16 @@ _BETWEEN = f"\r\n\r\n{VERSION}\r\n"
 _CAPTURES = ("response", "revisit")
 
 
-def _roles(rows: DataFrame, store: Store) -> tuple[DataFrame, int]:
-    """row, refers_row, refers_to of the revisits, and the number of pages."""
-    signed = rows.select("page_id", "row", F.coalesce(F.octet_length("html"), F.lit(0)).alias("bytes"), F.unhex(F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256)).alias("digest"))
-    signed = store.put(signed, "digests")
-    n = signed.count()
-    able = signed.where(F.col("bytes") >= MIN_REVISIT)
-    firsts = able.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    firsts = store.put(firsts, "firsts")
-    found = lookup(able, firsts, ["digest"], "n", n).where("row <> first.row")
-    return store.put(found.select("row", F.col("first.row").alias("refers_row"), F.col("first.page_id").alias("refers_to")), "revisits"), n
+def _firsts(pages: DataFrame, store: Store) -> tuple[DataFrame, int]:
+    """hash, first, n: the smallest id of each payload that several pages have; and the number of pages."""
+    signed = store.put(pages.select("page_id", F.octet_length("html").alias("size"), "hash"), "digests")
+    groups = signed.where(F.col("size") >= MIN_REVISIT).groupBy("hash").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    return store.put(groups, "firsts"), signed.count()
 
 
-def _name(page: str, row: str, part: str) -> str:
-    """SQL for a record's identifier."""
-    return f"concat('<urn:page:', coalesce(cast({page} as string), ''), ':', {row}, ':{part}>')"
+def _name(page: str, part: str) -> str:
+    """SQL for a record's identifier; a page's id and its payload's digest name a capture."""
+    return f"concat('<urn:page:', coalesce(cast({page} as string), ''), ':', digest, ':{part}>')"
 
 
 def _record(kind: str, name: str, headers: list[str], block: str) -> str:
@@ -69,40 +65,38 @@ def _record(kind: str, name: str, headers: list[str], block: str) -> str:
 
 
 def _transactions(rows: DataFrame) -> DataFrame:
-    """One text per page: its three records. Pages with refers_row are revisits."""
+    """One text per page: its three records. Pages with a ``first`` other than their own id are revisits."""
     uri = F.coalesce("url", F.lit(""))
     for plain, escaped in ((" ", "%20"), ("\r", "%0D"), ("\n", "%0A"), ("\t", "%09")):
         uri = F.replace(uri, F.lit(plain), F.lit(escaped))
     host = F.regexp_extract(uri, "://([^/?#]*)", 1)
     payload = "coalesce(html, '')"
     http = "concat('HTTP/1.1 200 OK\\r\\nContent-Type: text/html; charset=utf-8\\r\\nContent-Length: ', bytes, '\\r\\n\\r\\n')"
-    main = _name("page_id", "row", "capture")
+    main = _name("page_id", "capture")
     digest = "concat('WARC-Payload-Digest: sha256:', digest)"
     to_main = f"concat('WARC-Concurrent-To: ', {main})"
-    request = _record("request", _name("page_id", "row", "request"), [to_main, "'Content-Type: application/http; msgtype=request'"], "concat('GET ', uri, ' HTTP/1.1\\r\\nHost: ', host, '\\r\\n\\r\\n')")
+    request = _record("request", _name("page_id", "request"), [to_main, "'Content-Type: application/http; msgtype=request'"], "concat('GET ', uri, ' HTTP/1.1\\r\\nHost: ', host, '\\r\\n\\r\\n')")
     response = _record("response", main, [digest, "'Content-Type: application/http; msgtype=response'"], f"concat({http}, {payload})")
     revisit = _record(
         "revisit", main,
-        [digest, f"'WARC-Profile: {REVISIT_PROFILE}'", f"concat('WARC-Refers-To: ', {_name('refers_to', 'refers_row', 'capture')})", "'Content-Type: application/http; msgtype=response'"],
+        [digest, f"'WARC-Profile: {REVISIT_PROFILE}'", f"concat('WARC-Refers-To: ', {_name('first', 'capture')})", "'Content-Type: application/http; msgtype=response'"],
         http,
     )
-    metadata = _record("metadata", _name("page_id", "row", "metadata"), [to_main, "'Content-Type: application/warc-fields'"], "concat('page_id: ', coalesce(cast(page_id as string), ''), '\\r\\n')")
-    ready = rows.withColumn("uri", F.regexp_replace(uri, r"[\x00-\x1F\x7F]", "")).withColumn("host", host).withColumn("bytes", F.coalesce(F.octet_length("html"), F.lit(0))).withColumn("digest", F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256))
+    metadata = _record("metadata", _name("page_id", "metadata"), [to_main, "'Content-Type: application/warc-fields'"], "concat('page_id: ', coalesce(cast(page_id as string), ''), '\\r\\n')")
+    ready = rows.withColumn("uri", F.regexp_replace(uri, r"[\x00-\x1F\x7F]", "")).withColumn("host", host).withColumn("bytes", F.coalesce(F.octet_length("html"), F.lit(0))).withColumn("digest", F.lower(F.hex("hash")))
     # the writer's line end is the second of the two that close the last record
-    return ready.select(F.expr(f"concat({request}, '\\r\\n', CASE WHEN refers_row IS NULL THEN {response} ELSE {revisit} END, '\\r\\n', {metadata})").alias("value"))
+    return ready.select(F.expr(f"concat({request}, '\\r\\n', CASE WHEN first IS NULL OR first <=> page_id THEN {response} ELSE {revisit} END, '\\r\\n', {metadata})").alias("value"))
 
 
 def write(pages: DataFrame, path: str, store: Store) -> None:
     """Writes the captures of ``pages`` (page_id, url, html) as WARC archives below ``path``."""
-    # row numbers only tell rows apart; input that is shuffled anew each time would change them
-    rows = pages.select("page_id", "url", "html", F.monotonically_increasing_id().alias("row"))
-    revisits, n = _roles(rows, store)
-    slots = power_of_two(max(n, 1) * 16)
-    words = bit_filter(revisits.select(F.expr(f"pmod(xxhash64(row), {slots}L)").alias("slot")))
-    marked = maybe_in(rows, words, F.expr(f"pmod(xxhash64(row), {slots}L)"), "maybe")
-    none = [F.lit(None).cast("long").alias("refers_row"), F.lit(None).cast(rows.schema["page_id"].dataType).alias("refers_to")]
-    plain = marked.where("not maybe").select(*rows.columns, *none)
-    others = marked.where("maybe").select(*rows.columns).join(revisits, "row", "left")
+    rows = pages.select("page_id", "url", "html", F.unhex(F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256)).alias("hash"))
+    firsts, n = _firsts(rows, store)
+    slot = F.expr(f"pmod(xxhash64(hash), {power_of_two(max(n, 1) * 64)}L)")
+    words = store.put(bit_filter(firsts.select(slot.alias("slot"))), "filter")
+    marked = maybe_in(rows, words, slot, "maybe")
+    plain = marked.where("not maybe").select(*rows.columns, F.lit(None).cast(rows.schema["page_id"].dataType).alias("first"))
+    others = lookup(marked.where("maybe").select(*rows.columns), firsts, ["hash"], "n", n, "left").select(*plain.columns)
     _transactions(plain.unionByName(others)).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
@@ -209,7 +203,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     records = store.put(read(pages.sparkSession, path, with_block=False), "records")
     kind = pages.schema["page_id"].dataType
     page = F.expr("nullif(regexp_extract(metadata.fields, 'page_id: ([^\\\\r]*)', 1), '')").cast(kind)
-    refers = F.expr("nullif(regexp_extract(capture.refers_to, '^<urn:page:(.*):[0-9]+:capture>$', 1), '')").cast(kind)
+    refers = F.expr("nullif(regexp_extract(capture.refers_to, '^<urn:page:(.*):[0-9a-f]+:capture>$', 1), '')").cast(kind)
     return assemble(records).select(
         page.alias("page_id"), F.col("capture.payload_bytes").alias("payload_bytes"), F.col("capture.payload_digest").alias("payload_digest"),
         F.col("capture.type").alias("record_type"), refers.alias("refers_to"),
