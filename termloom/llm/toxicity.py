@@ -1,8 +1,9 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine in a block-max inverted index.
 
-Features are a text's words (runs of letters, lower-cased) and their first four and five letters. Of
+Features are a text's words (runs of letters, lower-cased), their first four and five letters, and for
+each of these whether it is there twice, three times and so on (LEVELS). Of
 those in the examples, the FEATURES whose presence says most about the label (log-likelihood ratio at
-least MIN_RATIO) are the vocabulary; weights are (1 + ln tf) * idf over it, and vectors have length one.
+least MIN_RATIO, and MIN_LIFT times as frequent under one label) are the vocabulary; weights are (1 + ln tf) * idf over it, and vectors have length one.
 
 Examples stand in blocks of BLOCK; for each feature the index keeps the blocks that have it, with the
 largest weight in each. A query's bound for a block is the sum of its weights times these maxima. Blocks
@@ -39,23 +40,40 @@ PER_LABEL = 3000
 #: Features in the vocabulary at most.
 FEATURES = 4096
 MIN_RATIO = 10.0
+MIN_LIFT = 2.0
 NEIGHBOURS = 15
 BLOCK = 64
 PRIOR = 0.5
 THRESHOLD = 0.3
 
+#: Lengths of the prefixes, and counts that are features of their own.
+PREFIXES = (4, 5)
+LEVELS = (2, 3, 5, 8)
+
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def _names(word: str) -> list[str]:
+    return [word, *(f"^{word[:n]}" for n in PREFIXES if len(word) > n)]
+
+
+def _leveled(counts: Counter) -> Counter:
+    """Adds a feature for every level of LEVELS that a feature's count reaches."""
+    out = Counter(counts)
+    for f, n in counts.items():
+        for level in LEVELS:
+            if n < level:
+                break
+            out[f"{f}#{level}"] = 1
+    return out
+
+
 def _feature_counts(text: str | None) -> Counter:
     out: Counter = Counter()
     for w, n in Counter(_WORD.findall((text or "").lower())).items():
-        out[w] += n
-        if len(w) > 4:
-            out["^" + w[:4]] += n
-        if len(w) > 5:
-            out["^" + w[:5]] += n
-    return out
+        for f in _names(w):
+            out[f] += n
+    return _leveled(out)
 
 
 def _ratio(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> np.ndarray:
@@ -83,6 +101,8 @@ class Neighbours:
         with_0, with_1 = (np.array([present[f][x] for f in names], dtype=np.float64) for x in (0, 1))
         n1 = int(y.sum())
         ratio = _ratio(with_1, with_0, n1, n - n1) if 0 < n1 < n else np.zeros(len(names))
+        lift = ((with_1 + 0.5) / (n1 + 1)) / ((with_0 + 0.5) / (n - n1 + 1))
+        ratio[np.maximum(lift, 1 / lift) < MIN_LIFT] = 0
         best = [i for i in np.lexsort((np.arange(len(names)), -ratio))[:features] if ratio[i] >= MIN_RATIO]
         self.vocabulary = {names[i]: j for j, i in enumerate(best)}
         df = (with_0 + with_1)[best] if best else np.empty(0)
@@ -183,19 +203,20 @@ class Reader:
 
     def __init__(self, model: Neighbours, remembered: int = 500_000):
         self.model, self.remembered, self.known = model, remembered, {}
+        self.asked = {f.split("#")[0] for f in model.vocabulary}
 
     def __call__(self, text: str | None) -> Counter:
         out: Counter = Counter()
-        known, vocabulary = self.known, self.model.vocabulary
+        known, asked = self.known, self.asked
         if len(known) > self.remembered:
             known.clear()
         for w, n in Counter(_WORD.findall((text or "").lower())).items():
             own = known.get(w)
             if own is None:
-                own = known[w] = tuple(f for f in (w, "^" + w[:4] if len(w) > 4 else "", "^" + w[:5] if len(w) > 5 else "") if f in vocabulary)
+                own = known[w] = tuple(f for f in _names(w) if f in asked)
             for f in own:
                 out[f] += n
-        return out
+        return _leveled(out) if out else out
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, k: int = NEIGHBOURS) -> Neighbours:
