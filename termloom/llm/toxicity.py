@@ -5,8 +5,8 @@ each of these whether it is there twice, three times and so on (LEVELS). Of
 those in the examples, the FEATURES whose presence says most about the label (log-likelihood ratio at
 least MIN_RATIO, and MIN_LIFT times as frequent under one label) are the vocabulary; weights are (1 + ln tf) * idf over it, and vectors have length one.
 
-Examples stand in blocks of BLOCK; for each feature the index keeps the blocks that have it, with the
-largest weight in each. A query's bound for a block is the sum of its weights times these maxima. Blocks
+Examples stand in blocks of BLOCK, like by like; for each feature the index keeps the largest weight in
+each block. A query's bound for a block is the sum of its weights times these maxima. Blocks
 are scored exactly in order of falling bound until the next bound cannot beat the k-th best, so the
 neighbours are exactly the k nearest; equals are all of one similarity, and the smaller id goes first.
 
@@ -33,14 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, may_train
+from .common import Store, held_out, may_train
 
 #: Examples of each label at most.
-PER_LABEL = 3000
+PER_LABEL = 2000
 #: Features in the vocabulary at most.
-FEATURES = 4096
+FEATURES = 1024
 MIN_RATIO = 10.0
 MIN_LIFT = 2.0
+#: Of one label's examples, at least this share has a feature of the vocabulary.
+MIN_SHARE = 0.02
 NEIGHBOURS = 15
 BLOCK = 64
 PRIOR = 0.5
@@ -76,37 +78,32 @@ def _feature_counts(text: str | None) -> Counter:
     return _leveled(out)
 
 
-def _ratio(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> np.ndarray:
-    """Log-likelihood ratio of presence in a of na and b of nb texts."""
-    def part(k, n, p):
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(k > 0, k * np.log(p), 0) + np.where(n - k > 0, (n - k) * np.log1p(-p), 0)
+def _telling(n0: int, n1: int) -> tuple[str, str]:
+    """SQL for the log-likelihood ratio of a feature in with_0 of n0 and with_1 of n1 texts, and for its lift."""
+    share = "((with_0 + with_1) / {n}D)".format(n=n0 + n1)
 
-    p = (a + b) / (na + nb)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return 2 * (part(a, na, a / na) + part(b, nb, b / nb) - part(a, na, p) - part(b, nb, p))
+    def part(k: str, n: int, p: str) -> str:
+        return f"(CASE WHEN {k} > 0 THEN {k} * ln({p}) ELSE 0D END + CASE WHEN {k} < {n} THEN ({n} - {k}) * ln(1 - {p}) ELSE 0D END)"
+
+    own = part("with_1", n1, f"(with_1 / {n1}D)") + " + " + part("with_0", n0, f"(with_0 / {n0}D)")
+    lift = f"(((with_1 + 0.5D) / {n1 + 1}D) / ((with_0 + 0.5D) / {n0 + 1}D))"
+    return f"2 * ({own} - {part('with_1', n1, share)} - {part('with_0', n0, share)})", f"greatest({lift}, 1 / {lift})"
 
 
 class Neighbours:
     """Labelled examples, their block-max index and the calibration of votes."""
 
-    def __init__(self, ids: list[int], counts: list[dict[str, int]], labels: list[int], k: int = NEIGHBOURS, features: int = FEATURES):
+    def __init__(self, ids: list[int], counts: list[dict[str, int]], labels: list[int], vocabulary: list[str], k: int = NEIGHBOURS):
         self.k, n = k, len(ids)
         y = np.array(labels, dtype=np.float64)
-        present: dict[str, list[int]] = {}
-        for c, label in zip(counts, labels):
+        self.vocabulary = {f: j for j, f in enumerate(vocabulary)}
+        df = np.zeros(len(vocabulary))
+        for c in counts:
             for f in c:
-                present.setdefault(f, [0, 0])[label] += 1
-        names = sorted(present)
-        with_0, with_1 = (np.array([present[f][x] for f in names], dtype=np.float64) for x in (0, 1))
-        n1 = int(y.sum())
-        ratio = _ratio(with_1, with_0, n1, n - n1) if 0 < n1 < n else np.zeros(len(names))
-        lift = ((with_1 + 0.5) / (n1 + 1)) / ((with_0 + 0.5) / (n - n1 + 1))
-        ratio[np.maximum(lift, 1 / lift) < MIN_LIFT] = 0
-        best = [i for i in np.lexsort((np.arange(len(names)), -ratio))[:features] if ratio[i] >= MIN_RATIO]
-        self.vocabulary = {names[i]: j for j, i in enumerate(best)}
-        df = (with_0 + with_1)[best] if best else np.empty(0)
+                if f in self.vocabulary:
+                    df[self.vocabulary[f]] += 1
         self.idf = np.log((1 + n) / (1 + df)) + 1
+        self.seen: dict[tuple, tuple] = {}
         vectors = [self.vector(c) for c in counts]
         bare = np.array([not len(v[0]) for v in vectors])
         # of texts without any feature: their own share of label 1
@@ -130,40 +127,31 @@ class Neighbours:
         return at, w / np.sqrt((w * w).sum()) if own else w
 
     def _index(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        postings: dict[int, list[tuple[int, float]]] = {}
-        for i, (at, w) in enumerate(vectors):
-            for f, x in zip(at.tolist(), w.tolist()):
-                postings.setdefault(f, []).append((i, x))
-        # of each feature: the blocks that have it, the largest weight there, and each block's rows and weights
-        self.lists = {}
-        for f, found in postings.items():
-            rows, weights = np.array([i for i, _ in found]), np.array([x for _, x in found])
-            blocks, starts = np.unique(rows // BLOCK, return_index=True)
-            self.lists[f] = (blocks, np.maximum.reduceat(weights, starts), dict(zip(blocks.tolist(), zip(np.split(rows % BLOCK, starts[1:]), np.split(weights, starts[1:])))))
         self.blocks = -(-len(vectors) // BLOCK)
+        # the examples' weights, block by block, and of each feature the largest weight in each block
+        self.weights = np.zeros((self.blocks, BLOCK, len(self.vocabulary)))
+        for i, (at, w) in enumerate(vectors):
+            self.weights[i // BLOCK, i % BLOCK, at] = w
+        self.most = np.ascontiguousarray(self.weights.max(axis=1).T) if self.blocks else np.zeros((len(self.vocabulary), 0))
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the k nearest examples that share a feature; ``without`` is left out."""
-        bound = np.zeros(self.blocks)
-        for f, x in zip(at.tolist(), w.tolist()):
-            if f in self.lists:
-                blocks, most, _ = self.lists[f]
-                bound[blocks] += x * most
-        rows, scores, least = np.empty(0, np.int64), np.empty(0), 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(rows) >= k and bound[b] < least - 1e-12:
+        bound = w @ self.most[at]
+        order = np.argsort(-bound, kind="stable")
+        rows, scores, least, some = np.empty(0, np.int64), np.empty(0), 0.0, 4
+        for s in range(0, len(order), some):
+            if bound[order[s]] <= 0 or len(rows) >= k and bound[order[s]] < least - 1e-12:
                 break
-            got = np.zeros(BLOCK)
-            for f, x in zip(at.tolist(), w.tolist()):
-                part = self.lists[f][2].get(b) if f in self.lists else None
-                if part is not None:
-                    got[part[0]] += x * part[1]
-            hit = np.flatnonzero(got > 0)
-            hit = hit[hit + b * BLOCK != without]
-            rows, scores = np.concatenate((rows, hit + b * BLOCK)), np.concatenate((scores, got[hit]))
+            blocks = order[s : s + some]
+            got = self.weights[blocks[:, None], :, at].transpose(0, 2, 1) @ w
+            b, i = np.nonzero(got > 0)
+            found = blocks[b] * BLOCK + i
+            if without >= 0:
+                b, i, found = b[found != without], i[found != without], found[found != without]
+            rows, scores = np.concatenate((rows, found)), np.concatenate((scores, got[b, i]))
             if len(rows) > k:
-                order = np.lexsort((self.ids[rows], -np.round(scores, 12)))[:k]
-                rows, scores = rows[order], scores[order]
+                best = np.lexsort((self.ids[rows], -np.round(scores, 12)))[:k]
+                rows, scores = rows[best], scores[best]
             if len(rows) == k:
                 least = scores.min()
         return rows, scores
@@ -189,6 +177,14 @@ class Neighbours:
 
     def score(self, counts: dict[str, int]) -> tuple[float, list[tuple[int, float, int]]]:
         """Score, and as evidence the nearest examples: id, cosine, label."""
+        key = tuple(sorted(counts.items()))
+        if key not in self.seen:  # short lists of features come again and again
+            if len(self.seen) > 50_000:
+                self.seen.clear()
+            self.seen[key] = self._score(counts)
+        return self.seen[key]
+
+    def _score(self, counts: dict[str, int]) -> tuple[float, list[tuple[int, float, int]]]:
         at, w = self.vector(counts)
         if not len(at) or not len(self.ids):
             return self.bare, []
@@ -216,13 +212,13 @@ class Reader:
                 own = known[w] = tuple(f for f in _names(w) if f in asked)
             for f in own:
                 out[f] += n
-        return _leveled(out) if out else out
+        return Counter({f: n for f, n in _leveled(out).items() if f in self.model.vocabulary}) if out else out
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, k: int = NEIGHBOURS) -> Neighbours:
+def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, k: int = NEIGHBOURS, features: int = FEATURES) -> Neighbours:
     """The model from the labelled training rows.
 
-    The driver gets at most 2 * ``per_label`` examples: ids, labels and the counts of their features.
+    The driver gets at most 2 * ``per_label`` examples with their counts of at most ``features`` features.
     """
     spark = docs.sparkSession
     known = labels.where(F.col("toxic").isin(0, 1) & may_train(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -230,7 +226,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, k: int
     for label in (0, 1):
         chosen += known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label).collect()
     if not chosen:
-        return Neighbours([], [], [], k)
+        return Neighbours([], [], [], [], k)
     picked = spark.createDataFrame([tuple(r) for r in chosen], known.schema)
     # bounded by per_label, whatever the input
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text")
@@ -242,14 +238,21 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, k: int
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     counted = texts.mapInArrow(count, f"doc_id {kind}, toxic int, names array<string>, counts array<long>")
-    # of features in one example only nothing can be told; they need not travel
-    common = counted.select(F.explode("names").alias("name")).groupBy("name").count().where("count >= 3").select("name")
     slim = counted.select("doc_id", "toxic", F.explode(F.arrays_zip("names", "counts")).alias("f")).select("doc_id", "toxic", F.col("f.names").alias("name"), F.col("f.counts").alias("n"))
-    rows = slim.join(common, "name", "left_semi").groupBy("doc_id", "toxic").agg(F.collect_list("name").alias("names"), F.collect_list("n").alias("counts")).toArrow()
-    have = {i: (t, dict(zip(a, c))) for i, t, a, c in zip(*(rows[c].to_pylist() for c in ("doc_id", "toxic", "names", "counts")))}
-    ids = sorted(r["doc_id"] for r in chosen)
-    label = {r["doc_id"]: r["toxic"] for r in chosen}
-    return Neighbours(ids, [have[i][1] if i in have else {} for i in ids], [label[i] for i in ids], k)
+    slim = Store(spark, "toxicity").put(slim, "features")
+    ids, label = sorted(r["doc_id"] for r in chosen), {r["doc_id"]: r["toxic"] for r in chosen}
+    n1 = sum(label.values())
+    vocabulary = []
+    if 0 < n1 < len(ids):
+        ratio, lift = _telling(len(ids) - n1, n1)
+        with_1 = F.sum("toxic").alias("with_1")
+        counts = slim.groupBy("name").agg(with_1, F.count("*").alias("all")).withColumn("with_0", F.col("all") - F.col("with_1"))
+        telling = counts.withColumn("ratio", F.expr(ratio)).where(F.expr(f"ratio >= {MIN_RATIO} AND {lift} >= {MIN_LIFT} AND greatest(with_0 / {len(ids) - n1}D, with_1 / {n1}D) >= {MIN_SHARE}"))
+        vocabulary = [r["name"] for r in telling.orderBy(F.desc(F.round("ratio", 6)), "name").limit(features).collect()]
+    names = spark.range(1).select(F.explode(F.array(*map(F.lit, vocabulary)).cast("array<string>")).alias("name"))
+    rows = slim.join(F.broadcast(names), "name").groupBy("doc_id").agg(F.collect_list("name").alias("names"), F.collect_list("n").alias("counts")).toArrow()
+    have = {i: dict(zip(a, c)) for i, a, c in zip(*(rows[c].to_pylist() for c in ("doc_id", "names", "counts")))}
+    return Neighbours(ids, [have.get(i, {}) for i in ids], [label[i] for i in ids], vocabulary, k)
 
 
 def score(docs: DataFrame, model: Neighbours, threshold: float = THRESHOLD) -> DataFrame:

@@ -391,7 +391,7 @@ def test_block_max_search_is_exact():
     rng = random.Random(13)
     counts = [Counter(rng.choices([f"f{k}" for k in range(40)], k=rng.randrange(1, 9))) for _ in range(500)]
     labels = [int("f1" in c or "f2" in c) if rng.random() < 0.9 else rng.randrange(2) for c in counts]
-    model = toxicity.Neighbours(list(range(500)), counts, labels, k=7)
+    model = toxicity.Neighbours(list(range(500)), counts, labels, [f"f{k}" for k in range(0, 40, 2)], k=7)
     vectors = {i: dict(zip(*[x.tolist() for x in model.vector(counts[i])])) for i in range(500)}
     for q in range(0, 500, 25):
         at, w = model.vector(counts[q])
