@@ -10,12 +10,13 @@ collisions of 64-bit shingle hashes and 128-bit set hashes.
    last; any order gives the same links.
 2. A linking pair shares a shingle of both prefixes. Documents with equal size and prefix form one
    group with one entry for each prefix shingle; equal sets are one class within it. Shingles of a
-   single group are dropped, and of shingles with exactly the same groups one is enough.
+   single group are dropped (a bounded filter spares most of them the shuffle), and of shingles with
+   exactly the same groups one is enough.
 3. Each remaining list of classes picks a leader by a hash of its own, and leaders are checked with
    their list. That finds nearly all components without comparing all members of a list.
 4. Lists whose members are in several components are compared in blocks: all those outside the list's
-   largest component against everyone. Set sizes and 512-bit parity sketches (whose Hamming distance
-   bounds the symmetric difference from below) leave few pairs.
+   largest component against everyone. Set sizes, the places of the shared shingle in both prefixes and
+   parity sketches (whose Hamming distance bounds the symmetric difference from below) leave few pairs.
 5. Pairs that survive are checked on the whole sets, as in step 3.
 
 So no link between different components is lost, and no list is held or expanded as a whole.
@@ -41,10 +42,12 @@ from .common import Store, bit_filter, components, lookup, maybe_in, power_of_tw
 
 WIDTH = 4
 PERCENT = 85
-#: log2 of the counters: 2^22 bytes are sent to each worker, whatever the input.
-COUNTER_BITS = 22
-#: Counters travel in so many pieces.
+#: log2 of the counters: 2^24 bytes are sent to each worker, whatever the input.
+COUNTER_BITS = 24
+#: Counters travel in so many pieces, after so many documents at most.
 COUNTER_PIECES = 64
+COUNTED = 60_000
+#: Bits of the smallest sketch; larger sets have two to four bits for each shingle.
 SKETCH_BITS = 512
 #: Rows of one side of a block.
 BLOCK = 4096
@@ -80,7 +83,9 @@ def _longs(raw: bytes) -> np.ndarray:
 
 
 def sketch(one: np.ndarray) -> np.ndarray:
-    odd = np.bincount((one & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    """Parities of the set's slots. Halving (exclusive or of both halves) gives the next smaller sketch."""
+    bits = max(SKETCH_BITS, power_of_two(2 * len(one)))
+    odd = np.bincount((one & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -100,19 +105,27 @@ def _frequencies(texts: DataFrame, width: int) -> np.ndarray:
     each = (1 << COUNTER_BITS) // COUNTER_PIECES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << COUNTER_BITS, dtype=np.uint32)
+        seen, left = np.zeros(1 << COUNTER_BITS, dtype=np.uint16), COUNTED
+
+        def pieces() -> pa.RecordBatch:
+            full = [k for k in range(COUNTER_PIECES) if seen[k * each : (k + 1) * each].any()]
+            packed = [zlib.compress(seen[k * each : (k + 1) * each].tobytes(), 1) for k in full]
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(packed, pa.binary())], ["piece", "counts"])
+
         for _, column in _texts(batches, 0):
             for t in column:
                 seen[_slots(shingles(t.as_py(), width))] += 1
-        full = [k for k in range(COUNTER_PIECES) if seen[k * each : (k + 1) * each].any()]
-        packed = [zlib.compress(seen[k * each : (k + 1) * each].tobytes(), 1) for k in full]
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(packed, pa.binary())], ["piece", "counts"])
+            left -= len(column)
+            if left < 256:
+                yield pieces()
+                seen[:], left = 0, COUNTED
+        yield pieces()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for piece, counts in zip(b.column(0).to_pylist(), b.column(1)):
-                got = np.frombuffer(zlib.decompress(counts.as_py()), dtype=np.uint32)
+                got = np.frombuffer(zlib.decompress(counts.as_py()), dtype=np.uint16)
                 sums[piece] = sums[piece] + got if piece in sums else got.astype(np.uint64)
         coarse = [np.minimum(255, np.log2(1.0 + x) * 8).astype(np.uint8).tobytes() for x in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(coarse, pa.binary())], ["piece", "counts"])
@@ -149,6 +162,24 @@ def _profiles(given: DataFrame, frequencies: np.ndarray, width: int, percent: in
     return given.mapInArrow(make, f"doc_id {kind}, n long, c1 long, c2 long, g1 long, g2 long, prefix array<long>, sketch array<long>")
 
 
+def _shared_entries(prefixes: DataFrame, store: Store, n: int) -> DataFrame:
+    """token, g, pos: the entries of prefix shingles that several groups may have, once each.
+
+    ``prefixes`` has c1, c2, g, prefix of every document with words. Of equal sets one is taken; only rows
+    that may have an equal shuffle for that. A shingle moves only as a slot number until a second one
+    is known to share its slot. ``g`` is a hash of the group; groups that collide are compared as one.
+    """
+    set_slot = F.expr(f"pmod(xxhash64(c1, c2), {power_of_two(max(n, 1) * 64)}L)")
+    again = prefixes.select(set_slot.alias("slot")).groupBy("slot").count().where("count > 1")
+    marked = maybe_in(prefixes, store.put(bit_filter(again), "equal-sets"), set_slot, "again")
+    one_each = marked.where("not again").select("g", "prefix").unionByName(marked.where("again").dropDuplicates(["c1", "c2"]).select("g", "prefix"))
+    total = prefixes.agg(F.sum(F.size("prefix"))).first()[0] or 1
+    slot = F.expr(f"pmod(token, {power_of_two(total * 32)}L)")
+    entries = one_each.select("g", F.posexplode("prefix").alias("pos", "token"))
+    twice = entries.select(slot.alias("slot")).groupBy("slot").count().where("count > 1")
+    return maybe_in(entries, store.put(bit_filter(twice), "shared-shingles"), slot, "shared").where("shared").select("token", "g", "pos").distinct()
+
+
 def _sets(given: DataFrame, nodes: DataFrame, width: int, n: int) -> DataFrame:
     """k and its whole set for the classes ``nodes`` (k, c1, c2, min_doc), from the texts once more.
 
@@ -164,20 +195,29 @@ def _sets(given: DataFrame, nodes: DataFrame, width: int, n: int) -> DataFrame:
             keys = np.array([_longs(xxhash.xxh3_128_digest(s.tobytes())) for s in sets]).T
             yield pa.RecordBatch.from_arrays([*map(pa.array, keys), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["c1", "c2", "shingles"])
 
-    made = rows.mapInArrow(make, "c1 long, c2 long, shingles array<long>")
-    return made.join(nodes.select("k", "c1", "c2"), ["c1", "c2"]).select("k", "shingles").dropDuplicates(["k"])
+    made = rows.mapInArrow(make, "c1 long, c2 long, shingles array<long>").dropDuplicates(["c1", "c2"])
+    return made.join(nodes.select("k", "c1", "c2"), ["c1", "c2"]).select("k", "shingles")
 
 
 def _near(percent: int) -> str:
-    """Whether sketches and sizes of a and b leave a link possible."""
-    far = "aggregate(zip_with(sketch_a, sketch_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
-    return f"{100 + percent} * (n_a + n_b - {far}) >= {2 * percent} * (n_a + n_b)"
+    """Whether sizes, sketches and what is left from the first common shingle on leave a link possible."""
+    half = lambda x: f"zip_with(slice({x}, 1, cast(size({x}) / 2 as int)), slice({x}, cast(size({x}) / 2 as int) + 1, cast(size({x}) / 2 as int)), (p, q) -> p ^ q)"
+    far = lambda x, y: f"aggregate(zip_with({x}, {y}, (p, q) -> bit_count(p ^ q)), 0, (s, x) -> s + x)"
+    a, b, s = "sketch_a", "sketch_b", "(n_a + n_b)"
+    apart = f"CASE WHEN size({a}) = size({b}) THEN {far(a, b)} WHEN size({a}) = 2 * size({b}) THEN {far(half(a), b)} WHEN size({b}) = 2 * size({a}) THEN {far(a, half(b))} ELSE 0 END"
+    return f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) AND {100 + percent} * most >= {percent} * {s} AND {100 + percent} * ({s} - {apart}) >= {2 * percent} * {s}"
+
 
+def _checked(pairs: DataFrame, classes: DataFrame, given: DataFrame, width: int, percent: int, n: int, store: Store) -> DataFrame:
+    """Of the pairs (a, b, most) of classes those that link; only sets of likely pairs are made again.
 
-def _checked(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b) of classes those that link."""
+    ``most`` bounds what the sets have in common, if the shingle that paired them is their first.
+    """
     of = lambda x: classes.select(F.col("k").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    likely = pairs.join(of("a"), "a").join(of("b"), "b").where(_near(percent)).select("a", "b")
+    likely = store.put(pairs.join(of("a"), "a").join(of("b"), "b").where(_near(percent)).select("a", "b"), "likely")
+    asked = likely.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+    nodes = store.put(classes.select("k", "c1", "c2", "min_doc").join(asked, "k", "left_semi"), "nodes")
+    sets = store.put(_sets(given, nodes, width, n), "sets")
     whole = lambda x: sets.select(F.col("k").alias(x), F.col("shingles").alias(f"set_{x}"))
     both = likely.join(whole("a"), "a").join(whole("b"), "b")
     common = F.expr("cast(size(array_intersect(set_a, set_b)) as long)")
@@ -186,39 +226,55 @@ def _checked(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int
 
 def _across(lists: DataFrame, classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of one list and different components that may link, each list in blocks."""
-    placed = lists.join(roots.select(F.col("node").alias("k"), "root"), "k", "left").select("token", "k", F.coalesce("root", "k").alias("root"))
+    placed = lists.join(roots.select(F.col("node").alias("k"), "root"), "k", "left").select("token", "k", "left", F.coalesce("root", "k").alias("root"))
     parts = placed.groupBy("token", "root").agg(F.count("*").alias("m"))
     tokens = parts.groupBy("token").agg(F.max(F.struct("m", "root")).alias("most"), F.sum("m").alias("total"), F.count("*").alias("parts")).where("parts > 1").select(
         "token", F.col("most.root").alias("bulk"), F.expr(f"(total + {BLOCK - 1}) div {BLOCK}").alias("blocks"), F.expr(f"(total - most.m + {BLOCK - 1}) div {BLOCK}").alias("minor_blocks")
     )
     rows = placed.join(tokens, "token").join(classes.select("k", "n", "sketch"), "k").withColumn("h", F.xxhash64("k", F.lit("block")))
-    fields = ["token", "k", "root", "n", "sketch"]
-    right = rows.select(*fields, F.lit(0).alias("left"), F.explode(F.expr("sequence(0L, minor_blocks - 1)")).alias("u"), F.expr("pmod(h, blocks)").alias("v"))
-    left = rows.where("root <> bulk").select(*fields, F.lit(1).alias("left"), F.expr("pmod(h, minor_blocks)").alias("u"), F.explode(F.expr("sequence(0L, blocks - 1)")).alias("v"))
-    units = right.unionByName(left).repartition("token", "u", "v").sortWithinPartitions("token", "u", "v", "left", "k")
+    fields = ["token", "k", "root", "n", "left", "sketch"]
+    right = rows.select(*fields, F.lit(0).alias("asks"), F.explode(F.expr("sequence(0L, minor_blocks - 1)")).alias("u"), F.expr("pmod(h, blocks)").alias("v"))
+    others = rows.where("root <> bulk").select(*fields, F.lit(1).alias("asks"), F.expr("pmod(h, minor_blocks)").alias("u"), F.explode(F.expr("sequence(0L, blocks - 1)")).alias("v"))
+    units = right.unionByName(others).repartition("token", "u", "v").sortWithinPartitions("token", "u", "v", "asks", "k")
 
-    def compare(k: np.ndarray, root: np.ndarray, n: np.ndarray, sk: np.ndarray, split: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def compare(k: np.ndarray, root: np.ndarray, n: np.ndarray, rest: np.ndarray, sk: list[np.ndarray], split: int) -> Iterator[tuple]:
         """The first ``split`` rows are everyone of the block, the others those to compare with them."""
-        for at in range(split, len(k), 64):
-            to = slice(at, at + 64)
-            s = n[to, None] + n[None, :split]
-            far = np.bitwise_count(sk[to, None, :] ^ sk[None, :split, :]).sum(axis=2, dtype=np.int64)
-            low = np.minimum(n[to, None], n[None, :split])
-            ok = (root[to, None] != root[None, :split]) & (100 * low >= percent * (s - low)) & ((100 + percent) * (s - far) >= 2 * percent * s)
-            i, j = np.nonzero(ok)
-            yield k[to][i], k[:split][j]
+        size = np.array([len(x) for x in sk])
+        for own in np.unique(size[split:]).tolist():
+            mine = np.flatnonzero(size[split:] == own) + split
+            for other in np.unique(size[:split]).tolist():
+                if not own <= 2 * other <= 4 * own:  # such sizes cannot link
+                    continue
+                them = np.flatnonzero(size[:split] == other)
+                x, y = np.stack([sk[i] for i in mine]), np.stack([sk[i] for i in them])
+                if own > other:
+                    x = x[:, :other] ^ x[:, other:]
+                elif other > own:
+                    y = y[:, :own] ^ y[:, own:]
+                few, some = 64, max(1, (1 << 15) // x.shape[1])
+                for r in range(0, len(mine), few):
+                    for c in range(0, len(them), some):
+                        i, j = mine[r : r + few], them[c : c + some]
+                        s, low = n[i, None] + n[None, j], np.minimum(n[i, None], n[None, j])
+                        most = np.minimum(rest[i, None], rest[None, j])
+                        ok = (root[i, None] != root[None, j]) & (100 * low >= percent * (s - low)) & ((100 + percent) * most >= percent * s)
+                        if ok.any():
+                            far = np.bitwise_count(x[r : r + few, None, :] ^ y[None, c : c + some, :]).sum(axis=2, dtype=np.int64)
+                            at = np.nonzero(ok & ((100 + percent) * (s - far) >= 2 * percent * s))
+                            yield k[i][at[0]], k[j][at[1]], most[at]
 
     def block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def unit(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(parts).combine_chunks()
-            k, root, n = (t.column(c).to_numpy() for c in ("k", "root", "n"))
-            sk = t.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(k), -1)
-            split = int((t.column("left").to_numpy() == 0).sum())
-            for x, y in compare(k, root, n, sk, split):
+            k, root, n, rest = (t.column(c).to_numpy() for c in ("k", "root", "n", "left"))
+            sketches = t.column("sketch").combine_chunks()
+            flat, cuts = sketches.flatten().to_numpy().view(np.uint64), sketches.offsets.to_numpy() - sketches.offsets[0].as_py()
+            split = int((t.column("asks").to_numpy() == 0).sum())
+            for x, y, most in compare(k, root, n, rest, np.split(flat, cuts[1:-1]), split):
                 if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(most)], ["a", "b", "most"])
 
         for b in batches:
             key = np.stack([b.column(i).to_numpy() for i in (b.schema.get_field_index(c) for c in ("token", "u", "v"))])
@@ -232,7 +288,7 @@ def _across(lists: DataFrame, classes: DataFrame, roots: DataFrame, percent: int
         if held:
             yield from unit(held)
 
-    return units.mapInArrow(block_pairs, "a long, b long").distinct()
+    return units.mapInArrow(block_pairs, "a long, b long, most long").groupBy("a", "b").agg(F.max("most").alias("most"))
 
 
 def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -240,33 +296,30 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     store = Store(docs.sparkSession, "ngram-join")
     given = docs.select("doc_id", "text")
     profiles = store.put(_profiles(given, _frequencies(docs.select("text"), width), width, percent), "profiles")
-    filled = profiles.where("n > 0")
-
-    groups = filled.groupBy("g1", "g2").agg(F.first("prefix").alias("prefix")).withColumn("g", F.monotonically_increasing_id())
-    groups = store.put(groups, "groups")
-    slim = filled.groupBy("c1", "c2").agg(F.min("doc_id").alias("min_doc"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("g1").alias("g1"), F.first("g2").alias("g2"), F.first("sketch").alias("sketch"))
-    classes = slim.join(groups.select("g1", "g2", "g"), ["g1", "g2"]).drop("g1", "g2").withColumn("k", F.monotonically_increasing_id())
-    classes = store.put(classes, "classes")
-    n = profiles.count()
-
-    entries = groups.select("g", F.explode("prefix").alias("token"))
-    signed = entries.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("g")).alias("x"), F.bit_xor(F.xxhash64("g", F.lit(7))).alias("y")).where("c > 1")
-    tokens = signed.groupBy("c", "x", "y").agg(F.min("token").alias("token")).select("token")
-    shared = entries.join(tokens, "token", "left_semi").join(classes.select("g", "k"), "g").select("token", "k")
+    n, filled = profiles.count(), profiles.where("n > 0")
+
+    slim = filled.groupBy("c1", "c2").agg(F.min("doc_id").alias("min_doc"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("g1").alias("g"), F.first("sketch").alias("sketch"))
+    classes = store.put(slim.withColumn("k", F.monotonically_increasing_id()), "classes")
+
+    shared = store.put(_shared_entries(filled.select("c1", "c2", F.col("g1").alias("g"), "prefix"), store, n), "entries")
+    signed = shared.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("g")).alias("x"), F.bit_xor(F.xxhash64("g", F.lit(7))).alias("y"), F.sum("pos").alias("at")).where("c > 1")
+    # of shingles with the same groups the first in the common order; it stands first in every prefix
+    tokens = signed.groupBy("c", "x", "y").agg(F.min_by("token", "at").alias("token")).select("token")
+    members = shared.join(tokens, "token", "left_semi").join(classes.select("g", "k", "n"), "g").select("token", "k", (F.col("n") - F.col("pos")).alias("left"))
     several = classes.groupBy("g").count().where("count > 1").select("g")
-    inside = classes.join(several, "g", "left_semi").select(F.xxhash64("g", F.lit("group")).alias("token"), "k")
-    lists = store.put(shared.unionByName(inside), "lists")
-    store.drop(groups)
+    inside = classes.join(several, "g", "left_semi").select(F.xxhash64("g", F.lit("group")).alias("token"), "k", F.col("n").alias("left"))
+    lists = store.put(members.unionByName(inside), "lists")
+    store.drop(shared)
 
-    nodes = classes.join(lists.select("k").distinct(), "k", "left_semi").select("k", "c1", "c2", "min_doc")
-    sets = store.put(_sets(given, store.put(nodes, "nodes"), width, n), "sets")
+    check = lambda pairs: _checked(pairs, classes, given, width, percent, n, store)
+    leaders = lists.groupBy("token").agg(F.min(F.struct(F.xxhash64("token", "k"), "k", "left")).alias("least")).select("token", F.col("least.k").alias("leader"), F.col("least.left").alias("leaders_left"))
+    stars = lists.join(leaders, "token").where("k <> leader").select(F.least("k", "leader").alias("a"), F.greatest("k", "leader").alias("b"), F.least("left", "leaders_left").alias("most"))
+    stars = stars.groupBy("a", "b").agg(F.max("most").alias("most"))
 
-    leaders = lists.groupBy("token").agg(F.min(F.struct(F.xxhash64("token", "k"), "k")).alias("least")).select("token", F.col("least.k").alias("leader"))
-    stars = lists.join(leaders, "token").where("k <> leader").select(F.least("k", "leader").alias("a"), F.greatest("k", "leader").alias("b")).distinct()
-    links = store.put(_checked(stars, classes, sets, percent), "links")
+    links = store.put(check(stars), "links")
     roots = components(links, store)
 
-    more = store.put(_checked(_across(lists, classes, roots, percent), classes, sets, percent), "more")
+    more = store.put(check(_across(lists, classes, roots, percent)), "more")
     roots = components(links.unionByName(more), store)
 
     named = roots.join(classes.select(F.col("k").alias("node"), "min_doc"), "node")
