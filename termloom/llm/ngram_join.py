@@ -15,7 +15,7 @@ collisions of 64-bit shingle hashes and 128-bit set hashes.
 3. Each remaining list of classes picks a leader by a hash of its own, and leaders are checked with
    their list. That finds nearly all components without comparing all members of a list.
 4. Lists whose members are in several components are compared in blocks: all those outside the list's
-   largest component against everyone. Set sizes, the places of the shared shingle in both prefixes and
+   largest component against everyone, first for the likeliest partner of each, then for all. Set sizes, the places of the shared shingle in both prefixes and
    parity sketches (whose Hamming distance bounds the symmetric difference from below) leave few pairs.
 5. Pairs that survive are checked on the whole sets, as in step 3.
 
@@ -224,8 +224,11 @@ def _checked(pairs: DataFrame, classes: DataFrame, given: DataFrame, width: int,
     return both.select("a", "b", common.alias("o"), F.expr("cast(size(set_a) + size(set_b) as long)").alias("s")).where(f"{100 + percent} * o >= {percent} * s").select("a", "b")
 
 
-def _across(lists: DataFrame, classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one list and different components that may link, each list in blocks."""
+def _across(lists: DataFrame, classes: DataFrame, roots: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Pairs (a, b) of one list and different components that may link, each list in blocks.
+
+    With ``best``, of each class outside its list's largest component only the likeliest pair in a block.
+    """
     placed = lists.join(roots.select(F.col("node").alias("k"), "root"), "k", "left").select("token", "k", "left", F.coalesce("root", "k").alias("root"))
     parts = placed.groupBy("token", "root").agg(F.count("*").alias("m"))
     tokens = parts.groupBy("token").agg(F.max(F.struct("m", "root")).alias("most"), F.sum("m").alias("total"), F.count("*").alias("parts")).where("parts > 1").select(
@@ -260,8 +263,9 @@ def _across(lists: DataFrame, classes: DataFrame, roots: DataFrame, percent: int
                         ok = (root[i, None] != root[None, j]) & (100 * low >= percent * (s - low)) & ((100 + percent) * most >= percent * s)
                         if ok.any():
                             far = np.bitwise_count(x[r : r + few, None, :] ^ y[None, c : c + some, :]).sum(axis=2, dtype=np.int64)
-                            at = np.nonzero(ok & ((100 + percent) * (s - far) >= 2 * percent * s))
-                            yield k[i][at[0]], k[j][at[1]], most[at]
+                            spare = (100 + percent) * (s - far) - 2 * percent * s
+                            at = np.nonzero(ok & (spare >= 0))
+                            yield i[at[0]], j[at[1]], most[at], spare[at] / s[at]
 
     def block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -272,9 +276,20 @@ def _across(lists: DataFrame, classes: DataFrame, roots: DataFrame, percent: int
             sketches = t.column("sketch").combine_chunks()
             flat, cuts = sketches.flatten().to_numpy().view(np.uint64), sketches.offsets.to_numpy() - sketches.offsets[0].as_py()
             split = int((t.column("asks").to_numpy() == 0).sum())
-            for x, y, most in compare(k, root, n, rest, np.split(flat, cuts[1:-1]), split):
-                if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(most)], ["a", "b", "most"])
+            likeliest: dict[int, tuple] = {}
+            for i, j, most, spare in compare(k, root, n, rest, np.split(flat, cuts[1:-1]), split):
+                if best:
+                    for at in np.lexsort((-spare, i))[np.r_[True, np.diff(np.sort(i)) > 0]] if len(i) else ():
+                        if spare[at] > likeliest.get(i[at], (-1.0,))[0]:
+                            likeliest[i[at]] = (spare[at], j[at], most[at])
+                elif len(i):
+                    yield from pairs(k[i], k[j], most)
+            if likeliest:
+                of = np.array(list(likeliest))
+                yield from pairs(k[of], k[np.array([x[1] for x in likeliest.values()])], np.array([x[2] for x in likeliest.values()]))
+
+        def pairs(x: np.ndarray, y: np.ndarray, most: np.ndarray) -> Iterator[pa.RecordBatch]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(most)], ["a", "b", "most"])
 
         for b in batches:
             key = np.stack([b.column(i).to_numpy() for i in (b.schema.get_field_index(c) for c in ("token", "u", "v"))])
@@ -319,8 +334,10 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     links = store.put(check(stars), "links")
     roots = components(links, store)
 
-    more = store.put(check(_across(lists, classes, roots, percent)), "more")
-    roots = components(links.unionByName(more), store)
+    # once with the likeliest partners, then all that is still apart
+    for best in (True, False):
+        links = store.put(links.unionByName(check(_across(lists, classes, roots, percent, best))), "links")
+        roots = components(links, store)
 
     named = roots.join(classes.select(F.col("k").alias("node"), "min_doc"), "node")
     names = named.groupBy("root").agg(F.min("min_doc").alias("component_id"))
