@@ -14,6 +14,7 @@ shortened.
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -76,15 +77,18 @@ class WordIds:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         new = list(dict.fromkeys(w for w in words if w not in self.known))
-        for w in new:
-            self.known[w] = self.whole(w)
+        # words stay words with a space between them; the encoding says which word each id is of
+        made = self.model.encode(" ".join(new), add_special_tokens=False)
+        ids, of, start = made.ids, made.word_ids, 0
+        for end in range(1, len(ids) + 1):
+            if end == len(ids) or of[end] != of[start]:
+                self.known[new[of[start]]] = struct.pack(f"<{end - start}I", *ids[start:end])
+                start = end
         return b"".join(map(self.known.__getitem__, words))
 
 
 def _packed(ids: list[int]) -> bytes:
-    import numpy as np
-
-    return np.array(ids, dtype="<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 _MODELS: dict[str, WordIds] = {}
