@@ -30,6 +30,7 @@ TOP = 300
 #: Training texts of each language at most.
 PER_LANGUAGE = 1000
 UNKNOWN = "und"
+DRAWS = 1 << 30
 
 _GAP = 0x20
 _LETTERS: np.ndarray | None = None
@@ -102,8 +103,12 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, top: int = TOP) ->
     """
     spark = docs.sparkSession
     able = docs.where(F.col("lang").isNotNull() & may_train(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = able.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
+    # a hash cut at twice the wanted number for each language first, so that the ranking moves few rows
+    drawn = able.select("doc_id", "lang", F.expr(f"pmod(xxhash64(doc_id), {DRAWS}L)").alias("draw"))
+    totals = drawn.groupBy("lang").agg(F.count("*").alias("total"))  # a row per language, as in the profiles
+    some = drawn.join(F.broadcast(totals), "lang").where(F.col("draw").cast("double") * F.col("total") <= 2.0 * per_language * DRAWS)
+    order = Window.partitionBy("lang").orderBy("draw", "doc_id")
+    chosen = some.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
     ids = [r[0] for r in chosen.select("doc_id").distinct().collect()]
     picked = spark.createDataFrame([(i,) for i in ids], able.select("doc_id").schema)
     texts = able.join(F.broadcast(picked), "doc_id", "left_semi").select("lang", "text")
@@ -130,7 +135,8 @@ def predict(docs: DataFrame, profiles: Profiles, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of ``docs`` with lang_pred and score of the column ``text``."""
     sent = docs.sparkSession.sparkContext.broadcast(profiles)
     names = [f"__{i}" for i in range(len(keep))]
-    given = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.col("text").alias("__text"))
+    at_text = keep.index("text") if "text" in keep else len(keep)
+    given = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], *([] if at_text < len(keep) else [F.col("text").alias("__text")]))
     out = given.select(*names).schema.add("lang_pred", "string").add("score", "double")
 
     def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +144,7 @@ def predict(docs: DataFrame, profiles: Profiles, keep: list[str]) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                said = [model.predict(t.as_py()) for t in part.column(len(names))]
+                said = [model.predict(t.as_py()) for t in part.column(at_text)]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[: len(names)], pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())],
                     [*names, "lang_pred", "score"],
