@@ -5,7 +5,8 @@ again as the next one's docs. All stages but the last return the columns of docu
 
 1. language_id drops documents without a recognisable language (no text, or no letter in it).
 2. exact_dedup keeps one document of equal texts.
-3. ngram_join keeps one document of each component of near copies.
+3. ngram_join keeps one document of each component of near copies: texts that have at least NEAR_PERCENT %
+   of their shingles of NEAR_WIDTH words in common (op7 has settings of its own).
 4. mix takes documents as often as balancing the sources asks for.
 5. pack cuts what is left into sequences: one row per piece.
 """
@@ -17,6 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from termloom.llm import exact_dedup, language_id, mixing, ngram_join, packing
 from termloom.llm.common import Store
 
+#: What near copies are: words of a shingle, and the least Jaccard similarity in %.
+NEAR_WIDTH = 5
+NEAR_PERCENT = 80
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     said = language_id.predict(docs, language_id.learn(docs), docs.columns)
@@ -28,7 +33,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.one_per_component(docs)
+    return ngram_join.one_per_component(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,6 +57,30 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, sf_dir).count() == docs.count()
 
 
+def test_near_copies_near_the_border(spark):
+    """Copies on both sides of 80 % of 5-word shingles, against brute force."""
+    rng, texts = random.Random(5), []
+    for k, changed in enumerate([1, 2, 2, 2, 3, 3]):
+        words = [f"w{rng.randrange(5000)}" for _ in range(100)]
+        other = list(words)
+        for at in rng.sample(range(5, 95), changed):
+            other[at] = f"x{rng.randrange(5000)}"
+        texts += [" ".join(words), " ".join(other)]
+    for more in (40, 44, 48, 49, 50, 60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(200 + more)]
+        texts += [" ".join(words[:200]), " ".join(words)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                root = [root[a] if r == root[b] else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
+    assert kept == sorted({min(i for i in range(len(texts)) if root[i] == r) for r in root})
+    assert {1, 3, 15} & set(kept) != {1, 3, 15} and len(texts) // 2 < len(kept) < len(texts)
+
+
 def test_registered():
     assert set(queries.QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
