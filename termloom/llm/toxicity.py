@@ -1,12 +1,13 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine in a block-max inverted index.
+"""Toxicity by nearest labelled examples: exact cosine of weighed TF-IDF in a block-max inverted index.
 
 Features are a text's words (runs of letters, lower-cased), their first four and five letters, and for
-each of these whether it is there twice, three times and so on (LEVELS). Of
-those in the examples, the FEATURES whose presence says most about the label (log-likelihood ratio at
-least MIN_RATIO, and MIN_LIFT times as frequent under one label) are the vocabulary; weights are (1 + ln tf) * idf over it, and vectors have length one.
+each of these whether it is there twice, three times and so on (LEVELS). All
+those in the examples are the vocabulary, however rare; weights are (1 + ln tf) * idf, times how much the
+feature's presence says about the label (log-likelihood ratio), and vectors have length one. Features that
+say nothing weigh nothing.
 
-Examples stand in blocks of BLOCK, like by like; for each feature the index keeps the largest weight in
-each block. A query's bound for a block is the sum of its weights times these maxima. Blocks
+Examples stand in blocks of BLOCK, like by like; for each feature the index lists the blocks that have
+it, with the largest weight in each and the rows there. A query's bound for a block is the sum of its weights times these maxima. Blocks
 are scored exactly in order of falling bound until the next bound cannot beat the k-th best, so the
 neighbours are exactly the k nearest; equals are all of one similarity, and the smaller id goes first.
 
@@ -17,8 +18,8 @@ Learned from at most ``per_label`` examples of each label, those with the smalle
 Whole texts are used for learning and scoring.
 
 Defined cases: texts without a vocabulary feature (null and empty ones among them) score what votes at
-the examples' share for such texts come to; without any examples every score is 0. Ids that are null
-are not learned from. If an example's label is given twice, 1 holds. Columns besides id and text are
+the examples' share for such texts come to; without any examples every score is 0. Ids that are null,
+and labels without a document, are not learned from. If an example's label is given twice, 1 holds. Columns besides id and text are
 ignored. An empty table gives an empty result.
 """
 
@@ -26,23 +27,18 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Store, held_out, may_train
+from .common import held_out, may_train
 
 #: Examples of each label at most.
 PER_LABEL = 2000
-#: Features in the vocabulary at most.
-FEATURES = 1024
-MIN_RATIO = 10.0
-MIN_LIFT = 2.0
-#: Of one label's examples, at least this share has a feature of the vocabulary.
-MIN_SHARE = 0.02
 NEIGHBOURS = 15
 BLOCK = 64
 PRIOR = 0.5
@@ -78,33 +74,38 @@ def _feature_counts(text: str | None) -> Counter:
     return _leveled(out)
 
 
-def _telling(n0: int, n1: int) -> tuple[str, str]:
-    """SQL for the log-likelihood ratio of a feature in with_0 of n0 and with_1 of n1 texts, and for its lift."""
-    share = "((with_0 + with_1) / {n}D)".format(n=n0 + n1)
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, so many as its size says, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
-    def part(k: str, n: int, p: str) -> str:
-        return f"(CASE WHEN {k} > 0 THEN {k} * ln({p}) ELSE 0D END + CASE WHEN {k} < {n} THEN ({n} - {k}) * ln(1 - {p}) ELSE 0D END)"
 
-    own = part("with_1", n1, f"(with_1 / {n1}D)") + " + " + part("with_0", n0, f"(with_0 / {n0}D)")
-    lift = f"(((with_1 + 0.5D) / {n1 + 1}D) / ((with_0 + 0.5D) / {n0 + 1}D))"
-    return f"2 * ({own} - {part('with_1', n1, share)} - {part('with_0', n0, share)})", f"greatest({lift}, 1 / {lift})"
+def _telling(with_0: np.ndarray, with_1: np.ndarray, n0: float, n1: float) -> np.ndarray:
+    """Log-likelihood ratio of features in with_0 of n0 and with_1 of n1 texts; to six decimals, so that equal shares give 0."""
+    def part(k: np.ndarray, n: float, p: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(k > 0, k * np.log(p), 0) + np.where(n - k > 0, (n - k) * np.log1p(-p), 0)
+
+    if not n0 or not n1:
+        return np.zeros(len(with_0))
+    p = (with_0 + with_1) / (n0 + n1)
+    ratio = 2 * (part(with_0, n0, with_0 / n0) + part(with_1, n1, with_1 / n1) - part(with_0, n0, p) - part(with_1, n1, p))
+    return np.maximum(0, np.round(ratio, 6))
 
 
 class Neighbours:
     """Labelled examples, their block-max index and the calibration of votes."""
 
-    def __init__(self, ids: list[int], counts: list[dict[str, int]], labels: list[int], vocabulary: list[str], k: int = NEIGHBOURS):
+    def __init__(self, ids: list[int], counts: Iterable[dict[str, int]], labels: list[int], vocabulary: list[str], k: int = NEIGHBOURS):
         self.k, n = k, len(ids)
         y = np.array(labels, dtype=np.float64)
         self.vocabulary = {f: j for j, f in enumerate(vocabulary)}
-        df = np.zeros(len(vocabulary))
-        for c in counts:
-            for f in c:
-                if f in self.vocabulary:
-                    df[self.vocabulary[f]] += 1
-        self.idf = np.log((1 + n) / (1 + df)) + 1
-        self.seen: dict[tuple, tuple] = {}
-        vectors = [self.vector(c) for c in counts]
+        known = [self._known(c) for c in counts]
+        there = np.concatenate([np.empty(0, np.int64), *(at for at, _ in known)])
+        df = np.bincount(there, minlength=len(vocabulary)).astype(np.float64)
+        with_1 = np.bincount(there, np.repeat(y, [len(at) for at, _ in known]), len(vocabulary))
+        self.weight_of = (np.log((1 + n) / (1 + df)) + 1) * _telling(df - with_1, with_1, n - y.sum(), y.sum())
+        vectors = [self._weighed(*c) for c in known]
         bare = np.array([not len(v[0]) for v in vectors])
         # of texts without any feature: their own share of label 1
         self.bare = float((y[bare].sum() + PRIOR * y.mean()) / (bare.sum() + PRIOR)) if n else 0.0
@@ -119,41 +120,67 @@ class Neighbours:
         if rows and 0 < self.labels.sum() < len(rows):
             self._calibrate([vectors[i] for i in rows])
 
+    def _known(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the vocabulary's features, in order, and their counts."""
+        numbers = self.vocabulary
+        own = [(numbers[f], n) for f, n in counts.items() if f in numbers]
+        both = np.array(own, dtype=np.int64).reshape(-1, 2)
+        both = both[np.argsort(both[:, 0])]
+        return both[:, 0].copy(), both[:, 1].copy()
+
+    def _weighed(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(n.astype(np.float64))) * self.weight_of[at]
+        at, w = at[w > 0], w[w > 0]
+        return at, w / np.sqrt((w * w).sum()) if len(w) else w
+
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """Feature numbers and weights, of length one."""
-        own = sorted((self.vocabulary[f], n) for f, n in counts.items() if f in self.vocabulary)
-        at = np.array([f for f, _ in own], dtype=np.int64)
-        w = (1 + np.log(np.array([n for _, n in own], dtype=np.float64))) * self.idf[at] if own else np.empty(0)
-        return at, w / np.sqrt((w * w).sum()) if own else w
+        return self._weighed(*self._known(counts))
 
     def _index(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        self.blocks = -(-len(vectors) // BLOCK)
-        # the examples' weights, block by block, and of each feature the largest weight in each block
-        self.weights = np.zeros((self.blocks, BLOCK, len(self.vocabulary)))
-        for i, (at, w) in enumerate(vectors):
-            self.weights[i // BLOCK, i % BLOCK, at] = w
-        self.most = np.ascontiguousarray(self.weights.max(axis=1).T) if self.blocks else np.zeros((len(self.vocabulary), 0))
+        self.blocks, n = -(-len(vectors) // BLOCK), len(self.vocabulary)
+        feature = np.concatenate([at for at, _ in vectors]) if vectors else np.empty(0, np.int64)
+        weight = np.concatenate([w for _, w in vectors]) if vectors else np.empty(0)
+        row = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(at) for at, _ in vectors])
+        order = np.argsort(feature, kind="stable")
+        # the examples' weights, feature by feature and block by block
+        self.rows, self.weights = row[order], weight[order]
+        key = feature[order] * max(self.blocks, 1) + self.rows // BLOCK
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+        # of each feature's blocks: number, where its rows start, how many they are, and the largest weight
+        self.block_of, self.starts, self.sizes = (key[first] % max(self.blocks, 1)).astype(np.int32), first, np.diff(np.append(first, len(key)))
+        self.most = np.maximum.reduceat(self.weights, first) if len(first) else np.empty(0)
+        self.lists = np.searchsorted(feature[order][first], np.arange(n + 1))
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the k nearest examples that share a feature; ``without`` is left out."""
-        bound = w @ self.most[at]
+        lengths = self.lists[at + 1] - self.lists[at]
+        parts, x = _ranges(self.lists[at], lengths), np.repeat(w, lengths)
+        block = self.block_of[parts]
+        bound = np.bincount(block, x * self.most[parts], self.blocks)
         order = np.argsort(-bound, kind="stable")
-        rows, scores, least, some = np.empty(0, np.int64), np.empty(0), 0.0, 4
-        for s in range(0, len(order), some):
-            if bound[order[s]] <= 0 or len(rows) >= k and bound[order[s]] < least - 1e-12:
-                break
+        rows, scores, least, s, some = np.empty(0, np.int64), np.empty(0), 0.0, 0, 4
+        while s < len(order):
             blocks = order[s : s + some]
-            got = self.weights[blocks[:, None], :, at].transpose(0, 2, 1) @ w
-            b, i = np.nonzero(got > 0)
-            found = blocks[b] * BLOCK + i
+            blocks = blocks[(bound[blocks] > 0) & ((bound[blocks] >= least - 1e-12) | (len(rows) < k))]
+            if not len(blocks):
+                break
+            asked = np.zeros(self.blocks, dtype=bool)
+            asked[blocks] = True
+            mine = np.flatnonzero(asked[block])
+            sizes = self.sizes[parts[mine]]
+            where = _ranges(self.starts[parts[mine]], sizes)
+            got = np.bincount(self.rows[where], np.repeat(x[mine], sizes) * self.weights[where], len(self.ids))
             if without >= 0:
-                b, i, found = b[found != without], i[found != without], found[found != without]
-            rows, scores = np.concatenate((rows, found)), np.concatenate((scores, got[b, i]))
+                got[without] = 0
+            found = np.flatnonzero(got > 0)
+            rows, scores = np.concatenate((rows, found)), np.concatenate((scores, got[found]))
             if len(rows) > k:
                 best = np.lexsort((self.ids[rows], -np.round(scores, 12)))[:k]
                 rows, scores = rows[best], scores[best]
             if len(rows) == k:
                 least = scores.min()
+            s, some = s + some, 2 * some
         return rows, scores
 
     def _votes(self, rows: np.ndarray, scores: np.ndarray) -> float:
@@ -177,14 +204,6 @@ class Neighbours:
 
     def score(self, counts: dict[str, int]) -> tuple[float, list[tuple[int, float, int]]]:
         """Score, and as evidence the nearest examples: id, cosine, label."""
-        key = tuple(sorted(counts.items()))
-        if key not in self.seen:  # short lists of features come again and again
-            if len(self.seen) > 50_000:
-                self.seen.clear()
-            self.seen[key] = self._score(counts)
-        return self.seen[key]
-
-    def _score(self, counts: dict[str, int]) -> tuple[float, list[tuple[int, float, int]]]:
         at, w = self.vector(counts)
         if not len(at) or not len(self.ids):
             return self.bare, []
@@ -212,13 +231,13 @@ class Reader:
                 own = known[w] = tuple(f for f in _names(w) if f in asked)
             for f in own:
                 out[f] += n
-        return Counter({f: n for f, n in _leveled(out).items() if f in self.model.vocabulary}) if out else out
+        return _leveled(out)
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, k: int = NEIGHBOURS, features: int = FEATURES) -> Neighbours:
+def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, k: int = NEIGHBOURS) -> Neighbours:
     """The model from the labelled training rows.
 
-    The driver gets at most 2 * ``per_label`` examples with their counts of at most ``features`` features.
+    The driver gets at most 2 * ``per_label`` examples with the counts of all their features.
     """
     spark = docs.sparkSession
     known = labels.where(F.col("toxic").isin(0, 1) & may_train(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -229,30 +248,24 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, k: int
         return Neighbours([], [], [], [], k)
     picked = spark.createDataFrame([tuple(r) for r in chosen], known.schema)
     # bounded by per_label, whatever the input
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text")
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [_feature_counts(t.as_py()) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))], ["doc_id", "toxic", "names", "counts"])
+            found = [_feature_counts(t.as_py()) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))], ["doc_id", "names", "counts"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    counted = texts.mapInArrow(count, f"doc_id {kind}, toxic int, names array<string>, counts array<long>")
-    slim = counted.select("doc_id", "toxic", F.explode(F.arrays_zip("names", "counts")).alias("f")).select("doc_id", "toxic", F.col("f.names").alias("name"), F.col("f.counts").alias("n"))
-    slim = Store(spark, "toxicity").put(slim, "features")
+    rows = texts.mapInArrow(count, f"doc_id {kind}, names array<string>, counts array<long>").toArrow().combine_chunks()
     ids, label = sorted(r["doc_id"] for r in chosen), {r["doc_id"]: r["toxic"] for r in chosen}
-    n1 = sum(label.values())
-    vocabulary = []
-    if 0 < n1 < len(ids):
-        ratio, lift = _telling(len(ids) - n1, n1)
-        with_1 = F.sum("toxic").alias("with_1")
-        counts = slim.groupBy("name").agg(with_1, F.count("*").alias("all")).withColumn("with_0", F.col("all") - F.col("with_1"))
-        telling = counts.withColumn("ratio", F.expr(ratio)).where(F.expr(f"ratio >= {MIN_RATIO} AND {lift} >= {MIN_LIFT} AND greatest(with_0 / {len(ids) - n1}D, with_1 / {n1}D) >= {MIN_SHARE}"))
-        vocabulary = [r["name"] for r in telling.orderBy(F.desc(F.round("ratio", 6)), "name").limit(features).collect()]
-    names = spark.range(1).select(F.explode(F.array(*map(F.lit, vocabulary)).cast("array<string>")).alias("name"))
-    rows = slim.join(F.broadcast(names), "name").groupBy("doc_id").agg(F.collect_list("name").alias("names"), F.collect_list("n").alias("counts")).toArrow()
-    have = {i: dict(zip(a, c)) for i, a, c in zip(*(rows[c].to_pylist() for c in ("doc_id", "names", "counts")))}
-    return Neighbours(ids, [have.get(i, {}) for i in ids], [label[i] for i in ids], vocabulary, k)
+    vocabulary = sorted(pc.unique(pc.list_flatten(rows["names"])).to_pylist()) if 0 < sum(label.values()) < len(ids) else []
+    # of several rows with one id the first in order of their features
+    place: dict[int, list[int]] = {}
+    for p, i in enumerate(rows["doc_id"].to_pylist()):
+        place.setdefault(i, []).append(p)
+    ids = [i for i in ids if i in place]
+    given = lambda i: min((dict(sorted(zip(rows["names"][p].as_py(), rows["counts"][p].as_py()))) for p in place[i]), key=lambda c: list(c.items()))
+    return Neighbours(ids, map(given, ids), [label[i] for i in ids], vocabulary, k)
 
 
 def score(docs: DataFrame, model: Neighbours, threshold: float = THRESHOLD) -> DataFrame:

@@ -387,6 +387,26 @@ def test_toxicity(spark):
     assert toxicity.judge(docs_of(spark, rows).limit(0), table_of).count() == 0
 
 
+def test_toxicity_of_rare_words(spark):
+    """Toxic texts whose telling words each are in fewer than 2 % of the toxic examples."""
+    rng = random.Random(14)
+    words = ["".join(rng.choices("aeiou", k=2)) + f"{'xyz'[k % 3]}" + "".join(rng.choices("abcde", k=3)) for k in range(80)]
+    vile = ["".join(rng.choices("bcdfghjklmnpqrstvwxz", k=8)) for _ in range(300)]
+    rows = []
+    for i in range(1200):
+        text = rng.choices(words, k=30) + (rng.sample(vile, 4) if i % 3 == 0 else [])
+        rng.shuffle(text)
+        rows.append((i, " ".join(text)))
+    trained = [i for i, in spark.range(1200).where(toxicity.may_train(F.col("id"))).collect() if i % 3 == 0]
+    told = Counter(w for i in trained for w in rows[i][1].split() if w in set(vile))
+    assert max(told.values()) < 20 and sum(n < 0.02 * len(trained) for n in told.values()) > 0.8 * len(vile)
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(1200)], "doc_id long, quality int, toxic int")
+    held = [r for r in toxicity.judge(docs_of(spark, rows), labels).collect() if r.held_out]
+    caught = [r.predicted for r in held if r.doc_id % 3 == 0]
+    wrong = [r.predicted for r in held if r.doc_id % 3]
+    assert sum(caught) >= 0.9 * len(caught) and sum(wrong) <= 0.1 * len(wrong)
+
+
 def test_block_max_search_is_exact():
     rng = random.Random(13)
     counts = [Counter(rng.choices([f"f{k}" for k in range(40)], k=rng.randrange(1, 9))) for _ in range(500)]
