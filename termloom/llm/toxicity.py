@@ -14,7 +14,8 @@ neighbours are exactly the k nearest; equals are all of one similarity, and the
 The k nearest vote with their cosine as weight, held towards the examples' share of label 1 by PRIOR
 votes; a logistic curve fitted to the examples' own leave-one-out votes turns votes to scores.
 
-Learned from at most ``per_label`` examples of each label, those with the smallest hash of the id.
+Learned from at most ``per_label`` examples of each label, those with the smallest hash of the id. In votes,
+shares and calibration each example counts for as many as its label has for every one drawn.
 Whole texts are used for learning and scoring.
 
 Defined cases: texts without a vocabulary feature (null and empty ones among them) score what votes at
@@ -96,9 +97,12 @@ def _telling(with_0: np.ndarray, with_1: np.ndarray, n0: float, n1: float) -> np
 class Neighbours:
     """Labelled examples, their block-max index and the calibration of votes."""
 
-    def __init__(self, ids: list[int], counts: Iterable[dict[str, int]], labels: list[int], vocabulary: list[str], k: int = NEIGHBOURS):
+    def __init__(self, ids: list[int], counts: Iterable[dict[str, int]], labels: list[int], vocabulary: list[str], k: int = NEIGHBOURS, stands_for: tuple[float, float] = (1.0, 1.0)):
         self.k, n = k, len(ids)
         y = np.array(labels, dtype=np.float64)
+        # labelled texts that each example stands for, on average one
+        each = np.where(y > 0, stands_for[1], stands_for[0])
+        each = each / each.mean() if n else each
         self.vocabulary = {f: j for j, f in enumerate(vocabulary)}
         known = [self._known(c) for c in counts]
         there = np.concatenate([np.empty(0, np.int64), *(at for at, _ in known)])
@@ -108,13 +112,13 @@ class Neighbours:
         vectors = [self._weighed(*c) for c in known]
         bare = np.array([not len(v[0]) for v in vectors])
         # of texts without any feature: their own share of label 1
-        self.bare = float((y[bare].sum() + PRIOR * y.mean()) / (bare.sum() + PRIOR)) if n else 0.0
-        self.share = float(y.mean()) if n else 0.0
+        self.share = float((each * y).mean()) if n else 0.0
+        self.bare = float(((each * y)[bare].sum() + PRIOR * self.share) / (each[bare].sum() + PRIOR)) if n else 0.0
         # blocks of examples that are alike: in order of their strongest feature
         strongest = [int(v[0][np.argmax(v[1])]) for v in vectors if len(v[0])]
         rows = [i for i in range(n) if not bare[i]]
         rows = [rows[i] for i in np.lexsort(([ids[i] for i in rows], strongest))] if rows else []
-        self.ids, self.labels = np.array([ids[i] for i in rows], dtype=np.int64), y[rows]
+        self.ids, self.labels, self.each = np.array([ids[i] for i in rows], dtype=np.int64), y[rows], each[rows]
         self._index([vectors[i] for i in rows])
         self.curve = (1.0, 0.0)
         if rows and 0 < self.labels.sum() < len(rows):
@@ -184,16 +188,17 @@ class Neighbours:
         return rows, scores
 
     def _votes(self, rows: np.ndarray, scores: np.ndarray) -> float:
+        scores = scores * self.each[rows]
         p = ((scores * self.labels[rows]).sum() + PRIOR * self.share) / (scores.sum() + PRIOR)
         return float(np.log(p / (1 - p))) if 0 < p < 1 else 20.0 * (1 if p >= 1 else -1)
 
     def _calibrate(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
         x = np.array([self._votes(*self.nearest(at, w, self.k, without=i)) for i, (at, w) in enumerate(vectors)])
-        y, (a, b) = self.labels, self.curve
+        y, u, (a, b) = self.labels, self.each, self.curve
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-            g = np.array([((p - y) * x).sum() + 0.1 * (a - 1), (p - y).sum() + 0.1 * b])
-            v = np.maximum(p * (1 - p), 1e-9)
+            g = np.array([(u * (p - y) * x).sum() + 0.1 * (a - 1), (u * (p - y)).sum() + 0.1 * b])
+            v = u * np.maximum(p * (1 - p), 1e-9)
             h = np.array([[(v * x * x).sum() + 0.1, (v * x).sum()], [(v * x).sum(), v.sum() + 0.1]])
             step = np.linalg.solve(h, g)
             a, b = a - step[0], b - step[1]
@@ -242,6 +247,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, k: int
     spark = docs.sparkSession
     known = labels.where(F.col("toxic").isin(0, 1) & may_train(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = []
+    totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     for label in (0, 1):
         chosen += known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label).collect()
     if not chosen:
@@ -265,7 +271,8 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, k: int
         place.setdefault(i, []).append(p)
     ids = [i for i in ids if i in place]
     given = lambda i: min((dict(sorted(zip(rows["names"][p].as_py(), rows["counts"][p].as_py()))) for p in place[i]), key=lambda c: list(c.items()))
-    return Neighbours(ids, map(given, ids), [label[i] for i in ids], vocabulary, k)
+    stands_for = tuple(totals.get(x, 0) / max(1, min(per_label, totals.get(x, 0))) for x in (0, 1))
+    return Neighbours(ids, map(given, ids), [label[i] for i in ids], vocabulary, k, stands_for)
 
 
 def score(docs: DataFrame, model: Neighbours, threshold: float = THRESHOLD) -> DataFrame:

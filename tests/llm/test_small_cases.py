@@ -407,6 +407,18 @@ def test_toxicity_of_rare_words(spark):
     assert sum(caught) >= 0.9 * len(caught) and sum(wrong) <= 0.1 * len(wrong)
 
 
+def test_toxicity_keeps_the_shares_of_labels(spark):
+    """One text in ten is toxic, and nothing tells which: scores come to a tenth, however many examples are drawn."""
+    rng = random.Random(15)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(60)]
+    docs = docs_of(spark, [(i, " ".join(rng.choices(words, k=20)) if i % 7 else None) for i in range(1400)])
+    labels = spark.createDataFrame([(i, 1, int(rng.random() < 0.1)) for i in range(1400)], "doc_id long, quality int, toxic int")
+    for per_label in (50, 2000):
+        model = toxicity.learn(docs, labels, per_label)
+        scores = [r.score for r in toxicity.score(docs, model).collect()]
+        assert 0.07 < model.share < 0.13 and model.bare < 0.3 and 0.05 < sum(scores) / len(scores) < 0.2
+
+
 def test_block_max_search_is_exact():
     rng = random.Random(13)
     counts = [Counter(rng.choices([f"f{k}" for k in range(40)], k=rng.randrange(1, 9))) for _ in range(500)]
