@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 SAMPLE = 4096
 SAMPLE_QUERIES = 256
 #: Share of true neighbours in the sample that may lie outside the radius.
-MISSED = 0.05
+MISSED = 0.01
 BITS = 64
 SUBSTRINGS = 4
 #: Vectors of a shard at most (on average).

@@ -350,6 +350,15 @@ def test_multi_index_recall_and_ties(spark):
     assert multi_index.search(few.limit(0)).count() == 0
 
 
+def test_radius_holds_the_sample_queries_neighbours():
+    x = multi_index.unit_rows(np.random.default_rng(12).normal(size=(1500, 32)))
+    coder = multi_index.fit(x)
+    codes, near = coder.codes(x), x[:256] @ x.T
+    near[np.arange(256), np.arange(256)] = -np.inf
+    best = np.argsort(-near, axis=1, kind="stable")[:, :5]
+    assert (np.bitwise_count(codes[:256, None] ^ codes[best]) <= coder.radius).mean() >= 0.99
+
+
 def test_probing_finds_all_within_the_radius():
     rng = np.random.default_rng(11)
     x = rng.normal(size=(800, 64))
