@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
 again as the next one's docs. All stages but the last return the columns of documents.
 
-1. language_id drops documents without a recognisable language (no text, or no letter in it).
+1. language_id drops documents without a recognisable language (no text, or no letter in it), also where no
+   row has a language to learn from.
 2. exact_dedup keeps one document of equal texts.
 3. ngram_join keeps one document of each component of near copies: texts that have at least NEAR_PERCENT %
    of their shingles of NEAR_WIDTH words in common (op7 has settings of its own).
@@ -24,7 +25,10 @@ NEAR_PERCENT = 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    said = language_id.predict(docs, language_id.learn(docs), docs.columns)
+    profiles = language_id.learn(docs)
+    if not profiles.names:  # nothing tells languages apart: whatever has a letter stays
+        profiles = language_id.Profiles({"any": [0]})
+    said = language_id.predict(docs, profiles, docs.columns)
     return said.where(said["lang_pred"] != language_id.UNKNOWN).select(*docs.columns)
 
 

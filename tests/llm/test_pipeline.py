@@ -57,6 +57,12 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, sf_dir).count() == docs.count()
 
 
+def test_texts_stay_if_no_language_is_known(spark):
+    rows = [(1, "the house", None), (2, "ß", None), (3, None, None), (4, "12 34", None), (5, "", None), (6, "\u4e2d", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()} == {1, 2, 6}
+
+
 def test_near_copies_near_the_border(spark):
     """Copies on both sides of 80 % of 5-word shingles, against brute force."""
     rng, texts = random.Random(5), []
