@@ -41,6 +41,14 @@ def _benchmark(params):
     return lambda spark, d: retrieve(index(spark, d), benchmark_queries(spark, d), 10, params, spark=spark)
 
 
+def _scored_all(params):
+    def run(spark, d):
+        i = index(spark, d)
+        return score_documents(i, as_queries(spark, QUERY), i.document_ids(), params)
+
+    return run
+
+
 def _scored(params):
     def run(spark, d):
         i = index(spark, d)
@@ -84,6 +92,16 @@ def term_frequency_lookup(spark, d):
     return i.term_frequency(asked.select("doc_id", F.explode(F.array(*map(F.lit, QUERY))).alias("term")))
 
 
+def term_frequency_all_docs(spark, d):
+    i = index(spark, d)
+    return i.term_frequency(i.document_ids().select("doc_id", F.explode(F.array(*map(F.lit, QUERY))).alias("term")))
+
+
+def document_length_all_docs(spark, d):
+    i = index(spark, d)
+    return i.document_length(i.document_ids())
+
+
 def _terms(spark, terms):
     return spark.range(1).select(F.explode(F.array(*map(F.lit, terms))).alias("term"))
 
@@ -169,8 +187,10 @@ QUERIES = {
     "corpus_stats": lambda s, d: index(s, d).corpus_stats().withColumn("avg_doc_len", F.round("avg_doc_len", 6)),
     "term_stats": lambda s, d: index(s, d).term_stats(),
     "term_frequency_lookup": term_frequency_lookup,
+    "term_frequency_all_docs": term_frequency_all_docs,
     "document_frequency_lookup": lambda s, d: index(s, d).document_frequency(_terms(s, QUERY + UNSEEN)),
     "document_length_lookup": lambda s, d: index(s, d).document_length(_ids(s, [*DOC_IDS, -7])),
+    "document_length_all_docs": document_length_all_docs,
     "document_ids": lambda s, d: index(s, d).document_ids(),
     "vocabulary": lambda s, d: index(s, d).terms(),
     "idf_bm25": _weights(scoring.idf_smoothed),
@@ -189,6 +209,7 @@ QUERIES = {
     "bm25_dup_terms": _ranked(Bm25(), REPEATED),
     "bm25_unseen_terms": _ranked(Bm25(), UNSEEN),
     "bm25_score_docs": _scored(Bm25()),
+    "bm25_score_all_docs": _scored_all(Bm25()),
     "bm25_batch_benchmark": _benchmark(Bm25()),
     "tfidf_default": _ranked(TfIdf()),
     "tfidf_linear": _ranked(TfIdf.linear()),
@@ -196,6 +217,7 @@ QUERIES = {
     "tfidf_linear_smoothed": _ranked(TfIdf("linear", "smoothed")),
     "tfidf_batch_benchmark": _benchmark(TfIdf()),
     "tfidf_score_docs": _scored(TfIdf()),
+    "tfidf_score_all_docs": _scored_all(TfIdf()),
     "ql_dirichlet": _ranked(Dirichlet()),
     "ql_dirichlet_mu": _ranked(Dirichlet.of(250.0)),
     "ql_jm": _ranked(JelinekMercer()),

@@ -142,8 +142,10 @@ SQL = {
     "corpus_stats": with_base("x AS (SELECT 1) SELECT n_docs, total_len, round(avg_doc_len, 6) AS avg_doc_len FROM cs"),
     "term_stats": with_base("x AS (SELECT 1) SELECT term, df, cf FROM ts"),
     "term_frequency_lookup": with_base(f"{values(QUERY)} SELECT d.doc_id, q.term, coalesce(tf, 0) AS tf FROM (SELECT doc_id FROM documents WHERE doc_id IN ({IDS})) d CROSS JOIN q LEFT JOIN post ON post.doc_id = d.doc_id AND post.term = q.term"),
+    "term_frequency_all_docs": with_base(f"{values(QUERY)} SELECT d.doc_id, q.term, coalesce(tf, 0) AS tf FROM documents d CROSS JOIN q LEFT JOIN post ON post.doc_id = d.doc_id AND post.term = q.term"),
     "document_frequency_lookup": with_base(f"{values(QUERY + UNSEEN)} SELECT q.term, coalesce(df, 0) AS df FROM q LEFT JOIN ts USING (term)"),
     "document_length_lookup": with_base(f"i AS (SELECT unnest([{IDS}, -7]) AS doc_id) SELECT CAST(i.doc_id AS BIGINT) AS doc_id, coalesce(doc_len, 0) AS doc_len FROM i LEFT JOIN dl USING (doc_id)"),
+    "document_length_all_docs": with_base("x AS (SELECT 1) SELECT d.doc_id, coalesce(doc_len, 0) AS doc_len FROM documents d LEFT JOIN dl USING (doc_id)"),
     "document_ids": "SELECT doc_id FROM documents",
     "vocabulary": with_base("x AS (SELECT 1) SELECT term FROM ts"),
     "idf_bm25": with_base("x AS (SELECT 1) SELECT term, round(ln(1 + (n_docs - df + 0.5) / (df + 0.5)), 6) AS idf FROM ts, cs"),
@@ -162,6 +164,7 @@ SQL = {
     "bm25_dup_terms": bm25(values(REPEATED)),
     "bm25_unseen_terms": bm25(values(UNSEEN)),
     "bm25_score_docs": with_base(f"{bm25_cte(values(QUERY))} SELECT CAST(0 AS BIGINT) AS query_id, d.doc_id, coalesce(score, 0.0) AS score FROM (SELECT doc_id FROM documents WHERE doc_id IN ({IDS})) d LEFT JOIN s USING (doc_id)"),
+    "bm25_score_all_docs": with_base(f"{bm25_cte(values(QUERY))} SELECT CAST(0 AS BIGINT) AS query_id, d.doc_id, coalesce(score, 0.0) AS score FROM documents d LEFT JOIN s USING (doc_id)"),
     "bm25_batch_benchmark": bm25(BENCH),
     "tfidf_default": tfidf(values(QUERY)),
     "tfidf_linear": tfidf(values(QUERY), tf="linear"),
@@ -169,6 +172,7 @@ SQL = {
     "tfidf_linear_smoothed": tfidf(values(QUERY), tf="linear", idf="smoothed"),
     "tfidf_batch_benchmark": tfidf(BENCH),
     "tfidf_score_docs": with_base(f"{tfidf_cte(values(QUERY))} SELECT CAST(0 AS BIGINT) AS query_id, d.doc_id, coalesce(score, 0.0) AS score FROM (SELECT doc_id FROM documents WHERE doc_id IN ({IDS})) d LEFT JOIN s USING (doc_id)"),
+    "tfidf_score_all_docs": with_base(f"{tfidf_cte(values(QUERY))} SELECT CAST(0 AS BIGINT) AS query_id, d.doc_id, coalesce(score, 0.0) AS score FROM documents d LEFT JOIN s USING (doc_id)"),
     "ql_dirichlet": likelihood(values(QUERY), dirichlet(1000.0)),
     "ql_dirichlet_mu": likelihood(values(QUERY), dirichlet(250.0)),
     "ql_jm": likelihood(values(QUERY), jm(0.5)),

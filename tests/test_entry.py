@@ -35,6 +35,12 @@ def test_every_query_has_sql():
     assert set(catalog.queries()) == set(catalog.oracle_sql())
 
 
+@pytest.mark.parametrize("name", ["bm25_score_all_docs", "tfidf_score_all_docs", "term_frequency_all_docs", "document_length_all_docs"])
+def test_every_document_is_looked_up(spark, name):
+    ids = {r.doc_id for r in catalog.docs(spark, SF).select("doc_id").collect()}
+    assert {r.doc_id for r in catalog.queries()[name](spark, SF).collect()} == ids
+
+
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query_equals_sql(spark, sql, name):
     df = catalog.queries()[name](spark, SF)
