@@ -7,13 +7,13 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: The ASCII white space of the contracts, as a regex class.
 SPACE = r"[\x20\x09-\x0D]+"
-#: Words of a bit filter that may be broadcast: 2^20 rows of two longs, whatever the input's size.
-FILTER_WORDS = 1 << 20
+#: A bit filter that is broadcast has at most so many blocks of so many 64-bit words: 8 MB, whatever the input's size.
+FILTER_BLOCKS, BLOCK_WORDS = 1 << 14, 64
 #: A key is hot if it holds more than 1 / HOT of the rows; so at most HOT keys are.
 HOT = 1024
 
@@ -35,13 +35,21 @@ def shared_dir(spark: SparkSession) -> str:
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
+#: Folders of this process's stores.
+_ROOTS: list[str] = []
+
+
 class Store:
-    """Tables that a job writes to the shared folder so that lost executors cost no recomputation."""
+    """Tables that a job writes to the shared folder so that lost executors cost no recomputation.
+
+    Results may read them, so they stay until ``release`` is called or, in the operators, ``drop``.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         small_batches(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        _ROOTS.append(self.root)
         self.n = 0
 
     def path(self, name: str) -> str:
@@ -56,15 +64,29 @@ class Store:
         out._stored_at = path
         return out
 
+    def put_seen(self, df: DataFrame, name: str, **sums: Column) -> tuple[DataFrame, dict]:
+        """As ``put``, and the aggregates ``sums`` of the rows, taken while they are written."""
+        seen = Observation()
+        return self.put(df.observe(seen, *(c.alias(n) for n, c in sums.items())), name), seen.get
+
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that no returned plan reads any more."""
         for t in tables:
             self.delete(t._stored_at)
 
     def delete(self, path: str) -> None:
-        jvm, jsc = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
+        _delete(self.spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all that operators of this process stored; results that were not written elsewhere are gone then."""
+    while _ROOTS:
+        _delete(spark, _ROOTS.pop())
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -80,24 +102,29 @@ def power_of_two(n: int) -> int:
     return 1 << max(0, int(n) - 1).bit_length()
 
 
+def _place(slot: str) -> tuple[str, str, str]:
+    """SQL for the block, the word in it and the bit in that word of a slot number."""
+    return f"pmod({slot} div {64 * BLOCK_WORDS}, {FILTER_BLOCKS}L)", f"cast(pmod({slot} div 64, {BLOCK_WORDS}) as int)", f"shiftleft(1L, cast(pmod({slot}, 64) as int))"
+
+
 def bit_filter(slots: DataFrame, slot: str = "slot") -> DataFrame:
-    """Folds slot numbers to 64-bit words: ``word, bits``, at most FILTER_WORDS rows for any input."""
-    bit = F.expr(f"shiftleft(1L, cast(pmod({slot}, 64) as int))")
-    word = F.expr(f"pmod({slot} div 64, {FILTER_WORDS}L)")
-    return slots.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    """Slot numbers as a bit filter: ``block, words`` with BLOCK_WORDS longs a row, at most FILTER_BLOCKS rows for any input."""
+    block, at, bit = _place(slot)
+    words = slots.groupBy(F.expr(block).alias("block"), F.expr(at).alias("at")).agg(F.bit_or(F.expr(bit)).alias("bits"))
+    held = words.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("at", "bits"))).alias("m"))
+    return held.select("block", F.expr(f"transform(sequence(0, {BLOCK_WORDS - 1}), i -> coalesce(m[i], 0L))").alias("words"))
 
 
 def maybe_in(df: DataFrame, words: DataFrame, slot: Column, flag: str) -> DataFrame:
     """Adds the boolean ``flag``: whether the filter has the slot's bit. False is certain, true is not.
 
-    The words are broadcast: ``bit_filter`` bounds them, however large the input.
+    The blocks are broadcast: ``bit_filter`` bounds them, however large the input.
     """
-    named = words.select(F.col("word").alias("__word"), F.col("bits").alias("__bits"))
-    marked = df.withColumn("__slot", slot)
-    at = F.expr(f"pmod(__slot div 64, {FILTER_WORDS}L)")
-    joined = marked.join(F.broadcast(named), at == F.col("__word"), "left")
-    hit = F.expr("coalesce(__bits, 0L) & shiftleft(1L, cast(pmod(__slot, 64) as int))") != 0
-    return joined.withColumn(flag, F.coalesce(hit, F.lit(False))).drop("__slot", "__word", "__bits")
+    named = words.select(F.col("block").alias("__block"), F.col("words").alias("__words"))
+    block, at, bit = _place("__slot")
+    joined = df.withColumn("__slot", slot).join(F.broadcast(named), F.expr(block) == F.col("__block"), "left")
+    hit = F.expr(f"coalesce(get(__words, {at}), 0L) & {bit}") != 0
+    return joined.withColumn(flag, hit).drop("__slot", "__block", "__words")
 
 
 def lookup(rows: DataFrame, groups: DataFrame, key: list[str], size: str, n: int, how: str = "inner") -> DataFrame:
@@ -115,8 +142,8 @@ def lookup(rows: DataFrame, groups: DataFrame, key: list[str], size: str, n: int
 def components(edges: DataFrame, store: Store) -> DataFrame:
     """Connected components of ``a, b`` (longs): ``node, root`` with the smallest node as root.
 
-    Large-star and small-star rounds: each keeps the edges as DataFrames and writes them, until a
-    round changes nothing. Only sums come to the driver.
+    Large-star and small-star rounds: each writes its edges, until a round changes nothing. Only sums come
+    to the driver. A hub's edges are one key of the joins; adaptive execution splits such a key's rows.
     """
     now = store.put(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = None
@@ -124,16 +151,14 @@ def components(edges: DataFrame, store: Store) -> DataFrame:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = store.put(large, "large")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        after = store.put(small, "small")
-        seen = after.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.hash("a", "b").cast("long"))).first()
-        store.drop(now, large)
+        after, seen = store.put_seen(small, "stars", rows=F.count("*"), xor=F.bit_xor(F.xxhash64("a", "b")), sum=F.sum(F.hash("a", "b").cast("long")))
+        store.drop(now)
         now = after
-        if tuple(seen) == state:
+        if seen == state:
             break
-        state = tuple(seen)
+        state = seen
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 

@@ -53,9 +53,9 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     n = signed.count()
     words, slot = _repeated(signed, n)
     words = store.put(words.coalesce(1), "filter")
-    flagged = maybe_in(signed, words, slot, "suspect")
-    single = flagged.where("not suspect").select("id", "__digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    suspects = flagged.where("suspect").select("id", "__digest")
+    flagged = maybe_in(signed, words, slot, "__suspect")
+    single = flagged.where("not __suspect").select("id", "__digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    suspects = flagged.where("__suspect").select("id", "__digest")
     groups = store.put(_groups(suspects, "id"), "groups")
     found = lookup(suspects, groups, ["__digest"], "group_size", n)
     return single.unionByName(found.select(*single.columns)).select(
@@ -74,11 +74,13 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     signed = store.put(docs.select(F.col(id_col).alias("id"), _digest(F.col(text_col)).alias("__digest")), "signatures")
     words, slot = _repeated(signed, signed.count())
     words = store.put(words.coalesce(1), "filter")
-    groups = store.put(_groups(maybe_in(signed, words, slot, "suspect").where("suspect"), "id"), "groups")
-    whole = maybe_in(docs.withColumn("__digest", _digest(F.col(text_col))), words, slot, "suspect")
-    single = whole.where("not suspect").select(*docs.columns)
+    groups = store.put(_groups(maybe_in(signed, words, slot, "__suspect").where("__suspect"), "id"), "groups")
+    # the row travels as one column, so that none of its names can clash
+    row = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), _digest(F.col(text_col)).alias("__digest"))
+    whole = maybe_in(row, words, slot, "__suspect")
+    single = whole.where("not __suspect").select("row.*")
     keep = groups.select("__digest", "keep_id")
-    chosen = whole.where("suspect").join(
-        keep, (whole["__digest"] == keep["__digest"]) & whole[id_col].eqNullSafe(keep["keep_id"]), "left_semi"
+    chosen = whole.where("__suspect").join(
+        keep, (whole["__digest"] == keep["__digest"]) & whole["id"].eqNullSafe(keep["keep_id"]), "left_semi"
     )
-    return single.unionByName(chosen.dropDuplicates(["__digest", id_col]).select(*docs.columns))
+    return single.unionByName(chosen.dropDuplicates(["__digest", "id"]).select("row.*"))

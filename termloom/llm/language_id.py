@@ -10,8 +10,11 @@ Learned from at most ``per_language`` training texts of each language, those wit
 the id; whole texts are used for training and for prediction.
 
 Defined cases: a null text, or one without a letter, gives ``und`` and score 0; so does every text if
-nothing could be learned. Texts with letters always get a learned language. Ids that are null are
-never trained on. Columns besides id, text and lang are ignored.
+nothing could be learned. Texts with letters always get a learned language; of languages at equal
+distance the first name, with score 0. Ids that are null are never trained on. Rows that repeat an id
+count each for itself, in training too. Columns besides id, text and lang are ignored, whatever their
+names; ``recognised`` carries them along. An empty table gives an empty result. The session's
+Arrow batches are held to the library's limits.
 """
 
 from __future__ import annotations
@@ -22,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
-from .common import held_out, may_train
+from .common import held_out, may_train, small_batches
 
 #: N-grams in a profile.
 TOP = 300
@@ -31,6 +35,7 @@ TOP = 300
 PER_LANGUAGE = 1000
 UNKNOWN = "und"
 DRAWS = 1 << 30
+_GUESS = StructType().add("lang_pred", StringType()).add("score", DoubleType())
 
 _GAP = 0x20
 _LETTERS: np.ndarray | None = None
@@ -102,6 +107,7 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, top: int = TOP) ->
     The driver gets at most ``per_language`` ids and ``top`` n-grams for each language.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     able = docs.where(F.col("lang").isNotNull() & may_train(F.col("doc_id")))
     # a hash cut at twice the wanted number for each language first, so that the ranking moves few rows
     drawn = able.select("doc_id", "lang", F.expr(f"pmod(xxhash64(doc_id), {DRAWS}L)").alias("draw"))
@@ -131,30 +137,30 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, top: int = TOP) ->
     return Profiles(ranked, top)
 
 
-def predict(docs: DataFrame, profiles: Profiles, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with lang_pred and score of the column ``text``."""
+def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
+    """``row`` (a struct of the columns of ``docs``), ``lang_pred`` and ``score`` of the column ``text``."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(profiles)
-    names = [f"__{i}" for i in range(len(keep))]
-    at_text = keep.index("text") if "text" in keep else len(keep)
-    given = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], *([] if at_text < len(keep) else [F.col("text").alias("__text")]))
-    out = given.select(*names).schema.add("lang_pred", "string").add("score", "double")
+    at_text = docs.columns.index("text")
+    given = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
 
     def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for b in batches:
             for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                said = [model.predict(t.as_py()) for t in part.column(at_text)]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[: len(names)], pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())],
-                    [*names, "lang_pred", "score"],
-                )
+                part = b.column(0).slice(at, 512)
+                said = [model.predict(t.as_py()) for t in part.field(at_text)]
+                yield pa.RecordBatch.from_arrays([part, pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())], ["row", "lang_pred", "score"])
 
-    made = given.mapInArrow(guess, out)
-    return made.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "lang_pred", "score")
+    return given.mapInArrow(guess, StructType([*given.schema.fields, *_GUESS.fields]))
+
+
+def recognised(docs: DataFrame, profiles: Profiles) -> DataFrame:
+    """The rows of ``docs`` that have a language, with all their columns."""
+    return predict(docs, profiles).where(F.col("lang_pred") != UNKNOWN).select("row.*")
 
 
 def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score."""
-    said = predict(docs, learn(docs, per_language), ["doc_id"])
-    return said.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    said = predict(docs.select("doc_id", "text"), learn(docs, per_language))
+    return said.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")

@@ -8,23 +8,29 @@ collisions of 64-bit shingle hashes and 128-bit set hashes.
 1. Counters of a fixed number of hash slots give every shingle a rough document frequency. It only
    sets the order in which prefixes are taken, rarest first, so that what many documents share comes
    last; any order gives the same links.
-2. A linking pair shares a shingle of both prefixes. Documents with equal size and prefix form one
-   group with one entry for each prefix shingle; equal sets are one class within it. Shingles of a
+2. Equal sets are one class, and classes of equal size and prefix one group. A linking pair shares a
+   shingle of both prefixes, so each group has one entry for each of its prefix shingles. Shingles of a
    single group are dropped (a bounded filter spares most of them the shuffle), and of shingles with
-   exactly the same groups one is enough.
-3. Each remaining list of classes picks a leader by a hash of its own, and leaders are checked with
-   their list. That finds nearly all components without comparing all members of a list.
-4. Lists whose members are in several components are compared in blocks: all those outside the list's
-   largest component against everyone, first for the likeliest partner of each, then for all. Set sizes, the places of the shared shingle in both prefixes and
-   parity sketches (whose Hamming distance bounds the symmetric difference from below) leave few pairs.
-5. Pairs that survive are checked on the whole sets, as in step 3.
-
-So no link between different components is lost, and no list is held or expanded as a whole.
+   exactly the same groups one is enough. What is left are lists of groups.
+3. Pairs of groups are filtered by size and by the places of the shared shingle in both prefixes. First
+   each list pairs its groups with one leader; a pair that passes expands to one class of each group, and
+   groups pair their classes with one of their own. Parity sketches (whose Hamming distance bounds the
+   symmetric difference from below) and then the whole sets verify pairs of classes. That finds nearly all
+   components without comparing all groups of a list.
+4. Groups are cut by component. Lists that are still in several components are compared in blocks: all
+   those outside the list's largest component against everyone, first for the likeliest partner of each
+   and one class of a group, then for all. Pairs of groups are filtered as above (by sketches too, where
+   both groups are a single class), expanded to their classes, and verified as in step 3.
+
+So no link between different components is lost, and no list is held or expanded as a whole. Keys that
+many rows share (a list's shingle, a hub of links) are split by adaptive execution where they are joined
+and combined before they shuffle where they are summed up.
 
 Defined cases: a null text, or one without words, has an empty set, links with nothing and is its own
 component. Rows that repeat an id are one document of its component if their texts link, else each
 its own; a null id never becomes a component's name unless no member has an id. Columns besides id
-and text are ignored. An empty table gives an empty result.
+and text are ignored, whatever their names; ``one_per_component`` carries them along. Texts of any
+length are read whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,6 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,8 +56,8 @@ COUNTER_PIECES = 64
 COUNTED = 60_000
 #: Bits of the smallest sketch; larger sets have two to four bits for each shingle.
 SKETCH_BITS = 512
-#: Rows of one side of a block.
-BLOCK = 4096
+#: Rows of one side of a block: a sixteenth of the list, but at least and at most these.
+LEAST_BLOCK, BLOCK = 256, 4096
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], dtype=np.uint64)
 
@@ -137,9 +144,8 @@ def _frequencies(texts: DataFrame, width: int) -> np.ndarray:
     return out
 
 
-def _profiles(given: DataFrame, frequencies: np.ndarray, width: int, percent: int) -> DataFrame:
-    """doc_id, n, set key (c1, c2), group key (g1, g2), prefix and sketch of every row."""
-    sent = given.sparkSession.sparkContext.broadcast(frequencies)
+def _profiles(given: DataFrame, sent: Broadcast, width: int, percent: int) -> DataFrame:
+    """doc_id, n, set key (c1, c2), group g, prefix and sketch of every row. Groups that collide are compared as one."""
     kind = given.schema["doc_id"].dataType.simpleString()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,34 +156,33 @@ def _profiles(given: DataFrame, frequencies: np.ndarray, width: int, percent: in
                 one = shingles(t.as_py(), width)
                 first = one[np.lexsort((one, rank[_slots(one)]))[: prefix_length(len(one), percent) if len(one) else 0]]
                 n.append(len(one))
-                keys.append(np.concatenate((_longs(xxhash.xxh3_128_digest(one.tobytes())), _longs(xxhash.xxh3_128_digest(first.tobytes(), seed=len(one))))))
+                keys.append(np.concatenate((_longs(xxhash.xxh3_128_digest(one.tobytes())), _longs(xxhash.xxh3_64_digest(first.tobytes(), seed=len(one))))))
                 prefixes.append(first.view(np.int64))
                 sketches.append(sketch(one))
             k = np.array(keys).T
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(n, pa.int64()), *map(pa.array, k), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
-                ["doc_id", "n", "c1", "c2", "g1", "g2", "prefix", "sketch"],
+                ["doc_id", "n", "c1", "c2", "g", "prefix", "sketch"],
             )
 
-    return given.mapInArrow(make, f"doc_id {kind}, n long, c1 long, c2 long, g1 long, g2 long, prefix array<long>, sketch array<long>")
+    return given.mapInArrow(make, f"doc_id {kind}, n long, c1 long, c2 long, g long, prefix array<long>, sketch array<long>")
 
 
-def _shared_entries(prefixes: DataFrame, store: Store, n: int) -> DataFrame:
-    """token, g, pos: the entries of prefix shingles that several groups may have, once each.
+def _shared_entries(filled: DataFrame, store: Store, rows: int, entries: int) -> DataFrame:
+    """token, g, n, left: the entries of prefix shingles that several groups may have, once each.
 
-    ``prefixes`` has c1, c2, g, prefix of every document with words. Of equal sets one is taken; only rows
-    that may have an equal shuffle for that. A shingle moves only as a slot number until a second one
-    is known to share its slot. ``g`` is a hash of the group; groups that collide are compared as one.
+    ``filled`` has g, n, prefix of every document with words. Of equal groups one row is taken; only rows that
+    may have an equal shuffle for that. A shingle moves only as a slot number until a second one is known
+    to share its slot. ``left`` is the number of shingles from the entry on.
     """
-    set_slot = F.expr(f"pmod(xxhash64(c1, c2), {power_of_two(max(n, 1) * 64)}L)")
-    again = prefixes.select(set_slot.alias("slot")).groupBy("slot").count().where("count > 1")
-    marked = maybe_in(prefixes, store.put(bit_filter(again), "equal-sets"), set_slot, "again")
-    one_each = marked.where("not again").select("g", "prefix").unionByName(marked.where("again").dropDuplicates(["c1", "c2"]).select("g", "prefix"))
-    total = prefixes.agg(F.sum(F.size("prefix"))).first()[0] or 1
-    slot = F.expr(f"pmod(token, {power_of_two(total * 32)}L)")
-    entries = one_each.select("g", F.posexplode("prefix").alias("pos", "token"))
-    twice = entries.select(slot.alias("slot")).groupBy("slot").count().where("count > 1")
-    return maybe_in(entries, store.put(bit_filter(twice), "shared-shingles"), slot, "shared").where("shared").select("token", "g", "pos").distinct()
+    group_slot = F.expr(f"pmod(xxhash64(g), {power_of_two(max(rows, 1) * 64)}L)")
+    again = filled.select(group_slot.alias("slot")).groupBy("slot").count().where("count > 1")
+    marked = maybe_in(filled, store.put(bit_filter(again), "equal-groups"), group_slot, "again")
+    one_each = marked.where("not again").drop("again").unionByName(marked.where("again").drop("again").dropDuplicates(["g"]))
+    slot = F.expr(f"pmod(token, {power_of_two(max(entries, 1) * 32)}L)")
+    every = one_each.select("g", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "g", "n", F.expr("n - pos").alias("left"))
+    twice = every.select(slot.alias("slot")).groupBy("slot").count().where("count > 1")
+    return maybe_in(every, store.put(bit_filter(twice), "shared-shingles"), slot, "shared").where("shared").drop("shared")
 
 
 def _sets(given: DataFrame, nodes: DataFrame, width: int, n: int) -> DataFrame:
@@ -199,46 +204,79 @@ def _sets(given: DataFrame, nodes: DataFrame, width: int, n: int) -> DataFrame:
     return made.join(nodes.select("k", "c1", "c2"), ["c1", "c2"]).select("k", "shingles")
 
 
-def _near(percent: int) -> str:
-    """Whether sizes, sketches and what is left from the first common shingle on leave a link possible."""
+def _apart(percent: int) -> str:
+    """SQL that sketches (sketch_a, sketch_b, sizes n_a, n_b) leave a link possible."""
     half = lambda x: f"zip_with(slice({x}, 1, cast(size({x}) / 2 as int)), slice({x}, cast(size({x}) / 2 as int) + 1, cast(size({x}) / 2 as int)), (p, q) -> p ^ q)"
     far = lambda x, y: f"aggregate(zip_with({x}, {y}, (p, q) -> bit_count(p ^ q)), 0, (s, x) -> s + x)"
     a, b, s = "sketch_a", "sketch_b", "(n_a + n_b)"
     apart = f"CASE WHEN size({a}) = size({b}) THEN {far(a, b)} WHEN size({a}) = 2 * size({b}) THEN {far(half(a), b)} WHEN size({b}) = 2 * size({a}) THEN {far(a, half(b))} ELSE 0 END"
-    return f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) AND {100 + percent} * most >= {percent} * {s} AND {100 + percent} * ({s} - {apart}) >= {2 * percent} * {s}"
+    return f"{100 + percent} * ({s} - {apart}) >= {2 * percent} * {s}"
 
 
-def _checked(pairs: DataFrame, classes: DataFrame, given: DataFrame, width: int, percent: int, n: int, store: Store) -> DataFrame:
-    """Of the pairs (a, b, most) of classes those that link; only sets of likely pairs are made again.
+def _possible(percent: int) -> str:
+    """SQL that sizes (n_a, n_b), and what is left of both from a common shingle on, leave a link possible where that shingle is the first in common."""
+    return f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) AND {100 + percent} * least(left_a, left_b) >= {percent} * (n_a + n_b)"
 
-    ``most`` bounds what the sets have in common, if the shingle that paired them is their first.
-    """
+
+def _linking(pairs: DataFrame, classes: DataFrame, given: DataFrame, width: int, percent: int, rows: int, store: Store) -> DataFrame:
+    """Of the pairs (a, b) of classes those that link; only sets of likely pairs are made again."""
     of = lambda x: classes.select(F.col("k").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    likely = store.put(pairs.join(of("a"), "a").join(of("b"), "b").where(_near(percent)).select("a", "b"), "likely")
-    asked = likely.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-    nodes = store.put(classes.select("k", "c1", "c2", "min_doc").join(asked, "k", "left_semi"), "nodes")
-    sets = store.put(_sets(given, nodes, width, n), "sets")
+    likely = store.put(pairs.distinct().join(of("a"), "a").join(of("b"), "b").where(_apart(percent)).select("a", "b"), "likely")
+    nodes = classes.select("k", "c1", "c2", "min_doc").join(likely.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "k", "left_semi")
+    sets = store.put(_sets(given, nodes, width, rows), "sets")
     whole = lambda x: sets.select(F.col("k").alias(x), F.col("shingles").alias(f"set_{x}"))
     both = likely.join(whole("a"), "a").join(whole("b"), "b")
     common = F.expr("cast(size(array_intersect(set_a, set_b)) as long)")
     return both.select("a", "b", common.alias("o"), F.expr("cast(size(set_a) + size(set_b) as long)").alias("s")).where(f"{100 + percent} * o >= {percent} * s").select("a", "b")
 
 
-def _across(lists: DataFrame, classes: DataFrame, roots: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Pairs (a, b) of one list and different components that may link, each list in blocks.
+def _with_leaders(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes: of each list's leading group with the others, and of each group's first class with the others.
 
-    With ``best``, of each class outside its list's largest component only the likeliest pair in a block.
+    Pairs of groups are filtered before they expand to one class of each.
+    """
+    lead = lists.groupBy("token").agg(F.min(F.struct(F.xxhash64("token", "g"), "g", "n", "left")).alias("of"))
+    lead = lead.select("token", F.col("of.g").alias("g_b"), F.col("of.n").alias("n_b"), F.col("of.left").alias("left_b"))
+    named = lists.select("token", F.col("g").alias("g_a"), F.col("n").alias("n_a"), F.col("left").alias("left_a"))
+    pairs = named.join(lead, "token").where("g_a <> g_b").where(_possible(percent)).select(F.least("g_a", "g_b").alias("g_a"), F.greatest("g_a", "g_b").alias("g_b")).distinct()
+    first = classes.groupBy("g").agg(F.min("k").alias("first"), F.count("*").alias("classes"))
+    head = lambda x: first.select(F.col("g").alias(f"g_{x}"), F.col("first").alias(x))
+    across = pairs.join(head("a"), "g_a").join(head("b"), "g_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    inside = classes.join(first.where("classes > 1"), "g").where("k <> first").select(F.col("first").alias("a"), F.col("k").alias("b"))
+    return across.unionByName(inside)
+
+
+def _across(lists: DataFrame, classes: DataFrame, roots: DataFrame, percent: int, best: bool, store: Store) -> DataFrame:
+    """Pairs (a, b) of classes of different components whose groups are in one list and may link.
+
+    A part is what of a group is in one component; it is named by its smallest class. Lists are compared in
+    blocks of parts. With ``best``, of each part outside its list's largest component only the likeliest pair
+    in a block, and of the pair's classes only those with one of the two names.
     """
-    placed = lists.join(roots.select(F.col("node").alias("k"), "root"), "k", "left").select("token", "k", "left", F.coalesce("root", "k").alias("root"))
-    parts = placed.groupBy("token", "root").agg(F.count("*").alias("m"))
-    tokens = parts.groupBy("token").agg(F.max(F.struct("m", "root")).alias("most"), F.sum("m").alias("total"), F.count("*").alias("parts")).where("parts > 1").select(
-        "token", F.col("most.root").alias("bulk"), F.expr(f"(total + {BLOCK - 1}) div {BLOCK}").alias("blocks"), F.expr(f"(total - most.m + {BLOCK - 1}) div {BLOCK}").alias("minor_blocks")
+    homes = store.put(classes.join(roots.withColumnRenamed("node", "k"), "k", "left").select("k", "g", "n", "sketch", F.coalesce("root", "k").alias("root")), "homes")
+    parts = homes.groupBy("g", "root").agg(F.min("k").alias("part"), F.count("*").alias("classes"), F.first("n").alias("n"), F.min_by("sketch", "k").alias("sketch"))
+    parts = store.put(parts.withColumn("sketch", F.when(F.col("classes") == 1, F.col("sketch")).otherwise(F.expr("array()"))), "parts")
+    several = parts.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select("g")
+    slim = parts.select("g", "part", "root", "n")
+    placed = lists.select("token", "g", "left").join(slim, "g").unionByName(slim.join(several, "g", "left_semi").select(F.xxhash64("g", F.lit("group")).alias("token"), "g", F.col("n").alias("left"), "part", "root", "n"))
+    counted = placed.groupBy("token", "root").agg(F.count("*").alias("m"))
+    tokens = counted.groupBy("token").agg(F.max(F.struct("m", "root")).alias("most"), F.sum("m").alias("total"), F.count("*").alias("parts")).where("parts > 1")
+    tokens = tokens.withColumn("block", F.expr(f"least({BLOCK}, greatest({LEAST_BLOCK}, total div 16))")).select(
+        "token", F.col("most.root").alias("bulk"), F.expr("(total + block - 1) div block").alias("blocks"), F.expr("(total - most.m + block - 1) div block").alias("minor_blocks")
     )
-    rows = placed.join(tokens, "token").join(classes.select("k", "n", "sketch"), "k").withColumn("h", F.xxhash64("k", F.lit("block")))
+    rows = placed.drop("g").join(tokens, "token").join(parts.select("part", "sketch"), "part").withColumn("h", F.xxhash64("part", F.lit("block"))).withColumnRenamed("part", "k")
     fields = ["token", "k", "root", "n", "left", "sketch"]
     right = rows.select(*fields, F.lit(0).alias("asks"), F.explode(F.expr("sequence(0L, minor_blocks - 1)")).alias("u"), F.expr("pmod(h, blocks)").alias("v"))
     others = rows.where("root <> bulk").select(*fields, F.lit(1).alias("asks"), F.expr("pmod(h, minor_blocks)").alias("u"), F.explode(F.expr("sequence(0L, blocks - 1)")).alias("v"))
     units = right.unionByName(others).repartition("token", "u", "v").sortWithinPartitions("token", "u", "v", "asks", "k")
+    pairs = store.put(_compared(units, percent, best).distinct(), "part-pairs")
+    member = lambda x: homes.join(slim, ["g", "root"]).select(F.col("part").alias(f"part_{x}"), F.col("k").alias(x))
+    expanded = pairs.join(member("a"), "part_a").join(member("b"), "part_b")
+    return (expanded.where("a = part_a OR b = part_b") if best else expanded).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _compared(units: DataFrame, percent: int, best: bool) -> DataFrame:
+    """part_a, part_b: the pairs of each block that pass size, place and (where both have one) sketch."""
 
     def compare(k: np.ndarray, root: np.ndarray, n: np.ndarray, rest: np.ndarray, sk: list[np.ndarray], split: int) -> Iterator[tuple]:
         """The first ``split`` rows are everyone of the block, the others those to compare with them."""
@@ -265,7 +303,7 @@ def _across(lists: DataFrame, classes: DataFrame, roots: DataFrame, percent: int
                             far = np.bitwise_count(x[r : r + few, None, :] ^ y[None, c : c + some, :]).sum(axis=2, dtype=np.int64)
                             spare = (100 + percent) * (s - far) - 2 * percent * s
                             at = np.nonzero(ok & (spare >= 0))
-                            yield i[at[0]], j[at[1]], most[at], spare[at] / s[at]
+                            yield i[at[0]], j[at[1]], spare[at] / s[at]
 
     def block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -277,19 +315,18 @@ def _across(lists: DataFrame, classes: DataFrame, roots: DataFrame, percent: int
             flat, cuts = sketches.flatten().to_numpy().view(np.uint64), sketches.offsets.to_numpy() - sketches.offsets[0].as_py()
             split = int((t.column("asks").to_numpy() == 0).sum())
             likeliest: dict[int, tuple] = {}
-            for i, j, most, spare in compare(k, root, n, rest, np.split(flat, cuts[1:-1]), split):
+            for i, j, spare in compare(k, root, n, rest, np.split(flat, cuts[1:-1]), split):
                 if best:
                     for at in np.lexsort((-spare, i))[np.r_[True, np.diff(np.sort(i)) > 0]] if len(i) else ():
                         if spare[at] > likeliest.get(i[at], (-1.0,))[0]:
-                            likeliest[i[at]] = (spare[at], j[at], most[at])
+                            likeliest[i[at]] = (spare[at], j[at])
                 elif len(i):
-                    yield from pairs(k[i], k[j], most)
+                    yield pairs(k[i], k[j])
             if likeliest:
-                of = np.array(list(likeliest))
-                yield from pairs(k[of], k[np.array([x[1] for x in likeliest.values()])], np.array([x[2] for x in likeliest.values()]))
+                yield pairs(k[np.array(list(likeliest))], k[np.array([x[1] for x in likeliest.values()])])
 
-        def pairs(x: np.ndarray, y: np.ndarray, most: np.ndarray) -> Iterator[pa.RecordBatch]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(most)], ["a", "b", "most"])
+        def pairs(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["part_a", "part_b"])
 
         for b in batches:
             key = np.stack([b.column(i).to_numpy() for i in (b.schema.get_field_index(c) for c in ("token", "u", "v"))])
@@ -303,40 +340,36 @@ def _across(lists: DataFrame, classes: DataFrame, roots: DataFrame, percent: int
         if held:
             yield from unit(held)
 
-    return units.mapInArrow(block_pairs, "a long, b long, most long").groupBy("a", "b").agg(F.max("most").alias("most"))
+    return units.mapInArrow(block_pairs, "part_a long, part_b long")
 
 
 def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id."""
     store = Store(docs.sparkSession, "ngram-join")
     given = docs.select("doc_id", "text")
-    profiles = store.put(_profiles(given, _frequencies(docs.select("text"), width), width, percent), "profiles")
-    n, filled = profiles.count(), profiles.where("n > 0")
+    sent = docs.sparkSession.sparkContext.broadcast(_frequencies(docs.select("text"), width))
+    profiles, seen = store.put_seen(_profiles(given, sent, width, percent), "profiles", rows=F.count("*"), entries=F.sum(F.size("prefix").cast("long")))
+    sent.destroy()  # what is stored is not made again
+    rows, filled = seen["rows"], profiles.where("n > 0")
 
-    slim = filled.groupBy("c1", "c2").agg(F.min("doc_id").alias("min_doc"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("g1").alias("g"), F.first("sketch").alias("sketch"))
+    slim = filled.groupBy("c1", "c2").agg(F.min("doc_id").alias("min_doc"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("g").alias("g"), F.first("sketch").alias("sketch"))
     classes = store.put(slim.withColumn("k", F.monotonically_increasing_id()), "classes")
 
-    shared = store.put(_shared_entries(filled.select("c1", "c2", F.col("g1").alias("g"), "prefix"), store, n), "entries")
-    signed = shared.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("g")).alias("x"), F.bit_xor(F.xxhash64("g", F.lit(7))).alias("y"), F.sum("pos").alias("at")).where("c > 1")
+    shared = store.put(_shared_entries(filled.select("g", "n", "prefix"), store, rows, seen["entries"] or 0), "entries")
+    signed = shared.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("g")).alias("x"), F.bit_xor(F.xxhash64("g", F.lit(7))).alias("y"), F.sum(F.col("n") - F.col("left")).alias("at")).where("c > 1")
     # of shingles with the same groups the first in the common order; it stands first in every prefix
-    tokens = signed.groupBy("c", "x", "y").agg(F.min_by("token", "at").alias("token")).select("token")
-    members = shared.join(tokens, "token", "left_semi").join(classes.select("g", "k", "n"), "g").select("token", "k", (F.col("n") - F.col("pos")).alias("left"))
-    several = classes.groupBy("g").count().where("count > 1").select("g")
-    inside = classes.join(several, "g", "left_semi").select(F.xxhash64("g", F.lit("group")).alias("token"), "k", F.col("n").alias("left"))
-    lists = store.put(members.unionByName(inside), "lists")
+    tokens = signed.groupBy("c", "x", "y").agg(F.min_by("token", F.struct("at", "token")).alias("token")).select("token")
+    lists = store.put(shared.join(tokens, "token", "left_semi"), "lists")
     store.drop(shared)
 
-    check = lambda pairs: _checked(pairs, classes, given, width, percent, n, store)
-    leaders = lists.groupBy("token").agg(F.min(F.struct(F.xxhash64("token", "k"), "k", "left")).alias("least")).select("token", F.col("least.k").alias("leader"), F.col("least.left").alias("leaders_left"))
-    stars = lists.join(leaders, "token").where("k <> leader").select(F.least("k", "leader").alias("a"), F.greatest("k", "leader").alias("b"), F.least("left", "leaders_left").alias("most"))
-    stars = stars.groupBy("a", "b").agg(F.max("most").alias("most"))
-
-    links = store.put(check(stars), "links")
+    links = store.put(_linking(_with_leaders(lists, classes, percent), classes, given, width, percent, rows, store), "links")
     roots = components(links, store)
 
     # once with the likeliest partners, then all that is still apart
     for best in (True, False):
-        links = store.put(links.unionByName(check(_across(lists, classes, roots, percent, best))), "links")
+        pairs = _across(lists, classes, roots, percent, best, store)
+        more = _linking(pairs, classes, given, width, percent, rows, store)
+        links = store.put(links.unionByName(more), "links")
         roots = components(links, store)
 
     named = roots.join(classes.select(F.col("k").alias("node"), "min_doc"), "node")
@@ -347,7 +380,7 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
     slim = profiles.select("doc_id", F.col("n").alias("n_shingles"), "c1", "c2")
     empty = slim.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    found = lookup(slim.where("n_shingles > 0"), of_class, ["c1", "c2"], "copies", n).select(*empty.columns)
+    found = lookup(slim.where("n_shingles > 0"), of_class, ["c1", "c2"], "copies", rows).select(*empty.columns)
     return empty.unionByName(found)
 
 
@@ -358,10 +391,9 @@ def one_per_component(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     """
     store = Store(docs.sparkSession, "ngram-keep")
     found = link_components(docs, width, percent)
-    gone = store.put(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    slots = power_of_two(max(gone.count(), 1) * 64)
-    words = bit_filter(gone.select(F.expr(f"pmod(xxhash64(__gone), {slots}L)").alias("slot")))
-    marked = maybe_in(docs, words, F.expr(f"pmod(xxhash64(doc_id), {slots}L)"), "__maybe")
-    clear = marked.where("not __maybe").drop("__maybe")
-    rest = marked.where("__maybe").drop("__maybe").join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    return clear.unionByName(rest)
+    gone, seen = store.put_seen(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone", rows=F.count("*"))
+    slot = F.expr(f"pmod(xxhash64(doc_id), {power_of_two(max(seen['rows'], 1) * 64)}L)")
+    words = bit_filter(gone.select(slot.alias("slot")))
+    marked = maybe_in(docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), "doc_id"), words, slot, "maybe")
+    clear = marked.where("not maybe").select("row.*")
+    return clear.unionByName(marked.where("maybe").join(gone, "doc_id", "left_anti").select("row.*"))

@@ -98,7 +98,7 @@ def test_ngram_join_equals_brute_force(spark, seed):
 
 
 def test_ngram_join_blocks_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK", 4)  # lists of many blocks
+    monkeypatch.setattr(ngram_join, "BLOCK", 4), monkeypatch.setattr(ngram_join, "LEAST_BLOCK", 4)  # lists of many blocks
     rows = near_copies(3, 50)
     out = ngram_join.link_components(docs_of(spark, rows))
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id if r.component_id is not None else -1) for r in out.collect()) == brute_components(rows)
