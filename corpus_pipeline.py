@@ -28,8 +28,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     profiles = language_id.learn(docs)
     if not profiles.names:  # nothing tells languages apart: whatever has a letter stays
         profiles = language_id.Profiles({"any": [0]})
-    said = language_id.predict(docs, profiles, docs.columns)
-    return said.where(said["lang_pred"] != language_id.UNKNOWN).select(*docs.columns)
+    return language_id.recognised(docs, profiles)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
