@@ -4,16 +4,21 @@ A text becomes its words (letters, digits and everything outside ASCII, A-Z lowe
 between them. Base phrases are found where their words stand side by side. Notices may differ from
 the text by one edit for every EDIT_EVERY characters: by the pigeonhole principle, of a notice cut
 into edits + 1 pieces one at least stands unchanged in any such place, so one Aho-Corasick pass over
-the text for all pieces of all notices gives every candidate; the regex library's bounded-error
-matching then verifies the stretch around it and reports the best span and its edits.
+the text for all pieces of all notices gives every candidate: a piece says where the notice would begin.
+The regex library's bounded-error matching verifies each candidate's own stretch of text, which is too short
+for two places side by side, and reports its best span and edits. Where a better span covers part of a
+stretch, what is left of it is searched again. The work grows with the text's length and its candidates.
 
 Defined cases: a null text counts as empty; a text without words has no place, no label and score 0.
 Overlapping places of a phrase all count; of overlapping spans of a notice the one with fewest edits
-stays, then the first. Whole texts are scanned. Columns besides id and text are ignored.
+stays, then the first. Whole texts are scanned. Rows that repeat are scanned each for itself. Columns besides
+id and text are ignored, whatever their names. An empty table gives an empty result. The session's Arrow
+batches are held to the library's limits.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,6 +27,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 #: Base phrases and their labels.
 PHRASES = {
     "gnu general public license": "gpl",
@@ -82,32 +89,51 @@ class Scanner:
         """First word and label of every place of a phrase; ``line`` has a space at both ends."""
         out = []
         for phrase, label in self.phrases:
-            at = line.find(phrase)
+            at, before, words = line.find(phrase), 0, 0
             while at >= 0:
-                out.append((line.count(b" ", 0, at), label))
-                at = line.find(phrase, at + 1)
+                words += line.count(b" ", before, at)
+                out.append((words, label))
+                before, at = at, line.find(phrase, at + 1)
         return out
 
     def fuzzy(self, line: str) -> list[tuple[str, int, int, int, float]]:
         """label, start, end (characters), edits and similarity of every notice found."""
-        windows: dict[int, list[list[int]]] = {}
+        begins: dict[int, set[int]] = {}
         for end, (size, where) in self.automaton.iter(line) if self.seeds else ():
             for k, offset in where:
-                _, n, edits, _ = self.notices[k]
-                s = max(0, end + 1 - size - offset - edits)
-                e = min(len(line), s + n + 3 * edits)
-                spans = windows.setdefault(k, [])
-                if spans and s <= spans[-1][1]:  # seeds of one place share a stretch
-                    spans[-1][0], spans[-1][1] = min(s, spans[-1][0]), max(e, spans[-1][1])
-                else:
-                    spans.append([s, e])
-        out = []
-        for k, spans in sorted(windows.items()):
-            label, n, edits, pattern = self.notices[k]
-            for s, e in spans:
-                for m in pattern.finditer(line, s, e):
-                    out.append((label, m.start(), m.end(), sum(m.fuzzy_counts), 1 - sum(m.fuzzy_counts) / n))
-        return out
+                begins.setdefault(k, set()).add(end + 1 - size - offset)
+        return [(self.notices[k][0], *span) for k in sorted(begins) for span in self._verified(line, k, sorted(begins[k]))]
+
+    def _verified(self, line: str, k: int, begins: list[int]) -> list[tuple[int, int, int, float]]:
+        """start, end, edits and similarity of the places of a notice that would begin within its edits of ``begins``."""
+        _, n, edits, pattern = self.notices[k]
+        stretches, first = [], None
+        for at in begins:
+            if first is None or at > first + edits:
+                first = at
+                stretches.append([max(0, at - edits), 0])
+            stretches[-1][1] = min(len(line), at + n + edits)
+        taken: list[tuple[int, int, int]] = []
+        while stretches:
+            found = [(m, x) for x in stretches if (m := pattern.search(line, *x))]
+            for cost, s, e in sorted({(sum(m.fuzzy_counts), m.start(), m.end()) for m, _ in found}):
+                i = bisect_left(taken, (s,))
+                if (i == 0 or taken[i - 1][1] <= s) and (i == len(taken) or e <= taken[i][0]):
+                    taken.insert(i, (s, e, cost))
+            # what the places taken leave of the stretches that had one
+            stretches = sorted({gap for _, x in found for gap in _gaps(*x, taken) if gap[1] - gap[0] >= n - edits})
+        return [(s, e, cost, 1 - cost / n) for s, e, cost in taken]
+
+
+def _gaps(s: int, e: int, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of a stretch that no place in ``taken`` (in order) covers."""
+    out, i = [], max(0, bisect_left(taken, (s,)) - 1)
+    while i < len(taken) and taken[i][0] < e:
+        if taken[i][0] > s:
+            out.append((s, taken[i][0]))
+        s = max(s, taken[i][1])
+        i += 1
+    return [*out, (s, e)] if s < e else out
 
 
 @lru_cache(maxsize=1)
@@ -121,6 +147,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     ``spans`` lists label, first and last word, edits and similarity of every notice found.
     """
+    small_batches(docs.sparkSession)
     given = docs.select("doc_id", "text")
     kind = given.schema["doc_id"].dataType.simpleString()
     span = pa.struct([("label", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("edits", pa.int64()), ("similarity", pa.float64())])
@@ -137,7 +164,8 @@ def scan(docs: DataFrame) -> DataFrame:
                     line = raw.decode("utf-8", "surrogatepass")
                     places, near = find.base(raw), find.fuzzy(line)
                     own = {label for _, label in places}
-                    spans = [{"label": x, "first": line.count(" ", 0, s + 1) - 1, "last": line.count(" ", 0, e) - 1, "edits": n, "similarity": y} for x, s, e, n, y in near]
+                    gaps = [i for i, c in enumerate(line) if c == " "] if near else []
+                    spans = [{"label": x, "first": bisect_right(gaps, s) - 1, "last": bisect_left(gaps, e) - 1, "edits": n, "similarity": y} for x, s, e, n, y in near]
                     starts = [p for p, _ in places]
                     rows.append((len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(own)), ",".join(sorted(own | {x[0] for x in near})), max([float(bool(places)), *(x[4] for x in near)]), spans))
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(span)]
