@@ -3,16 +3,20 @@
 Features are a text's words (runs of letters, lower-cased), their first four and five letters, and for
 each of these whether it is there twice, three times and so on (LEVELS). All
 those in the examples are the vocabulary, however rare; weights are (1 + ln tf) * idf, times how much the
-feature's presence says about the label (log-likelihood ratio), and vectors have length one. Features that
-say nothing weigh nothing.
+feature's presence says about the label: its log-likelihood ratio, less 1, which is what that comes to on
+average where a feature says nothing. Features that say no more than that weigh nothing. Vectors have
+length one.
 
-Examples stand in blocks of BLOCK, like by like; for each feature the index lists the blocks that have
-it, with the largest weight in each and the rows there. A query's bound for a block is the sum of its weights times these maxima. Blocks
-are scored exactly in order of falling bound until the next bound cannot beat the k-th best, so the
-neighbours are exactly the k nearest; equals are all of one similarity, and the smaller id goes first.
+Examples stand in blocks of BLOCK, like by like. For each feature an inverted list holds the examples
+that have it, block by block, with the largest weight in each block. A block's bound is the sum of the
+query's weights times the block's maxima. The FIRST blocks by bound are summed up from their part of
+the lists; of the others only those whose bound reaches the k-th best cosine by then, the rest of every list
+is skipped. So the neighbours are exactly the k nearest; equals are all of one similarity, and the smaller id
+goes first.
 
 The k nearest vote with their cosine as weight, held towards the examples' share of label 1 by PRIOR
-votes; a logistic curve fitted to the examples' own leave-one-out votes turns votes to scores.
+votes; a logistic curve fitted to the examples' own leave-one-out votes turns votes to scores. A document
+that is an example has no vote on itself. All that voted are the evidence.
 
 Learned from at most ``per_label`` examples of each label, those with the smallest hash of the id. In votes,
 shares and calibration each example counts for as many as its label has for every one drawn.
@@ -20,15 +24,17 @@ Whole texts are used for learning and scoring.
 
 Defined cases: texts without a vocabulary feature (null and empty ones among them) score what votes at
 the examples' share for such texts come to; without any examples every score is 0. Ids that are null,
-and labels without a document, are not learned from. If an example's label is given twice, 1 holds. Columns besides id and text are
-ignored. An empty table gives an empty result.
+and labels without a document, are not learned from. If an example's label is given twice, 1 holds; if its
+id has several texts, the smallest is learned from, once. Rows that repeat are scored each for itself. Columns
+besides id and text are ignored, whatever their names. An empty table gives an empty result. The
+session's Arrow batches are held to the library's limits.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +42,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, may_train
+from .common import held_out, may_train, small_batches
 
 #: Examples of each label at most.
 PER_LABEL = 2000
 NEIGHBOURS = 15
 BLOCK = 64
 PRIOR = 0.5
+#: Blocks that are summed up before any is skipped.
+FIRST = 6
 THRESHOLD = 0.3
 
 #: Lengths of the prefixes, and counts that are features of their own.
@@ -82,7 +90,7 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _telling(with_0: np.ndarray, with_1: np.ndarray, n0: float, n1: float) -> np.ndarray:
-    """Log-likelihood ratio of features in with_0 of n0 and with_1 of n1 texts; to six decimals, so that equal shares give 0."""
+    """Log-likelihood ratio of features in with_0 of n0 and with_1 of n1 texts, less its mean of 1 where presence and label are independent."""
     def part(k: np.ndarray, n: float, p: np.ndarray) -> np.ndarray:
         with np.errstate(divide="ignore", invalid="ignore"):
             return np.where(k > 0, k * np.log(p), 0) + np.where(n - k > 0, (n - k) * np.log1p(-p), 0)
@@ -91,100 +99,97 @@ def _telling(with_0: np.ndarray, with_1: np.ndarray, n0: float, n1: float) -> np
         return np.zeros(len(with_0))
     p = (with_0 + with_1) / (n0 + n1)
     ratio = 2 * (part(with_0, n0, with_0 / n0) + part(with_1, n1, with_1 / n1) - part(with_0, n0, p) - part(with_1, n1, p))
-    return np.maximum(0, np.round(ratio, 6))
+    return np.maximum(0, np.round(ratio - 1, 6))
 
 
 class Neighbours:
-    """Labelled examples, their block-max index and the calibration of votes."""
+    """Labelled examples, their block-max index and the calibration of votes.
 
-    def __init__(self, ids: list[int], counts: Iterable[dict[str, int]], labels: list[int], vocabulary: list[str], k: int = NEIGHBOURS, stands_for: tuple[float, float] = (1.0, 1.0)):
-        self.k, n = k, len(ids)
+    features, counts: the examples' features (numbers in ``vocabulary``) and how often each is there, one
+    example after the other; cuts: where each begins, and the end.
+    """
+
+    def __init__(self, ids: list[int], features: np.ndarray, counts: np.ndarray, cuts: np.ndarray, labels: list[int], vocabulary: list[str], k: int = NEIGHBOURS, stands_for: tuple[float, float] = (1.0, 1.0)):
+        self.k, self.vocabulary, n = k, vocabulary, len(ids)
         y = np.array(labels, dtype=np.float64)
         # labelled texts that each example stands for, on average one
         each = np.where(y > 0, stands_for[1], stands_for[0])
         each = each / each.mean() if n else each
-        self.vocabulary = {f: j for j, f in enumerate(vocabulary)}
-        known = [self._known(c) for c in counts]
-        there = np.concatenate([np.empty(0, np.int64), *(at for at, _ in known)])
-        df = np.bincount(there, minlength=len(vocabulary)).astype(np.float64)
-        with_1 = np.bincount(there, np.repeat(y, [len(at) for at, _ in known]), len(vocabulary))
+        of = np.repeat(np.arange(n), np.diff(cuts))
+        df = np.bincount(features, minlength=len(vocabulary)).astype(np.float64)
+        with_1 = np.bincount(features, y[of], len(vocabulary))
         self.weight_of = (np.log((1 + n) / (1 + df)) + 1) * _telling(df - with_1, with_1, n - y.sum(), y.sum())
-        vectors = [self._weighed(*c) for c in known]
-        bare = np.array([not len(v[0]) for v in vectors])
+        w = (1 + np.log(counts.astype(np.float64))) * self.weight_of[features]
+        features, w, of = features[w > 0], w[w > 0], of[w > 0]
+        w = w / np.sqrt(np.bincount(of, w * w, n))[of]
+        sizes = np.bincount(of, minlength=n)
+        bare = sizes == 0
         # of texts without any feature: their own share of label 1
         self.share = float((each * y).mean()) if n else 0.0
         self.bare = float(((each * y)[bare].sum() + PRIOR * self.share) / (each[bare].sum() + PRIOR)) if n else 0.0
-        # blocks of examples that are alike: in order of their strongest feature
-        strongest = [int(v[0][np.argmax(v[1])]) for v in vectors if len(v[0])]
-        rows = [i for i in range(n) if not bare[i]]
-        rows = [rows[i] for i in np.lexsort(([ids[i] for i in rows], strongest))] if rows else []
-        self.ids, self.labels, self.each = np.array([ids[i] for i in rows], dtype=np.int64), y[rows], each[rows]
-        self._index([vectors[i] for i in rows])
+        # rows are examples that are alike side by side: in order of their strongest feature
+        strongest = np.zeros(n, dtype=np.int64)
+        last = np.lexsort((-features, w, of))[np.cumsum(sizes)[~bare] - 1]
+        strongest[of[last]] = features[last]
+        given = np.array(ids, dtype=np.int64)
+        rows = np.lexsort((given, strongest))
+        rows = rows[~bare[rows]]
+        self.ids, self.labels, self.each = given[rows], y[rows], each[rows]
+        self.row_of = {i: r for r, i in enumerate(self.ids.tolist())}
+        where = _ranges((np.cumsum(sizes) - sizes)[rows], sizes[rows])
+        feature, weight, sizes = features[where], w[where], sizes[rows]
+        self._index(feature, weight, sizes)
         self.curve = (1.0, 0.0)
-        if rows and 0 < self.labels.sum() < len(rows):
-            self._calibrate([vectors[i] for i in rows])
-
-    def _known(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the vocabulary's features, in order, and their counts."""
-        numbers = self.vocabulary
-        own = [(numbers[f], n) for f, n in counts.items() if f in numbers]
-        both = np.array(own, dtype=np.int64).reshape(-1, 2)
-        both = both[np.argsort(both[:, 0])]
-        return both[:, 0].copy(), both[:, 1].copy()
-
-    def _weighed(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = (1 + np.log(n.astype(np.float64))) * self.weight_of[at]
-        at, w = at[w > 0], w[w > 0]
-        return at, w / np.sqrt((w * w).sum()) if len(w) else w
+        if 0 < self.labels.sum() < len(rows):
+            self._calibrate(feature, weight, sizes)
 
-    def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Feature numbers and weights, of length one."""
-        return self._weighed(*self._known(counts))
-
-    def _index(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        self.blocks, n = -(-len(vectors) // BLOCK), len(self.vocabulary)
-        feature = np.concatenate([at for at, _ in vectors]) if vectors else np.empty(0, np.int64)
-        weight = np.concatenate([w for _, w in vectors]) if vectors else np.empty(0)
-        row = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(at) for at, _ in vectors])
+    def _index(self, feature: np.ndarray, weight: np.ndarray, sizes: np.ndarray) -> None:
+        n, v = len(self.ids), len(self.vocabulary)
+        self.blocks = max(1, -(-n // BLOCK))
         order = np.argsort(feature, kind="stable")
         # the examples' weights, feature by feature and block by block
-        self.rows, self.weights = row[order], weight[order]
-        key = feature[order] * max(self.blocks, 1) + self.rows // BLOCK
+        self.rows = np.repeat(np.arange(n, dtype=np.int32), sizes)[order]
+        self.weights = weight[order]
+        key = feature[order] * self.blocks + self.rows // BLOCK
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
         # of each feature's blocks: number, where its rows start, how many they are, and the largest weight
-        self.block_of, self.starts, self.sizes = (key[first] % max(self.blocks, 1)).astype(np.int32), first, np.diff(np.append(first, len(key)))
+        self.block_of, self.starts, self.sizes = (key[first] % self.blocks).astype(np.int32), first, np.diff(np.append(first, len(key)))
         self.most = np.maximum.reduceat(self.weights, first) if len(first) else np.empty(0)
-        self.lists = np.searchsorted(feature[order][first], np.arange(n + 1))
+        self.lists = np.searchsorted(key[first], np.arange(v + 1) * self.blocks)
+
+    def vector(self, features: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Feature numbers and weights, of length one."""
+        w = (1 + np.log(counts)) * self.weight_of[features]
+        at, w = features[w > 0], w[w > 0]
+        return at, w / np.sqrt((w * w).sum()) if len(w) else w
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the k nearest examples that share a feature; ``without`` is left out."""
+        """Rows and cosines of the k nearest examples that share a feature; the row ``without`` is left out."""
         lengths = self.lists[at + 1] - self.lists[at]
         parts, x = _ranges(self.lists[at], lengths), np.repeat(w, lengths)
         block = self.block_of[parts]
         bound = np.bincount(block, x * self.most[parts], self.blocks)
         order = np.argsort(-bound, kind="stable")
-        rows, scores, least, s, some = np.empty(0, np.int64), np.empty(0), 0.0, 0, 4
-        while s < len(order):
-            blocks = order[s : s + some]
-            blocks = blocks[(bound[blocks] > 0) & ((bound[blocks] >= least - 1e-12) | (len(rows) < k))]
-            if not len(blocks):
+        rows, scores, least = np.empty(0, np.int64), np.empty(0), 0.0
+        for some in (order[:FIRST], order[FIRST:]):
+            some = some[(bound[some] > 0) & (bound[some] >= least - 1e-9)]
+            if not len(some):
                 break
             asked = np.zeros(self.blocks, dtype=bool)
-            asked[blocks] = True
+            asked[some] = True
             mine = np.flatnonzero(asked[block])
             sizes = self.sizes[parts[mine]]
             where = _ranges(self.starts[parts[mine]], sizes)
             got = np.bincount(self.rows[where], np.repeat(x[mine], sizes) * self.weights[where], len(self.ids))
             if without >= 0:
                 got[without] = 0
-            found = np.flatnonzero(got > 0)
+            found = np.flatnonzero(got > max(0.0, least - 1e-9))
             rows, scores = np.concatenate((rows, found)), np.concatenate((scores, got[found]))
             if len(rows) > k:
                 best = np.lexsort((self.ids[rows], -np.round(scores, 12)))[:k]
                 rows, scores = rows[best], scores[best]
             if len(rows) == k:
                 least = scores.min()
-            s, some = s + some, 2 * some
         return rows, scores
 
     def _votes(self, rows: np.ndarray, scores: np.ndarray) -> float:
@@ -192,51 +197,67 @@ class Neighbours:
         p = ((scores * self.labels[rows]).sum() + PRIOR * self.share) / (scores.sum() + PRIOR)
         return float(np.log(p / (1 - p))) if 0 < p < 1 else 20.0 * (1 if p >= 1 else -1)
 
-    def _calibrate(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        x = np.array([self._votes(*self.nearest(at, w, self.k, without=i)) for i, (at, w) in enumerate(vectors)])
-        y, u, (a, b) = self.labels, self.each, self.curve
-        for _ in range(30):
-            p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-            g = np.array([(u * (p - y) * x).sum() + 0.1 * (a - 1), (u * (p - y)).sum() + 0.1 * b])
-            v = u * np.maximum(p * (1 - p), 1e-9)
-            h = np.array([[(v * x * x).sum() + 0.1, (v * x).sum()], [(v * x).sum(), v.sum() + 0.1]])
-            step = np.linalg.solve(h, g)
-            a, b = a - step[0], b - step[1]
-            if np.abs(step).max() < 1e-9:
+    def _calibrate(self, feature: np.ndarray, weight: np.ndarray, sizes: np.ndarray) -> None:
+        cuts = np.cumsum(sizes)[:-1]
+        own = zip(np.split(feature, cuts), np.split(weight, cuts))
+        x = np.array([self._votes(*self.nearest(at, w, self.k, without=i)) for i, (at, w) in enumerate(own)])
+        y, u, at = self.labels, self.each, np.array(self.curve)
+        x = np.stack((x, np.ones(len(x))), axis=1)
+        # the curve that changes nothing is where it is held to
+        loss = lambda c: (u * (np.logaddexp(0, x @ c) - y * (x @ c))).sum() + 0.05 * ((c - (1, 0)) ** 2).sum()
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ at, -30, 30)))
+            g = x.T @ (u * (p - y)) + 0.1 * (at - (1, 0))
+            step = np.linalg.solve((x * (u * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2), g)
+            size = 1.0
+            while size > 1e-6 and loss(at - size * step) > loss(at):
+                size /= 2
+            at = at - size * step
+            if np.abs(size * step).max() < 1e-9:
                 break
-        if a > 0 and np.isfinite([a, b]).all():
-            self.curve = (float(a), float(b))
+        if at[0] > 0 and np.isfinite(at).all():
+            self.curve = (float(at[0]), float(at[1]))
 
-    def score(self, counts: dict[str, int]) -> tuple[float, list[tuple[int, float, int]]]:
-        """Score, and as evidence the nearest examples: id, cosine, label."""
-        at, w = self.vector(counts)
+    def score(self, features: np.ndarray, counts: np.ndarray, own_id: int | None = None) -> tuple[float, list[tuple[int, float, int]]]:
+        """Score, and as evidence the examples that voted, the nearest first: id, cosine, label."""
+        at, w = self.vector(features, counts)
         if not len(at) or not len(self.ids):
             return self.bare, []
-        rows, scores = self.nearest(at, w, self.k)
+        rows, scores = self.nearest(at, w, self.k, self.row_of.get(own_id, -1))
         z = self.curve[0] * self._votes(rows, scores) + self.curve[1]
-        order = np.lexsort((self.ids[rows], -scores))[:3]
+        order = np.lexsort((self.ids[rows], -np.round(scores, 12)))
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30)))), [(int(self.ids[rows[i]]), float(min(1.0, scores[i])), int(self.labels[rows[i]])) for i in order]
 
 
 class Reader:
-    """Counts the vocabulary's features of whole texts; remembers each word's features."""
-
-    def __init__(self, model: Neighbours, remembered: int = 500_000):
-        self.model, self.remembered, self.known = model, remembered, {}
-        self.asked = {f.split("#")[0] for f in model.vocabulary}
-
-    def __call__(self, text: str | None) -> Counter:
-        out: Counter = Counter()
-        known, asked = self.known, self.asked
+    """Counts those of the vocabulary's features in whole texts that weigh something; remembers each word's."""
+
+    def __init__(self, model: Neighbours, remembered: int = 300_000):
+        self.remembered, self.known, vocabulary = remembered, {}, model.vocabulary
+        weighs = {f: j for j, f in enumerate(vocabulary) if model.weight_of[j] > 0}
+        # features with their levels, numbered among themselves; -1 where one weighs nothing
+        bases = sorted({f.split("#")[0] for f in weighs})
+        self.number = {f: i for i, f in enumerate(bases)}
+        self.levels = np.array([[weighs.get(f if level == 1 else f"{f}#{level}", -1) for f in bases] for level in (1, *LEVELS)], dtype=np.int64)
+
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the features, and how often each is there."""
+        known, number, counts = self.known, self.number, {}
         if len(known) > self.remembered:
             known.clear()
         for w, n in Counter(_WORD.findall((text or "").lower())).items():
             own = known.get(w)
             if own is None:
-                own = known[w] = tuple(f for f in _names(w) if f in asked)
+                own = known[w] = tuple(number[f] for f in _names(w) if f in number)
             for f in own:
-                out[f] += n
-        return _leveled(out)
+                counts[f] = counts.get(f, 0) + n
+        base, n = np.fromiter(counts, np.int64, len(counts)), np.fromiter(counts.values(), np.int64, len(counts))
+        order = np.argsort(base)
+        base, n = base[order], n[order]
+        all_of = [self.levels[0][base], *(level[base[n >= least]] for level, least in zip(self.levels[1:], LEVELS))]
+        features = np.concatenate(all_of)
+        times = np.concatenate((n, np.ones(len(features) - len(n), dtype=np.int64)))
+        return features[features >= 0], times[features >= 0]
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, k: int = NEIGHBOURS) -> Neighbours:
@@ -245,16 +266,17 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, k: int
     The driver gets at most 2 * ``per_label`` examples with the counts of all their features.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     known = labels.where(F.col("toxic").isin(0, 1) & may_train(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = []
     totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    chosen = []
     for label in (0, 1):
         chosen += known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label).collect()
     if not chosen:
-        return Neighbours([], [], [], [], k)
+        return Neighbours([], np.empty(0, np.int64), np.empty(0), np.zeros(1, np.int64), [], [], k)
     picked = spark.createDataFrame([tuple(r) for r in chosen], known.schema)
-    # bounded by per_label, whatever the input
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text")
+    # bounded by per_label, whatever the input: one text for each id
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -262,21 +284,25 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, k: int
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))], ["doc_id", "names", "counts"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    rows = texts.mapInArrow(count, f"doc_id {kind}, names array<string>, counts array<long>").toArrow().combine_chunks()
-    ids, label = sorted(r["doc_id"] for r in chosen), {r["doc_id"]: r["toxic"] for r in chosen}
-    vocabulary = sorted(pc.unique(pc.list_flatten(rows["names"])).to_pylist()) if 0 < sum(label.values()) < len(ids) else []
-    # of several rows with one id the first in order of their features
-    place: dict[int, list[int]] = {}
-    for p, i in enumerate(rows["doc_id"].to_pylist()):
-        place.setdefault(i, []).append(p)
-    ids = [i for i in ids if i in place]
-    given = lambda i: min((dict(sorted(zip(rows["names"][p].as_py(), rows["counts"][p].as_py()))) for p in place[i]), key=lambda c: list(c.items()))
+    rows = texts.mapInArrow(count, f"doc_id {kind}, names array<string>, counts array<long>").toArrow()
+    rows = rows.sort_by("doc_id").combine_chunks()
+    label = {r["doc_id"]: r["toxic"] for r in chosen}
+    ids = rows["doc_id"].to_pylist()
+    names = rows["names"].combine_chunks()
+    cuts = names.offsets.to_numpy() - names.offsets[0].as_py()
+    coded = names.flatten().dictionary_encode()
+    counts = rows["counts"].combine_chunks().flatten().to_numpy()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
     stands_for = tuple(totals.get(x, 0) / max(1, min(per_label, totals.get(x, 0))) for x in (0, 1))
-    return Neighbours(ids, map(given, ids), [label[i] for i in ids], vocabulary, k, stands_for)
+    features = rank[coded.indices.to_numpy()] if len(order) else np.empty(0, np.int64)
+    return Neighbours(ids, features, counts, cuts, [label[i] for i in ids], coded.dictionary.take(pa.array(order)).to_pylist(), k, stands_for)
 
 
 def score(docs: DataFrame, model: Neighbours, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted, evidence (id, cosine and label of the nearest)."""
+    """One row per document: doc_id, held_out, score, predicted, evidence (id, cosine and label of all that voted)."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     given = docs.select("doc_id", "text")
     kind = given.schema["doc_id"].dataType.simpleString()
@@ -288,7 +314,7 @@ def score(docs: DataFrame, model: Neighbours, threshold: float = THRESHOLD) -> D
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                said = [known.score(read(t.as_py())) for t in part.column(1)]
+                said = [known.score(*read(t.as_py()), i.as_py()) for i, t in zip(part.column(0), part.column(1))]
                 evidence = [[{"doc_id": i, "cosine": c, "toxic": y} for i, c, y in e] for _, e in said]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s for s, _ in said], pa.float64()), pa.array(evidence, proof)], ["doc_id", "score", "evidence"])
 

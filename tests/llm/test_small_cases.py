@@ -264,6 +264,62 @@ def test_every_bounded_edit_is_found():
             assert label in {x[0] for x in scan.fuzzy(f" before {''.join(text)} behind ")}
 
 
+def least_edits(notice, text):
+    """The least edit distance between the notice and any stretch of the text (Sellers, 1980)."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(notice, 1):
+        now = [i]
+        for j, d in enumerate(text, 1):
+            now.append(min(row[j] + 1, now[-1] + 1, row[j - 1] + (c != d)))
+        row = now
+    return min(row)
+
+
+def test_notices_equal_brute_force():
+    """A notice is found exactly where some stretch of the text is within its edits; spans have the edits they say."""
+    scan, rng = license_scan.scanner(), random.Random(19)
+    for notice, label in license_scan.NOTICES.items():
+        edits, near = len(notice) // license_scan.EDIT_EVERY, 0
+        for _ in range(30):
+            text = list(notice)
+            for _ in range(rng.randrange(0, 2 * edits + 2)):
+                at = rng.randrange(len(text))
+                text[at : at + 1] = rng.choice(([], ["q"], [text[at], "q"]))
+            line = f" before {''.join(text)} behind "
+            k = list(license_scan.NOTICES).index(notice)
+            begins = sorted({e + 1 - size - offset for e, (size, where) in scan.automaton.iter(line) for x, offset in where if x == k})
+            found = scan._verified(line, k, begins)
+            best = least_edits(notice, line)
+            assert bool(found) == (best <= edits)
+            near += bool(found)
+            if found:
+                assert min(x[2] for x in found) == best and all(least_edits(notice, line[s:e]) <= n for s, e, n, _ in found)
+        assert 0 < near
+
+
+def test_notices_side_by_side():
+    scan = license_scan.scanner()
+    spans = lambda text: [x[1:4] for x in scan.fuzzy(text) if x[0] == "mit"]
+    assert [n for _, _, n in spans(" relxased undxr the mit license released under the mit license ")] == [2, 0]
+    assert [n for _, _, n in spans(" released under the mit license relxased undxr the mit license released under the mit license ")] == [0, 2, 0]
+    for many in (200, 1600):
+        assert len(spans(" " + "released under the mit license " * many)) == many
+
+
+def test_base_phrases_equal_plain_search(spark):
+    rng = random.Random(20)
+    words = ["gnu", "general", "public", "license", "apache", "cc", "by", "mit", "x", "é", "MIT", "License,", "\n"]
+    rows = [(i, None if i == 0 else rng.choice((" ", "-", "\t")).join(rng.choices(words, k=rng.randrange(0, 60)))) for i in range(80)]
+    got = {r.doc_id: r for r in license_scan.scan(docs_of(spark, rows)).collect()}
+    for i, text in rows:
+        folded = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        w = __import__("re").findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", folded)
+        places = [(p, label) for phrase, label in license_scan.PHRASES.items() for p in range(len(w)) if w[p : p + len(phrase.split())] == phrase.split()]
+        r = got[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(places), min((p for p, _ in places), default=None), max((p for p, _ in places), default=None))
+        assert r.base_labels == ",".join(sorted({x for _, x in places})) and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
+
+
 # -- URLs
 
 
@@ -428,16 +484,47 @@ def test_toxicity_keeps_the_shares_of_labels(spark):
         assert 0.07 < model.share < 0.13 and model.bare < 0.3 and 0.05 < sum(scores) / len(scores) < 0.2
 
 
-def test_block_max_search_is_exact():
+def neighbours(ids, counts, labels, vocabulary, **more):
+    """Neighbours from dictionaries of the examples' features."""
+    known = [sorted((vocabulary.index(f), n) for f, n in c.items() if f in vocabulary) for c in counts]
+    flat = np.array([x for c in known for x in c], dtype=np.int64).reshape(-1, 2)
+    return toxicity.Neighbours(ids, flat[:, 0], flat[:, 1], np.cumsum([0, *map(len, known)]), labels, vocabulary, **more), [np.array(c, dtype=np.int64).reshape(-1, 2) for c in known]
+
+
+def test_block_max_search_is_exact(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 8)
     rng = random.Random(13)
     counts = [Counter(rng.choices([f"f{k}" for k in range(40)], k=rng.randrange(1, 9))) for _ in range(500)]
     labels = [int("f1" in c or "f2" in c) if rng.random() < 0.9 else rng.randrange(2) for c in counts]
-    model = toxicity.Neighbours(list(range(500)), counts, labels, [f"f{k}" for k in range(0, 40, 2)], k=7)
-    vectors = {i: dict(zip(*[x.tolist() for x in model.vector(counts[i])])) for i in range(500)}
+    model, known = neighbours(list(range(500)), counts, labels, [f"f{k}" for k in range(40)], k=7)
+    vectors = {i: dict(zip(*[x.tolist() for x in model.vector(known[i][:, 0], known[i][:, 1])])) for i in range(500)}
     for q in range(0, 500, 25):
-        at, w = model.vector(counts[q])
+        at, w = model.vector(known[q][:, 0], known[q][:, 1])
         own = dict(zip(at.tolist(), w.tolist()))
-        want = sorted(((sum(own.get(f, 0) * x for f, x in v.items()), -i) for i, v in vectors.items()), reverse=True)
-        want = [s for s, _ in want if s > 0][:7]
-        rows, scores = model.nearest(at, w, 7)
-        assert sorted(scores.tolist(), reverse=True) == pytest.approx(want)
+        for without in (None, q):
+            want = sorted((round(sum(own.get(f, 0) * x for f, x in v.items()), 12), -i) for i, v in vectors.items() if i != without)[::-1]
+            want = [(s, -i) for s, i in want if s > 0][:7]
+            rows, scores = model.nearest(at, w, 7, -1 if without is None else model.row_of.get(q, -1))
+            assert sorted(scores.tolist(), reverse=True) == pytest.approx([s for s, _ in want])
+            assert sorted(model.ids[rows].tolist()) == sorted(i for _, i in want)
+            # votes and evidence, plainly
+            score, evidence = model.score(known[q][:, 0], known[q][:, 1], without)
+            assert not want or [i for i, _, _ in evidence] == [i for _, i in want]
+            if want:
+                share = sum(labels) / 500
+                p = (sum(s * labels[i] for s, i in want) + toxicity.PRIOR * share) / (sum(s for s, _ in want) + toxicity.PRIOR)
+                z = model.curve[0] * np.log(p / (1 - p)) + model.curve[1]
+                assert score == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_toxicity_of_repeated_rows(spark):
+    """Rows that are there six times score as they do once, and no document votes on itself."""
+    rng = random.Random(21)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(80)]
+    rows = [(i, " ".join(rng.choices(words, k=25) + (["vilexx"] if i % 5 == 0 else []))) for i in range(150)]
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(150)], "doc_id long, quality int, toxic int")
+    once = {r.doc_id: r for r in toxicity.judge(docs_of(spark, rows), labels).collect()}
+    often = toxicity.judge(docs_of(spark, rows * 6), labels).collect()
+    assert len(often) == 900 and all(r.score == pytest.approx(once[r.doc_id].score) for r in often)
+    assert all(i not in {e.doc_id for e in r.evidence} and len(r.evidence) > 3 for i, r in once.items())
+    assert all(r.predicted == (i % 5 == 0) for i, r in once.items())
