@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 #: A bit filter that is broadcast has at most so many blocks of so many 64-bit words: 8 MB, whatever the input's size.
 FILTER_BLOCKS, BLOCK_WORDS = 1 << 14, 64
+#: Rows of a table that needs no adaptive execution, and of one of its tasks.
+SMALL, SMALL_TASK = 1 << 20, 1 << 17
 #: A key is hot if it holds more than 1 / HOT of the rows; so at most HOT keys are.
 HOT = 1024
 
@@ -60,10 +62,31 @@ class Store:
         """Writes ``df`` as Parquet and returns the written table."""
         path = self.path(name)
         df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
+        return self._read(df.sparkSession, path, df)
+
+    def _read(self, session: SparkSession, path: str, like: DataFrame) -> DataFrame:
+        out = session.read.schema(like.schema).parquet(path)
         out._stored_at = path
         return out
 
+    def small(self, table: DataFrame, rows: int) -> DataFrame:
+        """The stored table for rounds of many little jobs: if it has at most SMALL rows, in a session without adaptive execution and broadcasts.
+
+        Both keep threads of the driver for a minute for every exchange, and there is nothing to split, to
+        coalesce or to spare where all of a table is a few tasks.
+        """
+        if rows > SMALL:
+            return table
+        session = self.spark.newSession()
+        session.conf.set("spark.sql.adaptive.enabled", "false")
+        session.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        session.conf.set("spark.sql.shuffle.partitions", str(1 + rows // SMALL_TASK))
+        return self._read(session, table._stored_at, table)
+
+    def usual(self, table: DataFrame) -> DataFrame:
+        """The stored table in the store's own session."""
+        return self._read(self.spark, table._stored_at, table)
+
     def put_seen(self, df: DataFrame, name: str, **sums: Column) -> tuple[DataFrame, dict]:
         """As ``put``, and the aggregates ``sums`` of the rows, taken while they are written."""
         seen = Observation()
@@ -124,7 +147,8 @@ def maybe_in(df: DataFrame, words: DataFrame, slot: Column, flag: str) -> DataFr
     block, at, bit = _place("__slot")
     joined = df.withColumn("__slot", slot).join(F.broadcast(named), F.expr(block) == F.col("__block"), "left")
     hit = F.expr(f"coalesce(get(__words, {at}), 0L) & {bit}") != 0
-    return joined.withColumn(flag, hit).drop("__slot", "__block", "__words")
+    # without the outer coalesce Spark infers a filter that computes the slot once more
+    return joined.withColumn(flag, F.coalesce(hit, F.lit(False))).drop("__slot", "__block", "__words")
 
 
 def lookup(rows: DataFrame, groups: DataFrame, key: list[str], size: str, n: int, how: str = "inner") -> DataFrame:
@@ -145,8 +169,8 @@ def components(edges: DataFrame, store: Store) -> DataFrame:
     Large-star and small-star rounds: each writes its edges, until a round changes nothing. Only sums come
     to the driver. A hub's edges are one key of the joins; adaptive execution splits such a key's rows.
     """
-    now = store.put(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = None
+    now, seen = store.put_seen(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", rows=F.count("*"))
+    now, state = store.small(now, seen["rows"]), None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -159,6 +183,7 @@ def components(edges: DataFrame, store: Store) -> DataFrame:
         if seen == state:
             break
         state = seen
+    now = store.usual(now)
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 

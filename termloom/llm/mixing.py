@@ -32,8 +32,8 @@ WEIGHTS = (1, 2, 3)
 CAP = 3
 #: Fixed point of the rates.
 UNIT = 1 << 24
-#: Newton iterations at most; about ten are used.
-ITERATIONS = 60
+#: Newton iterations at most; about ten are used. What is left then is solved by halving its bracket.
+NEWTON, HALVINGS = 24, 64
 #: Relative error at which a constraint counts as met.
 CLOSE = 1e-10
 
@@ -65,12 +65,15 @@ def _tilted(cap: int) -> str:
 
 
 def multipliers(cells: DataFrame, goals: DataFrame, store: Store, cap: int = CAP) -> DataFrame:
-    """The dual's solution: ``goals`` with lambda. cells: source, size, n; goals: source, target, source_size, mean, least."""
+    """The dual's solution: ``goals`` with lambda. Stored tables; cells: source, size, n; goals: source, target, source_size, mean, least.
+
+    What Newton iterations leave open is halved until its multiplier is known to the last bits of a double.
+    """
     start = goals.withColumn("lambda", F.lit(0.0)).withColumn("met", F.expr("target <= 0"))
     # all rates are 1 at 0, so the multiplier lies between 0 and where every document has one bound
     start = start.withColumn("lo", F.expr("CASE WHEN target > 0 AND target < source_size THEN ln(target / source_size) * mean / least * 1.001 ELSE 0D END"))
     now = store.put(start.withColumn("hi", F.expr(f"CASE WHEN target > source_size THEN ln({cap}D) * mean / least * 1.001 ELSE 0D END")), "multipliers")
-    for _ in range(ITERATIONS):
+    for turn in range(NEWTON + HALVINGS):
         rate = F.expr(_tilted(cap))
         tried = cells.join(now.where("not met").select(*_SOURCE, "lambda", "mean"), _SOURCE).withColumn("rate", rate)
         sums = tried.groupBy(*_SOURCE).agg(
@@ -85,21 +88,22 @@ def multipliers(cells: DataFrame, goals: DataFrame, store: Store, cap: int = CAP
             F.expr(f"met OR abs(got - target) <= {CLOSE} * target OR hi - lo <= 1e-13 * abs(lambda)").alias("met"),
         )
         newton = F.expr("CASE WHEN slope > 0 THEN old - (got - target) / slope END")
-        inside = F.when((newton > F.col("lo")) & (newton < F.col("hi")), newton).otherwise((F.col("lo") + F.col("hi")) / 2)
+        inside = F.when(F.lit(turn < NEWTON) & (newton > F.col("lo")) & (newton < F.col("hi")), newton).otherwise((F.col("lo") + F.col("hi")) / 2)
         after = step.withColumn("lambda", F.when(F.col("met"), F.col("old")).otherwise(inside)).select(*now.columns)
-        after = store.put(after.coalesce(1), "multipliers")
+        after, seen = store.put_seen(after, "multipliers", left=F.count(F.expr("nullif(met, true)")))
         store.drop(now)
         now = after
-        if not now.where("not met").take(1):
+        if not seen["left"]:
             break
-    return now
+    return store.usual(now)
 
 
 def _decided(docs: DataFrame, store: Store, weights: tuple[int, ...], cap: int) -> DataFrame:
     """doc_id, mark, source, size, source_size, target, copies of every row."""
     sized = store.put(_sized(docs), "sizes")
     n = sized.count()
-    cells = store.put(sized.groupBy(*_SOURCE, "size").agg(F.count("*").alias("n")), "cells")
+    cells, seen = store.put_seen(sized.groupBy(*_SOURCE, "size").agg(F.count("*").alias("n")), "cells", rows=F.count("*"))
+    cells = store.small(cells, seen["rows"])
     of_source = cells.groupBy(*_SOURCE).agg(
         F.sum(F.expr("n * size")).alias("source_size"), F.sum("n").alias("docs"),
         F.greatest(F.lit(1e-9), F.sum(F.expr("n * size")) / F.sum("n")).alias("mean"), F.coalesce(F.min(F.expr("nullif(size, 0)")), F.lit(1)).alias("least"),

@@ -246,8 +246,8 @@ def _with_leaders(lists: DataFrame, classes: DataFrame, percent: int) -> DataFra
     return across.unionByName(inside)
 
 
-def _across(lists: DataFrame, classes: DataFrame, roots: DataFrame, percent: int, best: bool, store: Store) -> DataFrame:
-    """Pairs (a, b) of classes of different components whose groups are in one list and may link.
+def _across(lists: DataFrame, classes: DataFrame, roots: DataFrame, percent: int, best: bool, store: Store) -> tuple[DataFrame, dict]:
+    """Pairs (a, b) of classes of different components whose groups are in one list and may link; and how many pairs of parts ("rows").
 
     A part is what of a group is in one component; it is named by its smallest class. Lists are compared in
     blocks of parts. With ``best``, of each part outside its list's largest component only the likeliest pair
@@ -269,10 +269,11 @@ def _across(lists: DataFrame, classes: DataFrame, roots: DataFrame, percent: int
     right = rows.select(*fields, F.lit(0).alias("asks"), F.explode(F.expr("sequence(0L, minor_blocks - 1)")).alias("u"), F.expr("pmod(h, blocks)").alias("v"))
     others = rows.where("root <> bulk").select(*fields, F.lit(1).alias("asks"), F.expr("pmod(h, minor_blocks)").alias("u"), F.explode(F.expr("sequence(0L, blocks - 1)")).alias("v"))
     units = right.unionByName(others).repartition("token", "u", "v").sortWithinPartitions("token", "u", "v", "asks", "k")
-    pairs = store.put(_compared(units, percent, best).distinct(), "part-pairs")
+    pairs, seen = store.put_seen(_compared(units, percent, best).distinct(), "part-pairs", rows=F.count("*"))
     member = lambda x: homes.join(slim, ["g", "root"]).select(F.col("part").alias(f"part_{x}"), F.col("k").alias(x))
     expanded = pairs.join(member("a"), "part_a").join(member("b"), "part_b")
-    return (expanded.where("a = part_a OR b = part_b") if best else expanded).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    expanded = expanded.where("a = part_a OR b = part_b") if best else expanded
+    return expanded.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), seen
 
 
 def _compared(units: DataFrame, percent: int, best: bool) -> DataFrame:
@@ -284,15 +285,17 @@ def _compared(units: DataFrame, percent: int, best: bool) -> DataFrame:
         for own in np.unique(size[split:]).tolist():
             mine = np.flatnonzero(size[split:] == own) + split
             for other in np.unique(size[:split]).tolist():
-                if not own <= 2 * other <= 4 * own:  # such sizes cannot link
+                if own and other and not own <= 2 * other <= 4 * own:  # such sizes cannot link
                     continue
                 them = np.flatnonzero(size[:split] == other)
                 x, y = np.stack([sk[i] for i in mine]), np.stack([sk[i] for i in them])
-                if own > other:
+                if not own or not other:  # a part of several classes has no sketch
+                    x, y = x[:, :0], y[:, :0]
+                elif own > other:
                     x = x[:, :other] ^ x[:, other:]
                 elif other > own:
                     y = y[:, :own] ^ y[:, own:]
-                few, some = 64, max(1, (1 << 15) // x.shape[1])
+                few, some = 64, max(1, (1 << 15) // max(1, x.shape[1]))
                 for r in range(0, len(mine), few):
                     for c in range(0, len(them), some):
                         i, j = mine[r : r + few], them[c : c + some]
@@ -365,12 +368,15 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     links = store.put(_linking(_with_leaders(lists, classes, percent), classes, given, width, percent, rows, store), "links")
     roots = components(links, store)
 
-    # once with the likeliest partners, then all that is still apart
+    # once with the likeliest partners, then all that is still apart; where no pair is possible none is later
     for best in (True, False):
-        pairs = _across(lists, classes, roots, percent, best, store)
-        more = _linking(pairs, classes, given, width, percent, rows, store)
-        links = store.put(links.unionByName(more), "links")
-        roots = components(links, store)
+        pairs, seen = _across(lists, classes, roots, percent, best, store)
+        if not seen["rows"]:
+            break
+        more, seen = store.put_seen(_linking(pairs, classes, given, width, percent, rows, store), "more", rows=F.count("*"))
+        if seen["rows"]:
+            links = store.put(links.unionByName(more), "links")
+            roots = components(links, store)
 
     named = roots.join(classes.select(F.col("k").alias("node"), "min_doc"), "node")
     names = named.groupBy("root").agg(F.min("min_doc").alias("component_id"))

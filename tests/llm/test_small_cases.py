@@ -104,6 +104,28 @@ def test_ngram_join_blocks_lose_no_link(spark, monkeypatch):
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id if r.component_id is not None else -1) for r in out.collect()) == brute_components(rows)
 
 
+def test_ngram_join_groups_of_several_classes(spark):
+    """Texts of equal size and rarest shingles that differ in passages which many others share."""
+    rng, words = random.Random(22), [f"w{k}" for k in range(3000)]
+    passages = [[rng.choice(words) for _ in range(40)] for _ in range(6)]
+    rows = [(5000 + k, " ".join(rng.choices(words, k=30) + passages[k % 6] + rng.choices(words, k=9))) for k in range(120)]
+    for base in range(4):
+        own = rng.choices(words, k=(60, 100, 260, 261)[base])
+        for k, p in enumerate(passages):
+            rows += [(100 * base + 10 * k + j, " ".join(own[:half] + p + own[half:])) for j, half in enumerate((0, len(own)))]
+    got = ngram_join.link_components(docs_of(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
+
+
+def test_part_without_sketch_is_compared_by_size_and_place(spark):
+    """Blocks that hold a part of several classes, which has no sketch."""
+    units = spark.createDataFrame([(1, k, r, 100, left, sk, asks, 0, 0) for k, r, left, sk, asks in ((1, 1, 100, [5] * 8, 0), (2, 2, 100, [], 0), (3, 3, 95, [], 1), (4, 4, 10, [], 1))], "token long, k long, root long, n long, left long, sketch array<long>, asks int, u long, v long")
+    units = units.coalesce(1).sortWithinPartitions("token", "u", "v", "asks", "k")
+    for best in (False, True):
+        got = {tuple(r) for r in ngram_join._compared(units, 85, best).collect()}
+        assert got and got <= {(1, 3), (2, 3)} and (best or len(got) == 2)
+
+
 def test_ngram_join_keeps_one_of_each(spark):
     rows = [(1, "a b c d e f g h"), (2, "A b c d e f g h"), (3, "z"), (4, None)]
     kept = ngram_join.one_per_component(docs_of(spark, rows))
