@@ -17,7 +17,9 @@ shards are the result.
 Defined cases: vectors that are null, zero, hold a null or a number that is not finite, are of another
 length than most, or have no id take no part. Rows with a query's own id count as the query, and of
 several rows with one id one (by a hash of the vector) is indexed. Equal scores go to the
-smaller id. Columns besides id and vector are ignored. An empty table gives an empty result.
+smaller id. Columns besides id and vector are ignored, whatever their names. An empty table gives an empty
+result. The number of cores never changes a result. The session's Arrow batches are held to the library's
+limits.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Vectors that projection, rotation and radius are fitted on, at most.
 SAMPLE = 4096
 SAMPLE_QUERIES = 256
@@ -37,8 +41,8 @@ SAMPLE_QUERIES = 256
 MISSED = 0.01
 BITS = 64
 SUBSTRINGS = 4
-#: Vectors of a shard at most (on average).
-SHARD_ROWS = 65_536
+#: Vectors of a shard, on average: a 32nd of the table, but at least and at most these.
+LEAST_ROWS, SHARD_ROWS = 4096, 65_536
 QUERY_EVERY = 50
 NEIGHBOURS = 5
 
@@ -149,6 +153,7 @@ def _valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 def search(vectors: DataFrame, queries: str = f"id % {QUERY_EVERY} = 0", k: int = NEIGHBOURS, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the ``k`` nearest rows to each row that ``queries`` (SQL on id) picks."""
     spark = vectors.sparkSession
+    small_batches(spark)
     rows = _valid(vectors, id_col, vec_col)
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()["vector"].combine_chunks()
     schema = "query_id long, vec_id long, score double"
@@ -156,7 +161,9 @@ def search(vectors: DataFrame, queries: str = f"id % {QUERY_EVERY} = 0", k: int
         found = spark.createDataFrame([], schema)
     else:
         sent = spark.sparkContext.broadcast(fit(_matrix(sample), k))
-        shards = max(spark.sparkContext.defaultParallelism, -(-rows.count() // SHARD_ROWS))
+        # by the rows alone, so that neither cores nor partitions change the result
+        n = rows.count()
+        shards = -(-n // min(SHARD_ROWS, max(LEAST_ROWS, n // 32)))
         own = rows.select(F.expr(f"pmod(xxhash64(id), {shards}L)").alias("shard"), F.lit(0).alias("asks"), "id", "vector")
         asked = rows.where(queries).select(F.explode(F.expr(f"sequence(0L, {shards - 1}L)")).alias("shard"), F.lit(1).alias("asks"), "id", "vector")
         units = own.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "asks", "id", F.xxhash64("vector"))

@@ -7,12 +7,15 @@ the payload's digest and length but not the payload. Spark's text writer writes
 they go wherever Spark can write. Only digests shuffle; a bounded filter of the repeated ones lets all
 other pages go straight from the scan to the archive.
 
-Reading: Spark's text reader splits an archive at what stands between records, one record after the
-other and never a whole file in memory; a payload that holds this separator itself is put together
-again by the record's Content-Length. Digests are computed from the payloads read.
+Reading (WARC/1.0 and 1.1): Spark's text reader splits an archive at what stands between records, one
+record after the other and never a whole file in memory; a payload that holds this separator itself is put
+together again by the record's Content-Length. Digests are computed from the payloads read. Archives that are
+not compressed may be split among tasks; there a payload that holds a separator must not cross a split, so
+compress archives (as usual) whose payloads are WARC records.
 
 Assembly: request and metadata records find their response or revisit by the concurrent-to
-identifier, directly or through a record that has one itself, and every capture becomes one nested row.
+identifiers, of which a record may have several and which either side may hold, directly or through one
+more record. Every capture becomes one nested row.
 
 Defined cases: a null payload is empty; pages without an id are captures too and come last when the
 smallest id is sought; rows that repeat the response's id and payload are that response again; other
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Store, bit_filter, lookup, maybe_in, power_of_two
+from .common import Store, bit_filter, lookup, maybe_in, power_of_two, small_batches
 
 MIN_REVISIT = 100
 #: Written as the date of every record, so that archives can be made again bit by bit.
@@ -41,7 +44,9 @@ VERSION = "WARC/1.1"
 #: Fixed value of the WARC standard.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-_BETWEEN = f"\r\n\r\n{VERSION}\r\n"
+#: What every version line of the standard begins with, and what stands before the digit that ends it within a file.
+_START = "WARC/1."
+_BETWEEN = f"\r\n\r\n{_START}"
 _CAPTURES = ("response", "revisit")
 
 
@@ -101,18 +106,21 @@ def write(pages: DataFrame, path: str, store: Store) -> None:
 
 
 RECORD = (
-    "record_id string, type string, uri string, date string, concurrent_to string, refers_to string, content_type string, "
+    "record_id string, type string, uri string, date string, concurrent_to array<string>, refers_to string, content_type string, "
     "payload_bytes long, payload_digest string, digest_matches boolean, block binary"
 )
 
 
 def _parsed(piece: bytes, with_block: bool) -> tuple:
-    """A RECORD of a record's bytes, from its first header on."""
+    """A RECORD of a record's bytes, from the end of its version line on."""
     head, _, block = piece.partition(b"\r\n\r\n")
-    fields = {}
+    fields, concurrent = {}, []
     for line in head.decode("utf-8", "replace").split("\r\n"):
         name, _, value = line.partition(":")
-        fields[name.strip().lower()] = value.strip()
+        name = name.strip().lower()
+        fields[name] = value.strip()
+        if name == "warc-concurrent-to":
+            concurrent.append(value.strip())
     block = block[: int(fields.get("content-length") or 0)]
     kind, size, digest, matches = fields.get("warc-type", ""), len(block), None, None
     named = fields.get("warc-payload-digest", "").removeprefix("sha256:") or None
@@ -128,52 +136,56 @@ def _parsed(piece: bytes, with_block: bool) -> tuple:
         elif named is not None:
             matches = named == digest
     get = fields.get
-    return get("warc-record-id"), kind, get("warc-target-uri"), get("warc-date"), get("warc-concurrent-to"), get("warc-refers-to"), get("content-type"), size, digest, matches, block if with_block or kind == "metadata" else None
+    return get("warc-record-id"), kind, get("warc-target-uri"), get("warc-date"), concurrent, get("warc-refers-to"), get("content-type"), size, digest, matches, block if with_block or kind == "metadata" else None
 
 
-def _missing(piece: bytes) -> bool:
-    """Whether the record goes on behind what looked like its end."""
+def _missing(piece: bytes) -> int:
+    """How many bytes of the record are behind what looked like its end."""
     head, gap, block = piece.partition(b"\r\n\r\n")
-    if not gap:
-        return False
     for line in head.split(b"\r\n"):
         if line[:15].lower() == b"content-length:":
-            return len(block) < int(line[15:])
-    return False
+            # where the block itself begins like a record, the headers' end went with the separator
+            return int(line[15:]) - len(block) if gap else int(line[15:]) and int(line[15:]) + 4
+    return 0
 
 
 def read(spark: SparkSession, path: str, with_block: bool = True) -> DataFrame:
     """The records of all archives below ``path``; without blocks, only metadata records have theirs."""
-    between, first = _BETWEEN.encode(), f"{VERSION}\r\n".encode()
+    small_batches(spark)
+    between, first = _BETWEEN.encode(), _START.encode()
     lines = spark.read.option("lineSep", _BETWEEN).text(path).select(F.col("value").cast("binary").alias("piece"), F.col("_metadata.file_path").alias("file"))
     names = [f.split(" ")[0] for f in RECORD.split(", ")]
-    kinds = [{"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}[f.split(" ")[1]] for f in RECORD.split(", ")]
+    kinds = [{"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<string>": pa.list_(pa.string())}[f.split(" ")[1]] for f in RECORD.split(", ")]
 
     def made(records: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*records), kinds)], names)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, None
+        at, parts, left = None, [], 0
         for b in batches:
             out = []
             for piece, file in zip(b.column(0), b.column(1)):
                 piece, file = piece.as_py(), file.as_py()
                 if file != at:
-                    if held is not None:  # cut off at its file's end
-                        out.append(_parsed(held, with_block))
-                    at, held = file, None
+                    if parts:  # cut off at its file's end
+                        out.append(_parsed(b"".join(parts), with_block))
+                    at, parts = file, []
                     piece = piece.removeprefix(first)
-                piece = piece if held is None else held + between + piece
-                held = piece if _missing(piece) else None
-                if held is None:
-                    out.append(_parsed(piece, with_block))
+                if parts:
+                    parts += (between, piece)
+                    left -= len(between) + len(piece)
+                else:
+                    parts, left = [piece], _missing(piece)
+                if left <= 0:
+                    out.append(_parsed(b"".join(parts), with_block))
+                    parts = []
                 if len(out) >= 512:
                     yield made(out)
                     out = []
             if out:
                 yield made(out)
-        if held is not None:
-            yield made([_parsed(held, with_block)])
+        if parts:
+            yield made([_parsed(b"".join(parts), with_block)])
 
     return lines.mapInArrow(parse, RECORD)
 
@@ -182,10 +194,14 @@ def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: capture, request, requests, metadata, metadata_records."""
     fields = ["record_id", "type", "uri", "date", "refers_to", "content_type", "payload_bytes", "payload_digest", "digest_matches"]
     captures = records.where(F.col("type").isin(*_CAPTURES)).select(F.col("record_id").alias("root"), F.struct(*fields).alias("capture"))
-    others = records.where(F.col("type").isin("request", "metadata") & F.col("concurrent_to").isNotNull())
-    # a record that points to one that points on belongs where that one points
-    onward = others.groupBy(F.col("record_id").alias("via")).agg(F.min("concurrent_to").alias("onward"))
-    rooted = others.join(onward, others["concurrent_to"] == onward["via"], "left").withColumn("root", F.coalesce("onward", "concurrent_to"))
+    others = records.where(F.col("type").isin("request", "metadata"))
+    named = records.select(F.col("record_id").alias("one"), F.explode("concurrent_to").alias("other")).where("one IS NOT NULL")
+    links = named.unionByName(named.select(F.col("other").alias("one"), F.col("one").alias("other")))
+    near = links.join(captures.select("root"), F.col("one") == F.col("root")).select("root", F.col("other").alias("id"), F.lit(1).alias("hops"))
+    # records that are linked with one of those belong to its capture, unless they have one themselves
+    far = links.join(near.select("root", F.col("id").alias("via")), F.col("one") == F.col("via")).select("root", F.col("other").alias("id"), F.lit(2).alias("hops"))
+    placed = near.unionByName(far).groupBy("id").agg(F.min(F.struct("hops", "root")).alias("of")).select("id", F.col("of.root").alias("root"))
+    rooted = others.join(placed, F.col("record_id") == F.col("id"))
     small = F.struct("record_id", "uri", "date", "content_type", F.decode("block", "UTF-8").alias("fields"))
     of = lambda kind, one, many: rooted.where(F.col("type") == kind).groupBy("root").agg(F.min(small).alias(one), F.count("*").alias(many))
     joined = captures.join(of("request", "request", "requests"), "root", "left").join(of("metadata", "metadata", "metadata_records"), "root", "left")

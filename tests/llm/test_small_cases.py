@@ -391,14 +391,32 @@ def test_warc_round_trip(spark):
 def test_warc_assembly(spark):
     base = {f.split(" ")[0]: None for f in warc.RECORD.split(", ")} | {"payload_bytes": 1}
     records = [
-        {"record_id": "c1", "type": "response"}, {"record_id": "r1", "type": "request", "concurrent_to": "c1"}, {"record_id": "r0", "type": "request", "concurrent_to": "c1"},
-        {"record_id": "m1", "type": "metadata", "concurrent_to": "r1", "block": b"k: v\r\n"}, {"record_id": "c2", "type": "revisit", "refers_to": "c1"}, {"record_id": "m9", "type": "metadata", "concurrent_to": "gone"},
-        {"record_id": "i", "type": "warcinfo"},
+        {"record_id": "c1", "type": "response"}, {"record_id": "r1", "type": "request", "concurrent_to": ["c1"]}, {"record_id": "r0", "type": "request", "concurrent_to": ["c1"]},
+        {"record_id": "m1", "type": "metadata", "concurrent_to": ["r1"], "block": b"k: v\r\n"}, {"record_id": "c2", "type": "revisit", "refers_to": "c1"}, {"record_id": "m9", "type": "metadata", "concurrent_to": ["gone"]},
+        {"record_id": "i", "type": "warcinfo"}, {"record_id": None, "type": "request", "concurrent_to": ["c1"]},
+        # the capture names its records, or one that names the other
+        {"record_id": "c3", "type": "response", "concurrent_to": ["r3", "m3"]}, {"record_id": "r3", "type": "request"}, {"record_id": "m3", "type": "metadata", "block": b"x: 3\r\n"},
+        {"record_id": "c4", "type": "response", "concurrent_to": ["r4"]}, {"record_id": "r4", "type": "request", "concurrent_to": ["m4"]}, {"record_id": "m4", "type": "metadata", "block": b""},
     ]
     df = spark.createDataFrame([tuple((base | r).values()) for r in records], warc.RECORD)
     got = {r.capture.record_id: r for r in warc.assemble(df).collect()}
-    assert set(got) == {"c1", "c2"} and got["c1"].request.record_id == "r0" and got["c1"].requests == 2
+    assert set(got) == {"c1", "c2", "c3", "c4"} and got["c1"].request.record_id == "r0" and got["c1"].requests == 2
     assert got["c1"].metadata.fields == "k: v\r\n" and got["c2"].request is None and got["c2"].metadata_records == 0
+    assert [(got[c].request.record_id, got[c].metadata.record_id, got[c].requests) for c in ("c3", "c4")] == [("r3", "m3", 1), ("r4", "m4", 1)]
+
+
+def test_warc_versions_and_headers(spark, tmp_path):
+    """Archives of both versions, several concurrent-to headers, payloads that hold separators again and again."""
+    record = lambda v, name, block, *more: (f"WARC/1.{v}\r\nWARC-Type: metadata\r\nWARC-Record-ID: {name}\r\n" + "".join(f"{x}\r\n" for x in more) + f"Content-Length: {len(block)}\r\n\r\n").encode() + block + b"\r\n\r\n"
+    inner = record(0, "inner", b"x") * 3000
+    parts = [record(0, "a", b"one"), record(1, "b", b"", "WARC-Concurrent-To: a", "warc-concurrent-to: c"), record(0, "c", inner), record(0, "d", b"WARC/1.0\r\n"), record(1, "e", b"end")]
+    import gzip
+
+    for name, data in (("x.warc.gz", b"".join(map(gzip.compress, parts))), ("y.warc", b"".join(parts))):
+        (tmp_path / name).write_bytes(data)
+        got = {r.record_id: r for r in warc.read(spark, f"file://{tmp_path}/{name}").collect()}
+        assert sorted(got) == ["a", "b", "c", "d", "e"] and got["b"].concurrent_to == ["a", "c"]
+        assert [bytes(got[x].block) for x in "acde"] == [b"one", inner, b"WARC/1.0\r\n", b"end"]
 
 
 # -- nearest neighbours
