@@ -4,8 +4,9 @@ Features are a text's words (runs of letters, lower-cased), their first four and
 each of these whether it is there twice, three times and so on (LEVELS). All
 those in the examples are the vocabulary, however rare; weights are (1 + ln tf) * idf, times how much the
 feature's presence says about the label: its log-likelihood ratio, less 1, which is what that comes to on
-average where a feature says nothing. Features that say no more than that weigh nothing. Vectors have
-length one.
+average where a feature says nothing. A feature that both labels have must tell them apart at the 5 % level
+(CHANCE), which a rare one cannot reach; one that a single label has weighs as it is, from one example
+on. The others weigh nothing. Vectors have length one.
 
 Examples stand in blocks of BLOCK, like by like. For each feature an inverted list holds the examples
 that have it, block by block, with the largest weight in each block. A block's bound is the sum of the
@@ -35,6 +36,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +51,8 @@ PER_LABEL = 2000
 NEIGHBOURS = 15
 BLOCK = 64
 PRIOR = 0.5
+#: What the log-likelihood ratio of a feature that says nothing stays below in 95 % of cases (fixed value: chi-square, one degree of freedom).
+CHANCE = 3.84
 #: Blocks that are summed up before any is skipped.
 FIRST = 6
 THRESHOLD = 0.3
@@ -90,7 +94,7 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _telling(with_0: np.ndarray, with_1: np.ndarray, n0: float, n1: float) -> np.ndarray:
-    """Log-likelihood ratio of features in with_0 of n0 and with_1 of n1 texts, less its mean of 1 where presence and label are independent."""
+    """What features in with_0 of n0 and with_1 of n1 texts say: log-likelihood ratio less 1, or 0 where chance may explain it."""
     def part(k: np.ndarray, n: float, p: np.ndarray) -> np.ndarray:
         with np.errstate(divide="ignore", invalid="ignore"):
             return np.where(k > 0, k * np.log(p), 0) + np.where(n - k > 0, (n - k) * np.log1p(-p), 0)
@@ -99,7 +103,8 @@ def _telling(with_0: np.ndarray, with_1: np.ndarray, n0: float, n1: float) -> np
         return np.zeros(len(with_0))
     p = (with_0 + with_1) / (n0 + n1)
     ratio = 2 * (part(with_0, n0, with_0 / n0) + part(with_1, n1, with_1 / n1) - part(with_0, n0, p) - part(with_1, n1, p))
-    return np.maximum(0, np.round(ratio - 1, 6))
+    told = (ratio >= CHANCE) | (with_0 == 0) | (with_1 == 0)
+    return np.where(told, np.maximum(0, np.round(ratio - 1, 6)), 0)
 
 
 class Neighbours:
@@ -242,18 +247,19 @@ class Reader:
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the features, and how often each is there."""
-        known, number, counts = self.known, self.number, {}
+        known, number = self.known, self.number
         if len(known) > self.remembered:
             known.clear()
-        for w, n in Counter(_WORD.findall((text or "").lower())).items():
-            own = known.get(w)
-            if own is None:
-                own = known[w] = tuple(number[f] for f in _names(w) if f in number)
-            for f in own:
-                counts[f] = counts.get(f, 0) + n
-        base, n = np.fromiter(counts, np.int64, len(counts)), np.fromiter(counts.values(), np.int64, len(counts))
-        order = np.argsort(base)
+        words = Counter(_WORD.findall((text or "").lower()))
+        for w in [w for w in words if w not in known]:
+            known[w] = tuple(number[f] for f in _names(w) if f in number)
+        of_words = list(map(known.__getitem__, words))
+        base = np.fromiter(chain.from_iterable(of_words), np.int64)
+        n = np.repeat(np.fromiter(words.values(), np.int64, len(words)), np.fromiter(map(len, of_words), np.int64, len(words)))
+        order = np.argsort(base, kind="stable")
         base, n = base[order], n[order]
+        first = np.flatnonzero(np.r_[True, base[1:] != base[:-1]]) if len(base) else np.empty(0, np.int64)
+        base, n = base[first], np.add.reduceat(n, first) if len(first) else n
         all_of = [self.levels[0][base], *(level[base[n >= least]] for level, least in zip(self.levels[1:], LEVELS))]
         features = np.concatenate(all_of)
         times = np.concatenate((n, np.ones(len(features) - len(n), dtype=np.int64)))
