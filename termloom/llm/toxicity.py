@@ -144,7 +144,7 @@ class Neighbours:
         where = _ranges((np.cumsum(sizes) - sizes)[rows], sizes[rows])
         feature, weight, sizes = features[where], w[where], sizes[rows]
         self._index(feature, weight, sizes)
-        self.curve = (1.0, 0.0)
+        self.curve, self.read = (1.0, 0.0), None
         if 0 < self.labels.sum() < len(rows):
             self._calibrate(feature, weight, sizes)
 
@@ -197,6 +197,12 @@ class Neighbours:
                 least = scores.min()
         return rows, scores
 
+    def reader(self) -> "Reader":
+        """The worker's own reader; its tasks share what it remembers."""
+        if self.read is None:
+            self.read = Reader(self)
+        return self.read
+
     def _votes(self, rows: np.ndarray, scores: np.ndarray) -> float:
         scores = scores * self.each[rows]
         p = ((scores * self.labels[rows]).sum() + PRIOR * self.share) / (scores.sum() + PRIOR)
@@ -312,17 +318,18 @@ def score(docs: DataFrame, model: Neighbours, threshold: float = THRESHOLD) -> D
     sent = docs.sparkSession.sparkContext.broadcast(model)
     given = docs.select("doc_id", "text")
     kind = given.schema["doc_id"].dataType.simpleString()
-    proof = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int64())]))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
-        read = Reader(known)
+        read = known.reader()
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 said = [known.score(*read(t.as_py()), i.as_py()) for i, t in zip(part.column(0), part.column(1))]
-                evidence = [[{"doc_id": i, "cosine": c, "toxic": y} for i, c, y in e] for _, e in said]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s for s, _ in said], pa.float64()), pa.array(evidence, proof)], ["doc_id", "score", "evidence"])
+                voters = list(zip(*chain.from_iterable(e for _, e in said))) or [(), (), ()]
+                votes = pa.StructArray.from_arrays([pa.array(v, t) for v, t in zip(voters, (pa.int64(), pa.float64(), pa.int64()))], ["doc_id", "cosine", "toxic"])
+                evidence = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(e) for _, e in said)]), pa.int32()), votes)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s for s, _ in said], pa.float64()), evidence], ["doc_id", "score", "evidence"])
 
     made = given.mapInArrow(judge, f"doc_id {kind}, score double, evidence array<struct<doc_id: long, cosine: double, toxic: long>>")
     return made.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
