@@ -44,9 +44,10 @@ VERSION = "WARC/1.1"
 #: Fixed value of the WARC standard.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-#: What every version line of the standard begins with, and what stands before the digit that ends it within a file.
+#: What every version line of the standard begins with. Records are split at the line end before it: a longer
+#: separator, which repeats its own beginning, is missed where the reader's buffer ends within it.
 _START = "WARC/1."
-_BETWEEN = f"\r\n\r\n{_START}"
+_BETWEEN = f"\n{_START}"
 _CAPTURES = ("response", "revisit")
 
 
@@ -144,8 +145,8 @@ def _missing(piece: bytes) -> int:
     head, gap, block = piece.partition(b"\r\n\r\n")
     for line in head.split(b"\r\n"):
         if line[:15].lower() == b"content-length:":
-            # where the block itself begins like a record, the headers' end went with the separator
-            return int(line[15:]) - len(block) if gap else int(line[15:]) and int(line[15:]) + 4
+            # where the block itself begins like a record, the headers' last line end went with the separator
+            return int(line[15:]) - len(block) if gap else int(line[15:]) and int(line[15:]) + 1
     return 0
 
 

@@ -417,6 +417,13 @@ def test_warc_versions_and_headers(spark, tmp_path):
         got = {r.record_id: r for r in warc.read(spark, f"file://{tmp_path}/{name}").collect()}
         assert sorted(got) == ["a", "b", "c", "d", "e"] and got["b"].concurrent_to == ["a", "c"]
         assert [bytes(got[x].block) for x in "acde"] == [b"one", inner, b"WARC/1.0\r\n", b"end"]
+    # blocks that end in line ends, wherever the reader's buffers of 64 KB end
+    (tmp_path / "edges").mkdir()
+    for shift in range(24):
+        first = record(0, "first", b"x" * 60_000 + b"\r\n\r\n")
+        first = record(0, "first", b"x" * (60_000 + 65_536 + 8 - len(first) - shift) + b"\r\n\r\n")
+        (tmp_path / "edges" / f"{shift}.warc").write_bytes(first + record(1, "second", b"2\r\n") + record(0, "third", b""))
+    assert Counter(r.record_id for r in warc.read(spark, f"file://{tmp_path}/edges").collect()) == dict.fromkeys(("first", "second", "third"), 24)
 
 
 # -- nearest neighbours
