@@ -10,6 +10,11 @@ again as the next one's docs. All stages but the last return the columns of docu
    of their shingles of NEAR_WIDTH words in common (op7 has settings of its own).
 4. mix takes documents as often as balancing the sources asks for.
 5. pack cuts what is left into sequences: one row per piece.
+
+Defined cases: null and empty texts go in the first stage, texts of any length are read whole. Of equal texts the
+smallest id stays, a null id only where no other is there; rows that repeat it are one document. Null sources are a
+source of their own. Columns besides doc_id, text, lang and source are carried along, whatever their names, up to the
+last stage. An empty table gives an empty result.
 """
 
 from __future__ import annotations
