@@ -63,6 +63,20 @@ def test_texts_stay_if_no_language_is_known(spark):
     assert {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()} == {1, 2, 6}
 
 
+def test_stages_on_an_empty_table_and_clashing_names(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, score string, suspect string, row string, maybe string"
+    rows = [(1, "the house with " * 9, "en", "a", 1, "p", "q", "r", "s", "t"), (2, "the  house with " * 9, "en", None, 1, "P", "Q", "R", "S", "T"), (3, None, "de", "a", 0, *"vwxyz"), (4, "word " * 30_000, "en", "a", 1, *"klmno")]
+    for k, given in enumerate(([], rows)):
+        docs = spark.createDataFrame(given, schema)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, "")
+            assert out.columns == docs.columns
+            out.write.parquet(f"{tmp_path}/{k}-{name}")
+            docs = spark.read.schema(out.schema).parquet(f"{tmp_path}/{k}-{name}")
+        assert {tuple(r) for r in docs.collect()} <= set(given) and {r.doc_id for r in docs.collect()} <= {1, 4}
+        assert (corpus_pipeline.STAGES[-1][1](spark, docs, "").count() > 0) == bool(given)
+
+
 def test_near_copies_near_the_border(spark):
     """Copies on both sides of 80 % of 5-word shingles, against brute force."""
     rng, texts = random.Random(5), []
