@@ -33,8 +33,6 @@ session's Arrow batches are held to the library's limits.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -61,30 +59,35 @@ THRESHOLD = 0.3
 PREFIXES = (4, 5)
 LEVELS = (2, 3, 5, 8)
 
-_WORD = re.compile(r"[^\W\d_]+")
+#: What stands between words: runs of anything but letters and numbers other than digits.
+_GAP = r"[^\p{L}\p{Nl}\p{No}]+"
 
 
-def _names(word: str) -> list[str]:
-    return [word, *(f"^{word[:n]}" for n in PREFIXES if len(word) > n)]
+def _counted(texts: pa.Array, bases: pa.Array | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Words and their prefixes in whole texts, a batch at a time.
 
-
-def _leveled(counts: Counter) -> Counter:
-    """Adds a feature for every level of LEVELS that a feature's count reaches."""
-    out = Counter(counts)
-    for f, n in counts.items():
-        for level in LEVELS:
-            if n < level:
-                break
-            out[f"{f}#{level}"] = 1
-    return out
-
-
-def _feature_counts(text: str | None) -> Counter:
-    out: Counter = Counter()
-    for w, n in Counter(_WORD.findall((text or "").lower())).items():
-        for f in _names(w):
-            out[f] += n
-    return _leveled(out)
+    Numbers of the texts, in order, numbers of the features in ``bases`` (None: in all those found), how often
+    each is there, and the bases.
+    """
+    pieces = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), _GAP)
+    of = np.repeat(np.arange(len(texts)), pc.list_value_length(pieces).to_numpy(zero_copy_only=False))
+    coded = pieces.flatten().dictionary_encode()
+    words, length = coded.dictionary, pc.utf8_length(coded.dictionary)
+    none = pa.scalar(None, pa.string())
+    starts = [pc.if_else(pc.greater(length, n), pc.binary_join_element_wise("^", pc.utf8_slice_codeunits(words, 0, n), ""), none) for n in PREFIXES]
+    names = pa.concat_arrays([pc.if_else(pc.greater(length, 0), words, none), *starts])
+    if bases is None:
+        bases = names.drop_null().unique()
+    number = pc.fill_null(pc.index_in(names, value_set=bases), -1).to_numpy(zero_copy_only=False).reshape(-1, len(words))
+    key, n = np.unique(of * len(words) + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    of, word = np.divmod(key, max(1, len(words)))
+    at = number[:, word]
+    key, n = (of * len(bases) + at)[at >= 0], np.broadcast_to(n, at.shape)[at >= 0]
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    of, base = np.divmod(key[first], max(1, len(bases)))
+    return of, base, np.add.reduceat(n, first) if len(first) else n, bases
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -132,12 +135,12 @@ class Neighbours:
         # of texts without any feature: their own share of label 1
         self.share = float((each * y).mean()) if n else 0.0
         self.bare = float(((each * y)[bare].sum() + PRIOR * self.share) / (each[bare].sum() + PRIOR)) if n else 0.0
-        # rows are examples that are alike side by side: in order of their strongest feature
+        # rows are examples that are alike side by side: in order of their label and strongest feature
         strongest = np.zeros(n, dtype=np.int64)
         last = np.lexsort((-features, w, of))[np.cumsum(sizes)[~bare] - 1]
         strongest[of[last]] = features[last]
         given = np.array(ids, dtype=np.int64)
-        rows = np.lexsort((given, strongest))
+        rows = np.lexsort((given, strongest, y))
         rows = rows[~bare[rows]]
         self.ids, self.labels, self.each = given[rows], y[rows], each[rows]
         self.row_of = {i: r for r, i in enumerate(self.ids.tolist())}
@@ -153,12 +156,12 @@ class Neighbours:
         self.blocks = max(1, -(-n // BLOCK))
         order = np.argsort(feature, kind="stable")
         # the examples' weights, feature by feature and block by block
-        self.rows = np.repeat(np.arange(n, dtype=np.int32), sizes)[order]
+        self.rows = np.repeat(np.arange(n), sizes)[order]
         self.weights = weight[order]
         key = feature[order] * self.blocks + self.rows // BLOCK
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
         # of each feature's blocks: number, where its rows start, how many they are, and the largest weight
-        self.block_of, self.starts, self.sizes = (key[first] % self.blocks).astype(np.int32), first, np.diff(np.append(first, len(key)))
+        self.block_of, self.starts, self.sizes = key[first] % self.blocks, first, np.diff(np.append(first, len(key)))
         self.most = np.maximum.reduceat(self.weights, first) if len(first) else np.empty(0)
         self.lists = np.searchsorted(key[first], np.arange(v + 1) * self.blocks)
 
@@ -198,7 +201,7 @@ class Neighbours:
         return rows, scores
 
     def reader(self) -> "Reader":
-        """The worker's own reader; its tasks share what it remembers."""
+        """The worker's own reader; its tasks share it."""
         if self.read is None:
             self.read = Reader(self)
         return self.read
@@ -241,35 +244,26 @@ class Neighbours:
 
 
 class Reader:
-    """Counts those of the vocabulary's features in whole texts that weigh something; remembers each word's."""
+    """Counts those of the vocabulary's features in whole texts that weigh something."""
 
-    def __init__(self, model: Neighbours, remembered: int = 300_000):
-        self.remembered, self.known, vocabulary = remembered, {}, model.vocabulary
-        weighs = {f: j for j, f in enumerate(vocabulary) if model.weight_of[j] > 0}
+    def __init__(self, model: Neighbours):
+        weighs = {f: j for j, f in enumerate(model.vocabulary) if model.weight_of[j] > 0}
         # features with their levels, numbered among themselves; -1 where one weighs nothing
         bases = sorted({f.split("#")[0] for f in weighs})
-        self.number = {f: i for i, f in enumerate(bases)}
+        self.bases = pa.array(bases, pa.string())
         self.levels = np.array([[weighs.get(f if level == 1 else f"{f}#{level}", -1) for f in bases] for level in (1, *LEVELS)], dtype=np.int64)
 
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the features, and how often each is there."""
-        known, number = self.known, self.number
-        if len(known) > self.remembered:
-            known.clear()
-        words = Counter(_WORD.findall((text or "").lower()))
-        for w in [w for w in words if w not in known]:
-            known[w] = tuple(number[f] for f in _names(w) if f in number)
-        of_words = list(map(known.__getitem__, words))
-        base = np.fromiter(chain.from_iterable(of_words), np.int64)
-        n = np.repeat(np.fromiter(words.values(), np.int64, len(words)), np.fromiter(map(len, of_words), np.int64, len(words)))
-        order = np.argsort(base, kind="stable")
-        base, n = base[order], n[order]
-        first = np.flatnonzero(np.r_[True, base[1:] != base[:-1]]) if len(base) else np.empty(0, np.int64)
-        base, n = base[first], np.add.reduceat(n, first) if len(first) else n
-        all_of = [self.levels[0][base], *(level[base[n >= least]] for level, least in zip(self.levels[1:], LEVELS))]
-        features = np.concatenate(all_of)
+    def __call__(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text the numbers of its features, and how often each is there."""
+        of, base, n, _ = _counted(texts, self.bases)
+        reached = [np.flatnonzero(n >= level) for level in LEVELS]
+        features = np.concatenate([self.levels[0][base], *(level[base[r]] for level, r in zip(self.levels[1:], reached))])
         times = np.concatenate((n, np.ones(len(features) - len(n), dtype=np.int64)))
-        return features[features >= 0], times[features >= 0]
+        of = np.concatenate([of, *(of[r] for r in reached)])
+        order = np.flatnonzero(features >= 0)
+        order = order[np.argsort(of[order], kind="stable")]
+        cuts = np.searchsorted(of[order], np.arange(1, len(texts)))
+        return list(zip(np.split(features[order], cuts), np.split(times[order], cuts)))
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, k: int = NEIGHBOURS) -> Neighbours:
@@ -292,8 +286,13 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, k: int
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [_feature_counts(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))], ["doc_id", "names", "counts"])
+            # each text by itself: its features are all it has
+            for i in range(b.num_rows):
+                _, base, n, bases = _counted(b.column(1).slice(i, 1))
+                found = [bases.take(pa.array(base))] + [pc.binary_join_element_wise(bases.take(pa.array(base[n >= level])), str(level), "#") for level in LEVELS]
+                times = np.ones(sum(map(len, found)), dtype=np.int64)
+                times[: len(n)] = n
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([pa.concat_arrays(found)], pa.list_(pa.string())), pa.array([times], pa.list_(pa.int64()))], ["doc_id", "names", "counts"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     rows = texts.mapInArrow(count, f"doc_id {kind}, names array<string>, counts array<long>").toArrow()
@@ -323,13 +322,13 @@ def score(docs: DataFrame, model: Neighbours, threshold: float = THRESHOLD) -> D
         known = sent.value
         read = known.reader()
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                said = [known.score(*read(t.as_py()), i.as_py()) for i, t in zip(part.column(0), part.column(1))]
-                voters = list(zip(*chain.from_iterable(e for _, e in said))) or [(), (), ()]
-                votes = pa.StructArray.from_arrays([pa.array(v, t) for v, t in zip(voters, (pa.int64(), pa.float64(), pa.int64()))], ["doc_id", "cosine", "toxic"])
-                evidence = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(e) for _, e in said)]), pa.int32()), votes)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s for s, _ in said], pa.float64()), evidence], ["doc_id", "score", "evidence"])
+            if not b.num_rows:
+                continue
+            said = [known.score(*found, i) for i, found in zip(b.column(0).to_pylist(), read(b.column(1)))]
+            voters = list(zip(*chain.from_iterable(e for _, e in said))) or [(), (), ()]
+            votes = pa.StructArray.from_arrays([pa.array(v, t) for v, t in zip(voters, (pa.int64(), pa.float64(), pa.int64()))], ["doc_id", "cosine", "toxic"])
+            evidence = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(e) for _, e in said)]), pa.int32()), votes)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s for s, _ in said], pa.float64()), evidence], ["doc_id", "score", "evidence"])
 
     made = given.mapInArrow(judge, f"doc_id {kind}, score double, evidence array<struct<doc_id: long, cosine: double, toxic: long>>")
     return made.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
