@@ -2,10 +2,12 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -575,3 +577,26 @@ def test_toxicity_of_repeated_rows(spark):
     assert len(often) == 900 and all(r.score == pytest.approx(once[r.doc_id].score) for r in often)
     assert all(i not in {e.doc_id for e in r.evidence} and (i % 5 or len(r.evidence) > 3) for i, r in once.items())
     assert sum(r.predicted != (i % 5 == 0) for i, r in once.items()) <= 3
+
+
+def test_toxicity_reads_words_as_a_plain_loop_does():
+    texts = [None, "", "  ", "One one ONE, two-two_two 3four 5", "häuser Häuser déjà х" * 3, "abcdef " * 9 + "abcdeg", "²x ½ Ⅷ"]
+    want = []
+    for t in texts:
+        words = Counter(re.findall(r"[^\W\d_]+", (t or "").lower()))
+        plain = Counter(words)
+        for w, n in words.items():
+            for k in toxicity.PREFIXES:
+                if len(w) > k:
+                    plain[f"^{w[:k]}"] += n
+        for f, n in list(plain.items()):
+            plain.update(f"{f}#{level}" for level in toxicity.LEVELS if n >= level)
+        want.append(plain)
+    bases = sorted({f.split("#")[0] for c in want for f in c})
+    of, base, n, _ = toxicity._counted(pa.array(texts), pa.array(bases))
+    assert list(zip(of, [bases[b] for b in base], n)) == sorted((i, f, k) for i, c in enumerate(want) for f, k in c.items() if "#" not in f)
+    names = sorted({f for c in want for f in c})
+    model = toxicity.Neighbours([1], np.arange(len(names)), np.ones(len(names)), np.array([0, len(names)]), [1], names)
+    model.weight_of = np.ones(len(names))
+    read = [Counter({names[f]: k for f, k in zip(*found)}) for found in toxicity.Reader(model)(pa.array(texts))]
+    assert read == want
