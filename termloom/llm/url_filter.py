@@ -122,6 +122,8 @@ def train(spark: SparkSession, labelled: DataFrame | None = None, features: int
     rows = _featured(table.select(host.alias("__host"), path.alias("__path"), F.col("label").cast("double").alias("label"))).coalesce(1)
     hashed = HashingTF(inputCol="__grams", outputCol="__features", numFeatures=features, binary=True)
     fitted = LogisticRegression(featuresCol="__features", labelCol="label", probabilityCol="__probability", rawPredictionCol="__raw", predictionCol="__prediction", regParam=0.1, maxIter=50).fit(hashed.transform(rows))
+    # the summary of the training holds the session, which no task may carry
+    fitted._java_obj.setSummary(spark.sparkContext._jvm.scala.Option.empty())
     return PipelineModel([hashed, fitted])
 
 

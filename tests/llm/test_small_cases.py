@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from termloom.llm import exact_dedup, language_id, license_scan, mixing, multi_index, ngram_join, packing, toxicity, url_filter, warc
@@ -366,6 +367,13 @@ def test_url_filter(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_url_filter_after_an_observation(spark):
+    seen = Observation()
+    spark.range(5).observe(seen, F.count("*").alias("n")).collect()
+    assert seen.get["n"] == 5
+    assert url_filter.judge(spark.createDataFrame([(1, "http://org/es/")], "page_id long, url string")).first().verdict == "block"
+
+
 # -- WARC
 
 
