@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, license_scan, mixing, multi_index, ngram_join, packing, toxicity, url_filter, warc
+from . import exact_dedup, language_id, license_scan, mixing, multi_index, ngram_join, packing, scaled_sketch, toxicity, url_filter, warc
+from .sql import ORACLE_SQL  # noqa: F401
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +53,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
 
+def op11_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scaled_sketch.edited(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_mixing": op2_mixing,
@@ -63,13 +68,5 @@ QUERIES = {
     "op8_multi_index": op8_multi_index,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
-}
-
-ORACLE_SQL = {
-    "op9_exact_dedup": r"""
-        WITH t AS (
-            SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents
-        ), g AS (SELECT h, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY h)
-        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM t JOIN g USING (h)
-    """,
+    "op11_scaled_sketch": op11_scaled_sketch,
 }
