@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, license_scan, mixing, multi_index, ngram_join, packing, scaled_sketch, toxicity, url_filter, warc
+from . import conversation_repair, conversation_trie, exact_dedup, language_id, license_scan, mixing, multi_index, ngram_join, packing, scaled_sketch, toxicity, url_filter, warc
 from .sql import ORACLE_SQL  # noqa: F401
 
 
@@ -57,6 +57,15 @@ def op11_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scaled_sketch.edited(_table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(conversation_trie.rebuilt(_table(spark, sf_dir, "conversations")))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    return conversation_repair.repair(conversation_repair.damaged(conversations), conversations)
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_mixing": op2_mixing,
@@ -69,4 +78,6 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
     "op11_scaled_sketch": op11_scaled_sketch,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_conversation_repair": op13_conversation_repair,
 }
