@@ -1,7 +1,9 @@
 """Expansion of unknown query terms by the similarity of their character n-grams.
 
-Vocabulary and query terms meet in an equi-join on n-grams, counting matches gives the overlap, and
-Jaccard similarity follows from the set sizes: no pair that shares nothing is ever made.
+Vocabulary and query terms meet in an equi-join on n-grams: no pair that shares nothing is ever made. A pair of
+similarity t shares at least a t-th part of the term's n-grams, so it shares one of all but so many of them; only a
+term's rarest n-grams are looked up, sizes that cannot reach t are left out, and what is left is compared in
+full. A stored vocabulary is sorted by n-gram, so a lookup reads its own row groups.
 """
 
 from __future__ import annotations
@@ -41,6 +43,14 @@ class FuzzyVocabulary:
     def of_index(cls, index: LexicalIndex, k: int = 3) -> FuzzyVocabulary:
         return cls(_grams(index.terms(), k), k)
 
+    def save(self, path: str) -> None:
+        """Writes the vocabulary by n-gram."""
+        self.grams.repartitionByRange("gram").sortWithinPartitions("gram", "term").write.parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, k: int = 3) -> FuzzyVocabulary:
+        return cls(spark.read.schema("term string, n_grams int, gram string").parquet(path), k)
+
 
 def _grams(terms: DataFrame, k: int) -> DataFrame:
     if k < 1:
@@ -60,9 +70,35 @@ def overlaps(terms: DataFrame, vocabulary: FuzzyVocabulary, max_gram_df: int | N
     return shared.select("term", "candidate", (F.col("both") / (F.col("n_asked") + F.col("n_grams") - F.col("both"))).alias("jaccard"))
 
 
+def _pairs(terms: DataFrame, vocabulary: FuzzyVocabulary, min_jaccard: float) -> DataFrame:
+    """term, candidate that may have that similarity: they share one of the term's rarest n-grams, and their sizes allow it."""
+    asked = _grams(terms.select("term").distinct(), vocabulary.k).withColumnRenamed("n_grams", "n_asked")
+    counted = vocabulary.grams.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("df"))
+    rarest = Window.partitionBy("term").orderBy("df", "gram")
+    # a hair less than the product, so that rounding never asks for one n-gram too many
+    needed = F.ceil(F.col("n_asked") * min_jaccard - 1e-9)
+    some = asked.join(counted, "gram").withColumn("place", F.row_number().over(rarest))
+    # n-grams that no candidate has are the rarest of all: they take places as well
+    unseen = asked.groupBy("term").agg(F.first("n_asked").alias("n")).join(some.groupBy("term").agg(F.count("*").alias("seen")), "term").select(F.col("term").alias("t"), (F.col("n") - F.col("seen")).alias("unseen"))
+    kept = some.join(unseen, F.col("term") == F.col("t")).where(F.col("place") + F.col("unseen") <= F.col("n_asked") - needed + 1).select("term", "gram", "n_asked")
+    known = vocabulary.grams.select(F.col("term").alias("candidate"), "gram", "n_grams")
+    fits = (F.col("n_grams") >= F.col("n_asked") * min_jaccard - 1e-9) & (F.col("n_grams") * min_jaccard - 1e-9 <= F.col("n_asked"))
+    return known.join(kept, "gram").where(fits & (F.col("candidate") != F.col("term"))).select("term", "candidate").distinct()
+
+
+def similar(terms: DataFrame, vocabulary: FuzzyVocabulary, min_jaccard: float) -> DataFrame:
+    """term, candidate, jaccard of all other vocabulary terms of at least that similarity (above 0)."""
+    a, b = char_grams(F.col("term"), vocabulary.k), char_grams(F.col("candidate"), vocabulary.k)
+    sized = _pairs(terms, vocabulary, min_jaccard).select("term", "candidate", F.size(F.array_intersect(a, b)).alias("both"), F.size(a).alias("n_asked"), F.size(b).alias("n_grams"))
+    return sized.select("term", "candidate", (F.col("both") / (F.col("n_asked") + F.col("n_grams") - F.col("both"))).alias("jaccard")).where(F.col("jaccard") >= min_jaccard)
+
+
 def expand_terms(terms: DataFrame, vocabulary: FuzzyVocabulary, config: FuzzyConfig = FuzzyConfig()) -> DataFrame:
     """term, rank, candidate, jaccard: the most similar known terms of each term, whether known itself or not."""
-    near = overlaps(terms, vocabulary, config.max_gram_df).where(F.col("jaccard") >= config.min_jaccard)
+    if config.max_gram_df is None and config.min_jaccard > 0:
+        near = similar(terms, vocabulary, config.min_jaccard)
+    else:
+        near = overlaps(terms, vocabulary, config.max_gram_df).where(F.col("jaccard") >= config.min_jaccard)
     order = Window.partitionBy("term").orderBy(F.desc("jaccard"), F.asc("candidate"))
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= config.max_expansions).select("term", "rank", "candidate", "jaccard")
 
@@ -90,6 +126,16 @@ def expand_queries(index: LexicalIndex, vocabulary: FuzzyVocabulary, queries: Da
 
 
 def fuzzy_retrieve(index: LexicalIndex, vocabulary: FuzzyVocabulary, query: list[str] | dict[int, list[str]] | DataFrame, k: int = 10, config: FuzzyConfig = FuzzyConfig(), spark: SparkSession | None = None, **how) -> DataFrame:
-    """Top k of the expanded queries; expanded terms count in full."""
+    """Top k of the expanded queries; expanded terms count in full.
+
+    The driver's own queries come back to it expanded (at most ``max_expansions`` terms for each of theirs), so the
+    expansion runs once and its terms are pushed into the scan.
+    """
     spark = spark or index.doc_stats().sparkSession
-    return retrieve(index, expand_queries(index, vocabulary, as_queries(spark, query), config), k, spark=spark, **how)
+    expanded = expand_queries(index, vocabulary, as_queries(spark, query), config)
+    if isinstance(query, DataFrame):
+        return retrieve(index, expanded, k, spark=spark, **how)
+    lists: dict[int, list[str]] = {}
+    for r in expanded.orderBy("query_id", "qpos").collect():
+        lists.setdefault(r.query_id, []).append(r.term)
+    return retrieve(index, lists[0] if isinstance(query, list) and lists else lists, k, spark=spark, **how)

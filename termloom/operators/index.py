@@ -47,6 +47,7 @@ class LexicalIndex:
     def __init__(self, *, docs: DataFrame | None = None, postings: DataFrame | None = None, doc_stats: DataFrame | None = None, term_stats: DataFrame | None = None):
         self._docs, self._postings, self._doc_stats, self._term_stats = docs, postings, doc_stats, term_stats
         self._scalars: CorpusStats | None = None
+        self._only: list[str] | None = None
 
     # -- making one
 
@@ -68,14 +69,24 @@ class LexicalIndex:
             postings = postings.join(doc_stats, "doc_id")
         return cls(postings=postings.select("term", "doc_id", "tf", "doc_len"), doc_stats=doc_stats)
 
+    def restricted(self, terms: list[str]) -> LexicalIndex:
+        """The same index for someone who asks for these terms only: they are literals, so scans of stored tables skip all other row groups."""
+        out = LexicalIndex(docs=self._docs, postings=self._postings, doc_stats=self._doc_stats, term_stats=self._term_stats)
+        out._scalars, out._only = self.scalars(), sorted(set(terms))
+        return out
+
     # -- tables
 
+    def _of_terms(self, table: DataFrame) -> DataFrame:
+        return table if self._only is None else table.where(F.col("term").isin(self._only))
+
     def postings(self, terms: DataFrame | None = None) -> DataFrame:
         """term, doc_id, tf, doc_len; of the ``terms`` (term) only, if given."""
-        wanted = None if terms is None else terms.select("term").distinct()
+        wanted = None if terms is None or self._only is not None else terms.select("term").distinct()
         if self._postings is not None:
-            return self._postings if wanted is None else self._postings.join(wanted, "term", "left_semi")
-        tokens = self._docs.select("doc_id", _array_length(F.col("terms")).alias("doc_len"), F.explode("terms").alias("term"))
+            held = self._of_terms(self._postings)
+            return held if wanted is None else held.join(wanted, "term", "left_semi")
+        tokens = self._of_terms(self._docs.select("doc_id", _array_length(F.col("terms")).alias("doc_len"), F.explode("terms").alias("term")))
         if wanted is not None:
             tokens = tokens.join(wanted, "term", "left_semi")
         return tokens.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
@@ -88,7 +99,8 @@ class LexicalIndex:
     def term_stats(self, terms: DataFrame | None = None) -> DataFrame:
         """term, df, cf of terms in live documents."""
         if self._term_stats is not None:
-            return self._term_stats if terms is None else self._term_stats.join(terms.select("term").distinct(), "term", "left_semi")
+            held = self._of_terms(self._term_stats)
+            return held if terms is None or self._only is not None else held.join(terms.select("term").distinct(), "term", "left_semi")
         return self.postings(terms).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
     def corpus_stats(self) -> DataFrame:

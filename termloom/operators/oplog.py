@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import WIDTH, numbered, running
+
 OPS = "seq long, op string, doc_id long, terms array<string>"
 
 
@@ -34,61 +36,68 @@ def merge(state: DataFrame, ops: DataFrame) -> DataFrame:
 
 def compacted(state: DataFrame) -> DataFrame:
     """The shortest log with this state: one add per document, by id."""
-    # ranks over ranges of ids: counts of earlier ranges plus the place within one
-    ranged = state.repartitionByRange("doc_id").withColumn("part", F.spark_partition_id())
-    within = F.row_number().over(Window.partitionBy("part").orderBy("doc_id"))
-    counts = ranged.groupBy("part").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = ranged.withColumn("place", within).join(F.broadcast(counts.select("part", before.alias("before"))), "part")
-    return placed.select((F.col("before") + F.col("place")).alias("seq"), F.lit("add").alias("op"), "doc_id", "terms")
+    placed = numbered(state.select("doc_id", "terms"), "doc_id", max(1, state.count()), "seq")
+    return placed.select("seq", F.lit("add").alias("op"), "doc_id", "terms")
 
 
-def _mark(doc_id: Column, terms: Column) -> Column:
-    """A document's hash; the order of its terms does not matter."""
-    return F.xxhash64(doc_id, F.array_sort(F.coalesce(terms, F.array().cast("array<string>"))))
+def _marks(doc_id: Column, terms: Column) -> tuple[Column, Column]:
+    """Two hashes of 60 bits of a document; the order of its terms does not matter, and other terms give other texts."""
+    told = F.transform(F.array_sort(F.coalesce(terms, F.array().cast("array<string>"))), lambda t: F.concat(F.char_length(t).cast("string"), F.lit(":"), t))
+    made = F.md5(F.concat(doc_id.cast("string"), F.lit(" "), F.array_join(told, "")).cast("binary"))
+    return tuple(F.conv(F.substring(made, start, 15), 16, 10).cast("long") for start in (1, 16))
 
 
 def digest(state: DataFrame) -> DataFrame:
-    """One row n_docs, mark: equal for equal states, whatever the order of rows and terms."""
-    return state.agg(F.count("*").alias("n_docs"), F.coalesce(F.bit_xor(_mark(F.col("doc_id"), F.col("terms"))), F.lit(0).cast("long")).alias("mark"))
+    """One row n_docs, mark, mark2: equal for equal states, whatever the order of rows and terms.
+
+    Unequal states of equal size agree by chance once in 2^120.
+    """
+    mark, mark2 = _marks(F.col("doc_id"), F.col("terms"))
+    zero = F.lit(0).cast("long")
+    return state.select(mark.alias("m"), mark2.alias("m2")).agg(F.count("*").alias("n_docs"), F.coalesce(F.bit_xor("m"), zero).alias("mark"), F.coalesce(F.bit_xor("m2"), zero).alias("mark2"))
 
 
-def digests_by_prefix(ops: DataFrame) -> DataFrame:
-    """seq, n_docs, mark: the digest after every op, without replaying any prefix.
+def digests_by_prefix(ops: DataFrame, n: int | None = None, width: int = WIDTH) -> DataFrame:
+    """seq, n_docs, mark, mark2: the digest after every op, without replaying any prefix.
 
-    Each op swaps its document's former hash for its new one, so the digests are running sums of the
-    changes. The last window orders the whole log, which is why inference is bounded by ``max_scan``.
+    Each op swaps its document's former hashes for its new ones, so the digests are running sums of the
+    changes. The log is cut into stretches of ``width`` records: a document's former op is looked for within
+    the stretch, and its first op of a stretch takes over from its last one before; so neither the log nor a document
+    with many ops is gathered in one task. ``n`` is the log's length, if known.
     """
-    live = F.col("op") == "add"
-    now = F.when(live, _mark(F.col("doc_id"), F.col("terms"))).otherwise(F.lit(0).cast("long"))
-    marked = ops.select("seq", "doc_id", now.alias("h"), live.cast("long").alias("n"))
-    of_doc, so_far = Window.partitionBy("doc_id").orderBy("seq"), Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    changed = marked.select(
-        "seq",
-        F.col("h").bitwiseXOR(F.coalesce(F.lag("h").over(of_doc), F.lit(0).cast("long"))).alias("dx"),
-        (F.col("n") - F.coalesce(F.lag("n").over(of_doc), F.lit(0))).alias("dn"),
+    n = ops.count() if n is None else n
+    zero, live = F.lit(0).cast("long"), F.col("op") == "add"
+    mark, mark2 = _marks(F.col("doc_id"), F.col("terms"))
+    marked = ops.select("seq", "doc_id", F.expr(f"(seq - 1) div {width}").alias("part"), F.struct(live.cast("long").alias("n"), F.when(live, mark).otherwise(zero).alias("m"), F.when(live, mark2).otherwise(zero).alias("m2")).alias("now"))
+    inside = Window.partitionBy("part", "doc_id").orderBy("seq")
+    former = marked.withColumn("former", F.lag("now").over(inside)).withColumn("first", F.row_number().over(inside) == 1)
+    lasts = marked.groupBy("part", "doc_id").agg(F.max_by("now", "seq").alias("last"))
+    carried = lasts.select(F.col("part").alias("p"), F.col("doc_id").alias("d"), F.lag("last").over(Window.partitionBy("doc_id").orderBy("part")).alias("carried")).where("carried IS NOT NULL")
+    known = former.join(carried, F.col("first") & (F.col("part") == F.col("p")) & (F.col("doc_id") == F.col("d")), "left")
+    before = lambda f: F.coalesce(F.when(F.col("first"), F.col(f"carried.{f}")).otherwise(F.col(f"former.{f}")), zero)
+    changed = known.select(
+        "seq", (F.col("seq") - 1).alias("place"), (F.col("now.n") - before("n")).alias("n_docs"), F.col("now.m").bitwiseXOR(before("m")).alias("mark"), F.col("now.m2").bitwiseXOR(before("m2")).alias("mark2"),
     )
-    return changed.select("seq", F.sum("dn").over(so_far).alias("n_docs"), F.expr("bit_xor(dx)").over(so_far).alias("mark"))
+    return running(changed, "place", max(n, 1), ["n_docs"], ["mark", "mark2"], width=width).select("seq", "n_docs", "mark", "mark2")
 
 
-def infer_applied(ops: DataFrame, state: DataFrame, max_scan: int = 10_000) -> int | None:
+def infer_applied(ops: DataFrame, state: DataFrame, max_scan: int | None = None) -> int | None:
     """The longest prefix of the log that gives ``state``; None if there is none. Longer logs than ``max_scan`` are refused."""
     n = ops.count()
-    if n > max_scan:
+    if max_scan is not None and n > max_scan:
         raise ValueError(f"the log has {n} records, more than {max_scan}")
     goal = digest(state).first()
     if not goal["n_docs"] and not n:
         return 0
-    hit = digests_by_prefix(ops).where((F.col("n_docs") == goal["n_docs"]) & (F.col("mark") == goal["mark"])).agg(F.max("seq")).first()[0]
+    equal = [F.col(c) == goal[c] for c in ("n_docs", "mark", "mark2")]
+    hit = digests_by_prefix(ops, n).where(equal[0] & equal[1] & equal[2]).agg(F.max("seq")).first()[0]
     return hit if hit is not None else 0 if not goal["n_docs"] else None
 
 
 def same_state(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row n_docs_a, n_docs_b, valid."""
-    x, y = digest(a), digest(b)
-    return x.select(F.col("n_docs").alias("n_docs_a"), F.col("mark").alias("m")).join(y.select(F.col("n_docs").alias("n_docs_b"), F.col("mark").alias("o"))).select(
-        "n_docs_a", "n_docs_b", ((F.col("n_docs_a") == F.col("n_docs_b")) & (F.col("m") == F.col("o"))).alias("valid")
-    )
+    x, y = (digest(s).select(F.col("n_docs").alias(f"n_docs_{name}"), F.struct("mark", "mark2").alias(name)) for s, name in ((a, "a"), (b, "b")))
+    return x.join(y).select("n_docs_a", "n_docs_b", ((F.col("n_docs_a") == F.col("n_docs_b")) & (F.col("a") == F.col("b"))).alias("valid"))
 
 
 def differences(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 A query is a bag of terms in which repetition counts. Queries arrive as lists from the driver, or as a
 DataFrame (query_id, qpos, term). Hits are (query_id, rank, doc_id, score), the best first, ties by
-doc_id. Query terms join the postings and partial sums per (query, document) follow; hot terms never
-become a shuffle key. Top k per query is a window with a group limit, pushed below the shuffle.
+doc_id. Query terms join the postings and partial sums per (query, document) follow. Terms of a driver's
+own queries are literals: they are pushed into the scan, and no term becomes a shuffle key. A large table of
+queries is joined by term; adaptive execution splits the terms that many documents have. Top k per query
+is a window with a group limit, pushed below the shuffle.
 """
 
 from __future__ import annotations
@@ -24,6 +26,11 @@ QUERIES = "query_id long, qpos int, term string"
 
 Params = Bm25 | TfIdf | JelinekMercer | Dirichlet
 
+#: A query whose terms have more postings than this share of the documents is planned as a scan of all.
+MAX_SHARE = 0.5
+#: Terms that are pushed into a scan as literals.
+MOST_LITERALS = 2_000
+
 
 class Retriever(Protocol):
     """Anything that ranks documents for queries."""
@@ -58,9 +65,32 @@ def _bags(queries: DataFrame) -> DataFrame:
     return queries.groupBy("query_id", "term").agg(F.count("*").alias("m"))
 
 
-def candidates(index: LexicalIndex, queries: DataFrame) -> DataFrame:
-    """query_id, doc_id of every document with at least one of a query's terms."""
-    return index.postings(queries).join(queries.select("query_id", "term").distinct(), "term").select("query_id", "doc_id").distinct()
+def plan_candidates(index: LexicalIndex, queries: DataFrame, max_share: float = MAX_SHARE) -> DataFrame:
+    """query_id, n_postings, plan of every query: "postings", or "scan_all" if its terms have more postings than that share of all documents.
+
+    Document frequencies tell how many postings a query would read, without reading them.
+    """
+    terms = queries.select("query_id", "term").distinct()
+    read = terms.join(index.term_stats(queries).select("term", "df"), "term", "left").groupBy("query_id").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n_postings"))
+    return read.withColumn("plan", F.when(F.col("n_postings") > F.lit(max_share * index.scalars().n_docs), "scan_all").otherwise("postings"))
+
+
+def candidates(index: LexicalIndex, queries: DataFrame, max_share: float | None = None) -> DataFrame:
+    """query_id, doc_id of every document with at least one of a query's terms.
+
+    With ``max_share``, queries that ``plan_candidates`` finds too broad get all live documents instead, without a look at
+    their postings. The result has no order of rows; ``orderBy("query_id", "doc_id")`` gives ids ascending.
+    """
+    if max_share is None:
+        return index.postings(queries).join(queries.select("query_id", "term").distinct(), "term").select("query_id", "doc_id").distinct()
+    broad, narrow = _by_plan(index, queries, max_share)
+    return candidates(index, narrow).unionByName(broad.select("query_id").distinct().crossJoin(index.document_ids()))
+
+
+def _by_plan(index: LexicalIndex, queries: DataFrame, max_share: float) -> tuple[DataFrame, DataFrame]:
+    """The queries that scan all documents, and the others."""
+    scanning = plan_candidates(index, queries, max_share).where("plan = 'scan_all'").select("query_id")
+    return queries.join(scanning, "query_id", "left_semi"), queries.join(scanning, "query_id", "left_anti")
 
 
 def _weighted(index: LexicalIndex, queries: DataFrame) -> DataFrame:
@@ -86,8 +116,8 @@ def _vector_scores(index: LexicalIndex, queries: DataFrame, p: Bm25 | TfIdf) ->
     return scored.where((F.col("score") > 0) & finite(F.col("score")))
 
 
-def _language_scores(index: LexicalIndex, queries: DataFrame, p: JelinekMercer | Dirichlet, mode: str) -> DataFrame:
-    """query_id, doc_id, score of query likelihood.
+def _language_scores(index: LexicalIndex, queries: DataFrame, p: JelinekMercer | Dirichlet, mode: str, k: int | None = None) -> DataFrame:
+    """query_id, doc_id, score of query likelihood; with ``k``, what the k best of each query are among.
 
     A document's score is what it would have without any of the terms, which depends on its length only,
     plus what the terms it has add. So no grid of terms and documents is made.
@@ -111,7 +141,11 @@ def _language_scores(index: LexicalIndex, queries: DataFrame, p: JelinekMercer |
     of_matched = matched.join(base, "query_id").select("query_id", "doc_id", final.alias("score"))
     # all documents stand for queries that no document matches, or for every query
     everyone = base if mode == "scan_all" else base.join(terms.where("df > 0").select("query_id").distinct(), "query_id", "left_anti")
-    spread = index.doc_stats().join(F.broadcast(everyone), F.lit(True))
+    documents = index.doc_stats()
+    if mode == "matching" and k is not None:
+        # no document has any of the terms, so all score alike and the k smallest ids are the best
+        documents = F.broadcast(documents.orderBy("doc_id").limit(k))
+    spread = everyone.join(documents, F.lit(True))
     if mode == "scan_all":
         spread = spread.join(matched.select("query_id", "doc_id", "more"), ["query_id", "doc_id"], "left")
         return spread.select("query_id", "doc_id", (F.round(alone + F.coalesce("more", F.lit(0.0)), DIGITS) + F.lit(0.0)).alias("score")).where(finite(F.col("score")))
@@ -119,13 +153,19 @@ def _language_scores(index: LexicalIndex, queries: DataFrame, p: JelinekMercer |
     return of_matched.unionByName(rest).where(finite(F.col("score")))
 
 
-def scores(index: LexicalIndex, queries: DataFrame, params: Params = Bm25(), candidate_mode: str = "matching") -> DataFrame:
-    """query_id, doc_id, score of all candidates."""
-    if candidate_mode not in ("matching", "scan_all"):
+def scores(index: LexicalIndex, queries: DataFrame, params: Params = Bm25(), candidate_mode: str = "matching", k: int | None = None) -> DataFrame:
+    """query_id, doc_id, score of all candidates; with ``k``, at least those that the k best of each query are among.
+
+    The candidates are the matching documents ("matching"), all ("scan_all") or what ``plan_candidates`` says ("planned").
+    """
+    if candidate_mode not in ("matching", "scan_all", "planned"):
         raise ValueError(f"no such candidate mode: {candidate_mode}")
-    if isinstance(params, Bm25 | TfIdf):
+    if isinstance(params, Bm25 | TfIdf):  # documents without a match score nothing, whatever the plan
         return _vector_scores(index, queries, params)
-    return _language_scores(index, queries, params, candidate_mode)
+    if candidate_mode == "planned":
+        broad, narrow = _by_plan(index, queries, MAX_SHARE)
+        return _language_scores(index, broad, params, "scan_all", k).unionByName(_language_scores(index, narrow, params, "matching", k))
+    return _language_scores(index, queries, params, candidate_mode, k)
 
 
 def score_documents(index: LexicalIndex, queries: DataFrame, ids: DataFrame, params: Params = Bm25()) -> DataFrame:
@@ -135,7 +175,7 @@ def score_documents(index: LexicalIndex, queries: DataFrame, ids: DataFrame, par
     narrowed._scalars = index.scalars()
     if isinstance(params, Bm25 | TfIdf):
         found = scores(narrowed, queries, params)
-        grid = some.join(F.broadcast(queries.select("query_id").distinct()), F.lit(True))
+        grid = some.crossJoin(queries.select("query_id").distinct())
         return grid.join(found, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
     return scores(narrowed, queries, params, "scan_all").join(some, "doc_id", "left_semi").select("query_id", "doc_id", "score")
 
@@ -152,7 +192,10 @@ def retrieve(index: LexicalIndex, query: list[str] | dict[int, list[str]] | Data
     queries = _checked(index, spark, query, k)
     if queries is None:
         return spark.createDataFrame([], HITS)
-    scored = scores(index, queries, params, candidate_mode)
+    if not isinstance(query, DataFrame):
+        asked = {t for terms in (query.values() if isinstance(query, dict) else [query]) for t in terms if t is not None}
+        index = index.restricted(list(asked)) if len(asked) <= MOST_LITERALS else index
+    scored = scores(index, queries, params, candidate_mode, k)
     if isinstance(query, list):  # one query: a plain top k, without a shuffle by query
         best = scored.orderBy(F.desc("score"), F.asc("doc_id")).limit(k)
         return top_k(best, k)

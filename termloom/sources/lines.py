@@ -1,24 +1,67 @@
-"""Line corpora: a text file, one document a line, numbered from 0."""
+"""Line corpora: text files read in parallel, lines numbered from 0.
+
+A file is read in splits. Lines end at \\n, a \\r before it goes with it, and a last line end starts no new line. A
+line's number is its place in its split plus the lines of all earlier splits, of which there is one count a
+split; so no file has to fit into one row or one task.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import Tokenizer, whitespace_tokens
+from ..operators.scan import running
+from .files import Folder
+
+#: Splits whose counts are broadcast: 64 bytes or so each, besides the path.
+MOST_SPLITS = 50_000
+
+
+def scanned(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """line, file, start, at: lines with their split and their place in the task, which grows by 1 from line to line."""
+    rows = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path)
+    return rows.select(
+        F.regexp_replace("value", r"\r\z", "").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at")
+    )
+
+
+def _splits(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("at").alias("first"))
 
 
-def split_lines(texts: DataFrame, text_col: str = "value") -> DataFrame:
-    """pos, line of each text: lines end at \\n, a \\r before it goes with it, a last line end starts no new line."""
-    body = F.regexp_replace(F.col(text_col), r"\n\z", "")
-    full = texts.where(F.length(text_col) > 0)
-    numbered = full.select(F.posexplode(F.split(body, "\n", -1)).alias("pos", "line"))
-    return numbered.select(F.col("pos").cast("long").alias("pos"), F.regexp_replace("line", r"\r\z", "").alias("line"))
+def _with_offsets(rows: DataFrame, offsets: DataFrame, few: bool) -> DataFrame:
+    known = offsets.select(F.col("file").alias("__f"), F.col("start").alias("__s"), "first", "before")
+    joined = rows.join(F.broadcast(known) if few else known, (F.col("file") == F.col("__f")) & (F.col("start") == F.col("__s")))
+    return joined.select((F.col("before") + F.col("at") - F.col("first")).alias("pos"), "line", "file")
+
+
+def _few(spark: SparkSession, folder: Folder, name: str) -> bool:
+    """Whether the counts of all splits may be broadcast."""
+    size, files = folder.size(name)
+    of_split = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return files + size // of_split + spark.sparkContext.defaultParallelism <= MOST_SPLITS
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """pos, line of one file. Line numbers span the file, so it is read as a whole."""
-    return split_lines(spark.read.text(path, wholetext=True))
+    """pos, line of a file. Of a folder's files each is numbered from 0."""
+    rows = scanned(spark, path)
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = _splits(rows).withColumn("before", F.coalesce(before, F.lit(0)))
+    return _with_offsets(rows, offsets, _few(spark, Folder(spark, path), "")).select("pos", "line")
+
+
+def read_parts(spark: SparkSession, folder: Folder, name: str, parts: list[str] | None, last: int) -> DataFrame:
+    """pos, line of numbered parts below ``name`` as one sequence; ``parts`` names some of them, ``last`` is the greatest number that counts.
+
+    A part is a file ``<number>.json`` or a folder of that name whose files follow one another by name.
+    """
+    paths = folder.path(name) if parts is None else [folder.path(f"{name}/{p}") for p in parts]
+    rows = scanned(spark, paths)
+    number = F.regexp_extract("file", r"/(\d+)\.json(?:/[^/]*)?\z", 1).cast("long")
+    splits = _splits(rows).select("file", "start", "first", F.col("n").alias("before"), number.alias("part")).where(F.col("part") <= last)
+    offsets = running(splits, "part", last + 1, ["before"], order=["file", "start"], inclusive=False)
+    return _with_offsets(rows, offsets, parts is not None and len(parts) < MOST_SPLITS or _few(spark, folder, name)).select("pos", "line")
 
 
 def read_corpus(spark: SparkSession, path: str, tokenizer: Tokenizer = whitespace_tokens) -> DataFrame:

@@ -1,9 +1,18 @@
-"""An operation log with checkpoints in a folder, maintained by single ops.
+"""An operation log with checkpoints in a folder, maintained by single ops, batches and compaction.
 
-A record goes to the log first, then the checkpoint's pointer moves, then the sidecar that says how many
-records it has seen. Each is replaced in one step, and since replaying a suffix twice changes nothing,
-a crash between any two leaves files that replay to the same documents. Compaction starts from
-checkpoint and suffix, so documents that were checkpointed before a log reset stay.
+The log is a folder of numbered parts (``log_parts``). A commit is one small file that names the log, the
+snapshot with its deltas, and how many records that has seen; commits are numbered, and a number goes to
+one writer only. Whoever finds a number taken starts over from the commit that took it. So log, snapshot and
+offset change together, in one step, and a crash between any two writes leaves the state before or after it.
+What a commit no longer names is deleted when the next but one is made, so readers can finish.
+
+The sidecar ``<checkpoint>.meta`` repeats the offset for others to read. It is written before its commit and
+tells which one it belongs to; if another commit came to pass, that one's own offset counts. Without a
+sidecar the offset counts as lost, until ``doctor`` finds it again from the states.
+
+A record is logged before the commit. Replaying a suffix twice changes nothing, and a commit writes a
+delta of the documents it changes. Compaction starts from checkpoint and suffix, so documents that were checkpointed
+before a log reset stay; it seals the old log first, so that no record can slip in behind it.
 """
 
 from __future__ import annotations
@@ -19,170 +28,280 @@ from ..operators import oplog
 from ..operators.index import LexicalIndex
 from . import snapshot
 from .files import Folder
-from .lines import split_lines
+from .log_parts import LogParts
 
 _RECORD = "seq long, op string, doc_id long, terms array<string>, _broken string"
 
 
-def parse_best_effort(lines: DataFrame) -> DataFrame:
-    """The ops of (pos, line) up to the first line that is not a whole record."""
+def _parsed(lines: DataFrame) -> DataFrame:
     read = lines.select("pos", F.from_json("line", _RECORD, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("r"))
-    good = F.col("r._broken").isNull() & F.col("r.seq").isNotNull() & F.col("r.op").isin("add", "delete") & F.col("r.doc_id").isNotNull()
-    first_bad = read.where(~F.coalesce(good, F.lit(False))).agg(F.min("pos").alias("bad"))
-    return read.join(F.broadcast(first_bad)).where(F.col("bad").isNull() | (F.col("pos") < F.col("bad"))).select("r.seq", "r.op", "r.doc_id", "r.terms")
+    good = F.col("r._broken").isNull() & F.col("r.op").isin("add", "delete") & F.col("r.doc_id").isNotNull()
+    return read.withColumn("good", F.coalesce(good, F.lit(False)))
+
+
+def _ops(read: DataFrame) -> DataFrame:
+    return read.select((F.col("pos") + 1).alias("seq"), "r.op", "r.doc_id", "r.terms")
+
+
+def parse_best_effort(lines: DataFrame) -> DataFrame:
+    """The ops of (pos, line) up to the first line that is not a whole record; seq is pos + 1."""
+    read = _parsed(lines)
+    first_bad = read.where(~F.col("good")).agg(F.min("pos").alias("bad"))
+    return _ops(read.join(F.broadcast(first_bad)).where(F.col("bad").isNull() | (F.col("pos") < F.col("bad"))))
 
 
 def parse_strict(lines: DataFrame) -> DataFrame:
     """All ops of (pos, line); raises LogStateError if a line is not a whole record."""
-    ops = parse_best_effort(lines)
-    whole, found = lines.count(), ops.count()
-    if whole != found:
-        raise LogStateError(f"UnexpectedEof: record {found + 1} of the log is torn or corrupt")
-    return ops
+    read = _parsed(lines)
+    bad = read.where(~F.col("good")).agg(F.min("pos")).first()[0]
+    if bad is not None:
+        raise LogStateError(f"UnexpectedEof: record {bad + 1} of the log is torn or corrupt")
+    return _ops(read)
 
 
 class OpLog:
-    """add, delete, search, checkpoint, status, doctor, compact, scan and validate over one folder."""
+    """add, delete, append, search, checkpoint, status, doctor, compact, scan and validate over one folder."""
 
     def __init__(self, spark: SparkSession, root: str, checkpoint: str = "index.bin", log: str = "ops.log"):
         self.spark, self.folder = spark, Folder(spark, root)
         self.checkpoint_name, self.log_name, self.meta_name = checkpoint, log, f"{checkpoint}.meta"
 
-    # -- reading
+    # -- commits
+
+    def _commit_file(self, n: int) -> str:
+        return f"{self.checkpoint_name}/{n:015d}.json"
+
+    def _numbers(self) -> list[int]:
+        return [int(x.removesuffix(".json")) for x in self.folder.names(self.checkpoint_name) if x.endswith(".json") and not x.startswith(".")]
+
+    def _current(self) -> dict | None:
+        """The last commit: number, id, log, pointer (of the snapshot), meta."""
+        while numbers := self._numbers():
+            raw = self.folder.read(self._commit_file(max(numbers)))
+            if raw is not None:  # else others have gone on meanwhile
+                return json.loads(raw) | {"number": max(numbers)}
+        return None
+
+    def _log(self, commit: dict | None) -> LogParts:
+        return LogParts(self.spark, self.folder, commit["log"] if commit else self.log_name)
+
+    def _try_commit(self, before: dict | None, log: str, pointer: dict, meta: dict, durable: bool) -> bool:
+        """Makes the commit after ``before``, unless another writer made one."""
+        number, made = (before["number"] if before else 0) + 1, uuid.uuid4().hex
+        self.folder.write(self.meta_name, json.dumps(meta | {"commit": made}), durable)
+        if not self.folder.write_new(self._commit_file(number), json.dumps({"id": made, "log": log, "pointer": pointer, "meta": meta}), durable):
+            return False
+        if before is not None:
+            self._clean(number - 2, before, {"log": log, "pointer": pointer, "meta": meta})
+        return True
+
+    def _versions(self, commit: dict) -> set[str]:
+        return snapshot.versions(commit["pointer"]) | snapshot.versions(commit["meta"].get("base"))
+
+    def _clean(self, number: int, *kept: dict) -> None:
+        """Deletes the commit ``number`` and what only it names."""
+        raw = self.folder.read(self._commit_file(number)) if number > 0 else None
+        if raw is None:
+            return
+        old = json.loads(raw)
+        for version in self._versions(old).difference(*map(self._versions, kept)):
+            self.folder.delete(version)
+        if old["log"] not in {k["log"] for k in kept}:
+            self.folder.delete(old["log"])
+        self.folder.delete(self._commit_file(number))
 
-    def _lines(self) -> DataFrame:
-        if not self.folder.exists(self.log_name):
-            return self.spark.createDataFrame([], "pos long, line string")
-        return split_lines(self.spark.read.text(self.folder.path(self.log_name), wholetext=True))
+    # -- reading
 
     def read_ops(self, strict: bool = False) -> DataFrame:
-        return parse_strict(self._lines()) if strict else parse_best_effort(self._lines())
+        lines = self._log(self._current()).lines()
+        return parse_strict(lines) if strict else parse_best_effort(lines)
 
     def meta(self) -> dict | None:
-        """{"applied_records", "base"}; None if there is no sidecar."""
-        raw = self.folder.read(self.meta_name)
-        return None if raw is None else json.loads(raw)
+        """{"applied_records", "applied_parts", "base"}; None if there is no sidecar."""
+        return self._meta(self._current())
 
-    def _pointer(self) -> dict | None:
-        raw = self.folder.read(self.checkpoint_name)
-        return None if raw is None else json.loads(raw)
+    def _meta(self, commit: dict | None) -> dict | None:
+        raw = self.folder.read(self.meta_name)
+        if raw is None:
+            return None
+        told = json.loads(raw)
+        if "commit" in told and told["commit"] != (commit or {}).get("id"):
+            return commit["meta"] if commit else {"applied_records": 0, "applied_parts": 0, "base": None}
+        return told
 
     def checkpoint_index(self) -> LexicalIndex:
-        pointer = self._pointer()
-        return LexicalIndex.empty(self.spark) if pointer is None else snapshot.read_version(self.spark, self.folder.root, pointer)
+        return self._index_of(self._current())
+
+    def _index_of(self, commit: dict | None) -> LexicalIndex:
+        return LexicalIndex.empty(self.spark) if commit is None else snapshot.read_version(self.spark, self.folder.root, commit["pointer"])
 
     def scan(self, strict: bool = False) -> int:
         """Readable records, whatever the checkpoint says."""
         return self.read_ops(strict).count()
 
-    def _applied(self, n_ops: int) -> int:
+    def _applied(self, commit: dict | None, n_ops: int) -> int:
         """How many records the checkpoint has seen; an error if that cannot be known."""
-        meta = self.meta()
+        meta = self._meta(commit)
         if meta is not None:
             if meta["applied_records"] > n_ops:
                 raise LogStateError(f"invalid meta: {meta['applied_records']} records applied, {n_ops} in the log")
             return meta["applied_records"]
-        if n_ops == 0 or self._pointer() is None:
+        if n_ops == 0 or commit is None:
             return 0
         raise LogStateError("meta missing: cannot tell which records the checkpoint has; repair it with doctor(fix=True)")
 
+    def _suffix(self, commit: dict | None, strict: bool = False, last: int | None = None) -> tuple[DataFrame, int]:
+        """The ops that the checkpoint has not seen, up to the part ``last``, and how many it has.
+
+        Only their parts are read if the checkpoint ends with a part; ``strict`` reads the whole log.
+        """
+        meta, parts = self._meta(commit), self._log(commit)
+        known = None if meta is None else meta.get("applied_parts")
+        if known is not None and not strict and (not known or self.folder.exists(parts.part(known))):
+            return parse_best_effort(parts.lines(known, meta["applied_records"], last)), meta["applied_records"]
+        ops = parse_strict(parts.lines(last=last)) if strict else parse_best_effort(parts.lines(last=last))
+        applied = self._applied(commit, ops.count())
+        return oplog.suffix(ops, applied), applied
+
     def state(self, strict: bool = False) -> DataFrame:
         """doc_id, terms of checkpoint and suffix."""
-        ops = self.read_ops(strict)
-        applied = self._applied(ops.count())
-        return oplog.merge(self.checkpoint_index().bag(), oplog.suffix(ops, applied))
+        return self._state(self._current(), strict)
+
+    def _state(self, commit: dict | None, strict: bool = False) -> DataFrame:
+        return oplog.merge(self._index_of(commit).bag(), self._suffix(commit, strict)[0])
 
     def index(self, strict: bool = False) -> LexicalIndex:
-        ops = self.read_ops(strict)
-        applied = self._applied(ops.count())
-        rest = oplog.suffix(ops, applied)
-        changed = self.checkpoint_index().delete(rest)
+        """Checkpoint and suffix as one index; of the checkpoint, only rows of a query's terms are read."""
+        commit = self._current()
+        rest = self._suffix(commit, strict)[0]
+        changed = self._index_of(commit).delete(rest)
         fresh = LexicalIndex.build(oplog.replay(rest))
         return LexicalIndex(postings=changed.postings().unionByName(fresh.postings()), doc_stats=changed.doc_stats().unionByName(fresh.doc_stats()))
 
     # -- writing
 
-    def _commit(self, state: DataFrame, applied: int, durable: bool, base: str | None) -> None:
-        before = self._pointer()
-        pointer = snapshot.write_version(LexicalIndex.build(state), self.spark, self.folder.root)
-        self.folder.write(self.checkpoint_name, json.dumps(pointer), durable)
-        self.folder.write(self.meta_name, json.dumps({"applied_records": applied, "base": pointer["version"] if base == "self" else base}), durable)
-        if before and before["version"] not in (base, (self.meta() or {}).get("base")):
-            self.folder.delete(before["version"])
-
-    def _log(self, op: str, doc_id: int, terms: list[str] | None, durable: bool) -> None:
-        ops = self.read_ops()
-        n = ops.count()
-        applied = self._applied(n)
-        # torn remains of a lost write must not stand before the new record
-        whole = [x.line for x in self._lines().where(F.col("pos") < n).orderBy("pos").collect()]
-        record = json.dumps({"seq": n + 1, "op": op, "doc_id": doc_id, "terms": terms}, ensure_ascii=False)
-        self.folder.write(self.log_name, "".join(f"{x}\n" for x in [*whole, record]), durable)
-        after = self.read_ops()
-        self._commit(oplog.merge(self.checkpoint_index().bag(), oplog.suffix(after, applied)), n + 1, durable, (self.meta() or {}).get("base"))
+    def _advance(self, append, durable: bool, few: bool) -> None:
+        """Logs records by ``append(parts, known)`` and commits what the log then holds beyond the checkpoint."""
+        commit = self._current()
+        rest, applied = self._suffix(commit)
+        meta = self._meta(commit) or {}
+        known = meta.get("applied_parts") or 0
+        self._set_torn_aside(commit, rest, applied, known)
+        if not append(self._log(commit), known):
+            return
+        while True:
+            commit = self._current()
+            parts, meta = self._log(commit), self._meta(commit) or {"base": None}
+            last = parts.last(meta.get("applied_parts") or 0)
+            rest, applied = self._suffix(commit, last=last)
+            rest = rest.persist()
+            n = applied + rest.count()
+            before = commit["pointer"] if commit else snapshot.write_version(LexicalIndex.empty(self.spark), self.spark, self.folder.root)
+            pointer = snapshot.write_delta(self.spark, self.folder.root, before, oplog.replay(rest), rest.select("doc_id"), few)
+            rest.unpersist()
+            if self._try_commit(commit, parts.name, pointer, {"applied_records": n, "applied_parts": last, "base": meta.get("base")}, durable):
+                return
+            for version in snapshot.versions(pointer) - (snapshot.versions(commit["pointer"]) if commit else set()):
+                self.folder.delete(version)
+
+    def _set_torn_aside(self, commit: dict | None, rest: DataFrame, applied: int, known: int) -> None:
+        """Takes a last part that cannot be read out of the log: no record may stand behind it."""
+        parts = self._log(commit)
+        last = parts.last(known)
+        if last <= known or parts.sealed(last):
+            return
+        told = parts.lines(known, applied)
+        bad = _parsed(told).where("not good").agg(F.min("pos")).first()[0]
+        if bad is None:
+            return
+        if rest.count() < told.count() - 1 or self.folder.names(parts.part(last)) != [parts.part(last).rpartition("/")[2]]:
+            raise LogStateError(f"record {bad + 1} of the log is corrupt and others follow it")
+        self.folder.publish(parts.part(last), f"{parts.name}/.torn-{uuid.uuid4().hex}")
 
     def add(self, doc_id: int, text: str, durable: bool = False) -> None:
-        self._log("add", doc_id, text.split(), durable)
+        self._advance(lambda parts, known: parts.append("add", doc_id, text.split(), known, durable), durable, True)
 
     def delete(self, doc_id: int, durable: bool = False) -> None:
         """Logged even if the document is not there."""
-        self._log("delete", doc_id, None, durable)
+        self._advance(lambda parts, known: parts.append("delete", doc_id, None, known, durable), durable, True)
+
+    def append(self, ops: DataFrame, durable: bool = False) -> None:
+        """Logs a batch of ops (seq, op, doc_id, terms), in order of seq, as one part, and applies it."""
+        self._advance(lambda parts, known: parts.append_all(ops, known), durable, False)
+
+    def log_only(self, ops: DataFrame) -> None:
+        """Logs a batch that no checkpoint takes up yet."""
+        commit = self._current()
+        self._log(commit).append_all(ops, (self._meta(commit) or {}).get("applied_parts") or 0)
 
     def checkpoint(self, reset_log: bool = False, durable: bool = False, strict: bool = False) -> None:
         """Writes checkpoint and meta; with ``reset_log`` the log starts anew from this checkpoint."""
-        ops = self.read_ops(strict)
-        n, state = ops.count(), self.state(strict)
-        base = (self.meta() or {}).get("base")
-        self._commit(state, 0 if reset_log else n, durable, "self" if reset_log else base)
-        if reset_log:
-            self.folder.delete(self.log_name)
+        while True:
+            commit = self._current()
+            parts = self._log(commit)
+            if reset_log:
+                parts.seal()
+            last = parts.last((self._meta(commit) or {}).get("applied_parts") or 0)
+            rest, applied = self._suffix(commit, strict, last)
+            n = applied + rest.count()
+            before = commit["pointer"] if commit else snapshot.write_version(LexicalIndex.empty(self.spark), self.spark, self.folder.root)
+            pointer = snapshot.write_delta(self.spark, self.folder.root, before, oplog.replay(rest), rest.select("doc_id"))
+            if reset_log:
+                log, meta = f"{self.log_name}-{uuid.uuid4().hex}", {"applied_records": 0, "applied_parts": 0, "base": pointer}
+            else:
+                log, meta = parts.name, {"applied_records": n, "applied_parts": last, "base": (self._meta(commit) or {}).get("base")}
+            if self._try_commit(commit, log, pointer, meta, durable):
+                return
 
     def status(self, strict: bool = False) -> DataFrame:
         """One row: what is there and how many records wait."""
+        commit = self._current()
+        parts = self._log(commit)
         n = self.scan(strict)
-        applied = self._applied(n)
-        meta, pointer = self.meta(), self._pointer()
+        applied = self._applied(commit, n)
         return self.spark.range(1).select(
-            F.lit(pointer is not None).alias("checkpoint"), F.lit(meta is not None).alias("meta"), F.lit(self.folder.exists(self.log_name)).alias("log"),
+            F.lit(commit is not None).alias("checkpoint"), F.lit(self._meta(commit) is not None).alias("meta"), F.lit(self.folder.exists(parts.part(1)) and not parts.sealed(1)).alias("log"),
             F.lit(n).cast("long").alias("records"), F.lit(applied).cast("long").alias("applied"), F.lit(max(n - applied, 0)).cast("long").alias("pending"),
         )
 
-    def doctor(self, max_scan: int = 10_000, fix: bool = False, durable: bool = False, strict: bool = False) -> int:
+    def doctor(self, max_scan: int | None = None, fix: bool = False, durable: bool = False, strict: bool = False) -> int:
         """The number of applied records, found from the states if the sidecar is missing; ``fix`` writes it."""
+        commit = self._current()
         ops = self.read_ops(strict)
-        meta, n = self.meta(), ops.count()
-        if meta is not None:
-            return self._applied(n)
-        found = oplog.infer_applied(ops, self.checkpoint_index().bag(), max_scan)
+        if self._meta(commit) is not None:
+            return self._applied(commit, ops.count())
+        found = oplog.infer_applied(ops, self._index_of(commit).bag(), max_scan)
         if found is None:
             raise LogStateError("no prefix of the log gives the checkpoint")
         if not fix:
             raise LogStateError(f"meta missing: {found} records seem to be applied; fix=True writes that")
-        self.folder.write(self.meta_name, json.dumps({"applied_records": found, "base": None}), durable)
+        base = commit["meta"]["base"] if commit else None
+        self.folder.write(self.meta_name, json.dumps({"applied_records": found, "base": base}), durable)
         return found
 
     def compact(self, durable: bool = False, strict: bool = False) -> int:
-        """A log of one add per document, with checkpoint and meta to match; returns its length."""
-        state = self.state(strict)
-        name = f"compact-{uuid.uuid4().hex}"
-        path = self.folder.path(name)
-        oplog.compacted(state).write.json(path)
-        kept = self.spark.read.schema(oplog.OPS).json(path)
-        lines = [r[0] for r in kept.orderBy("seq").select(F.to_json(F.struct("seq", "op", "doc_id", "terms"))).toLocalIterator()]
-        self._commit(oplog.replay(kept), 0, durable, None)  # the new state stands for itself until the log is in place
-        if lines:
-            self.folder.write(self.log_name, "".join(f"{x}\n" for x in lines), durable)
-        else:
-            self.folder.delete(self.log_name)
-        self.folder.write(self.meta_name, json.dumps({"applied_records": len(lines), "base": None}), durable)
-        self.folder.delete(name)
-        return len(lines)
+        """A log of one add per document, with checkpoint and meta to match; returns its length.
+
+        Executors write the new log; one commit puts log, snapshot and offset in place. A compaction that was cut
+        off leaves the old log sealed: it reads as before, and another compaction goes on from there.
+        """
+        while True:
+            commit = self._current()
+            self._log(commit).seal()
+            fresh = LogParts(self.spark, self.folder, f"{self.log_name}-{uuid.uuid4().hex}")
+            part = fresh.append_all(self._state(commit, strict).select(F.col("doc_id").alias("seq"), F.lit("add").alias("op"), "doc_id", "terms"))
+            kept = parse_strict(fresh.lines())
+            pointer = snapshot.write_version(LexicalIndex.build(oplog.replay(kept)), self.spark, self.folder.root)
+            if self._try_commit(commit, fresh.name, pointer, {"applied_records": pointer["n_docs"], "applied_parts": part, "base": None}, durable):
+                return pointer["n_docs"]
+            self.folder.delete(fresh.name)
+            self.folder.delete(pointer["version"])
 
     prune = compact
 
     def validate(self, strict: bool = False) -> bool:
         """Whether checkpoint and suffix give the same state as the whole log from its base."""
-        ops = self.read_ops(strict)
-        base = (self.meta() or {}).get("base")
-        start = LexicalIndex.empty(self.spark) if base is None else snapshot.read_version(self.spark, self.folder.root, {"version": base})
-        return oplog.same_state(self.state(strict), oplog.merge(start.bag(), ops)).first()["valid"]
+        commit = self._current()
+        base = (self._meta(commit) or {}).get("base")
+        start = LexicalIndex.empty(self.spark) if base is None else snapshot.read_version(self.spark, self.folder.root, base)
+        return oplog.same_state(self._state(commit, strict), oplog.merge(start.bag(), self.read_ops(strict))).first()["valid"]

@@ -1,5 +1,7 @@
 import json
 import os
+import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +12,10 @@ from termloom.functions.text import whitespace_tokens
 from termloom.operators import oplog
 from termloom.operators.index import LexicalIndex
 from termloom.operators.retrieve import retrieve
+from termloom.operators.scan import numbered, running
 from termloom.sources import lines, snapshot
+from termloom.sources.files import Folder
+from termloom.sources.log_parts import LogParts
 from termloom.sources.oplog_files import OpLog
 from termloom.streaming.ingest import OpStream
 
@@ -44,9 +49,9 @@ def test_last_writer_wins(spark):
 
 def test_digests_of_prefixes_equal_replays(spark):
     ops = ops_of(spark, ROWS)
-    by_prefix = {r.seq: (r.n_docs, r.mark) for r in oplog.digests_by_prefix(ops).collect()}
-    for n in range(1, len(ROWS) + 1):
-        assert by_prefix[n] == tuple(oplog.digest(oplog.replay(oplog.prefix(ops, n))).first())
+    plain = {n: tuple(oplog.digest(oplog.replay(oplog.prefix(ops, n))).first()) for n in range(1, len(ROWS) + 1)}
+    for width in (2, 3, 65536):  # stretches of two and three records need three and two levels of totals
+        assert {r.seq: (r.n_docs, r.mark, r.mark2) for r in oplog.digests_by_prefix(ops, width=width).collect()} == plain
     assert oplog.infer_applied(ops, oplog.replay(oplog.prefix(ops, 2))) == 2
     assert oplog.infer_applied(ops, oplog.replay(oplog.prefix(ops, 5))) == 6  # the largest prefix with that state
     assert oplog.infer_applied(ops, spark.createDataFrame([(7, ["q"])], DOCS)) is None
@@ -92,7 +97,6 @@ def test_log_lost_meta_is_found_and_repaired(spark, tmp_path):
         log.doctor()
     assert log.doctor(fix=True) == 2
     assert log.validate() and log.status().first().pending == 0
-    (tmp_path / ".index.bin.meta.crc").unlink()  # the local file system's checksum
     (tmp_path / "index.bin.meta").write_text(json.dumps({"applied_records": 7}))
     with pytest.raises(LogStateError, match="invalid meta"):
         log.state()
@@ -121,18 +125,154 @@ def test_torn_and_corrupt_logs(spark, tmp_path):
     log = OpLog(spark, f"file://{tmp_path}")
     for i, text in ((1, "a b"), (2, "b c"), (3, "c d")):
         log.add(i, text)
-    path = tmp_path / "ops.log"
-    whole = path.read_bytes()
-    (tmp_path / ".ops.log.crc").unlink()  # the local file system's checksum
-    path.write_bytes(whole[:-3])
+    parts = sorted((tmp_path / "ops.log").glob("*.json"))
+    assert len(parts) == 3
+    whole = [p.read_bytes() for p in parts]
+    parts[2].write_bytes(whole[2][:-3])
     assert log.scan() == 2
     with pytest.raises(LogStateError, match="UnexpectedEof"):
         log.scan(strict=True)
-    rows = whole.decode().splitlines()
-    path.write_text("\n".join([rows[0], "{oops", rows[2]]) + "\n")
+    parts[2].write_bytes(whole[2])
+    parts[1].write_text("{oops\n")
     assert log.scan() == 1  # what stands before the bad record, nothing behind it
 
 
+def test_prefix_sums_and_numbers_by_stretch(spark):
+    rng = random.Random(2)
+    keys = rng.sample(range(-(10**15), 10**15), 500)
+    rows = spark.createDataFrame([(k, "x") for k in keys], "k long, number string").repartition(7)
+    for width in (3, 40, 1000):
+        got = {r.k: r.place for r in numbered(rows, "k", 500, "place", width).collect()}
+        assert got == {k: n + 1 for n, k in enumerate(sorted(keys))}
+    values = [(i, rng.randrange(100), rng.randrange(2**60)) for i in range(300)]
+    for width in (2, 7, 500):
+        got = {r.i: (r.s, r.x) for r in running(spark.createDataFrame(values, "i long, s long, x long").repartition(5), "i", 300, ["s"], ["x"], width=width).collect()}
+        s = x = 0
+        for i, a, b in values:
+            s, x = s + a, x ^ b
+            assert got[i] == (s, x)
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    rng = random.Random(4)
+    want = ["é" * rng.randrange(60) + rng.choice(["", "\r", "\rx"]) for _ in range(5_000)]
+    (tmp_path / "big.txt").write_bytes(("\n".join(want) + "\n").encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        rows = lines.read_lines(spark, str(tmp_path / "big.txt"))
+        assert rows.rdd.getNumPartitions() > 4
+        got = {r.pos: r.line for r in rows.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {n: x.removesuffix("\r") for n, x in enumerate(want)}
+
+
+def test_log_grows_by_one_file_and_numbers_are_unique(spark, tmp_path):
+    folder = Folder(spark, f"file://{tmp_path}")
+    parts = LogParts(spark, folder, "log")
+    ops = spark.range(100_000).select((F.col("id") + 1).alias("seq"), F.lit("add").alias("op"), "id", F.array(F.lit("t")).alias("terms")).withColumnRenamed("id", "doc_id")
+    assert parts.append_all(ops) == 1 and parts.append_all(ops.limit(0)) == 0
+    size, files = folder.size("log")
+    assert parts.append("delete", 7, None) == 2
+    grown, more = folder.size("log")
+    assert more == files + 1 and grown - size < 100
+    # writers at the same time: each record has a number of its own, none is lost
+    with ThreadPoolExecutor(8) as pool:
+        numbers = list(pool.map(lambda i: parts.append("add", i, ["a", "é"]), range(40)))
+    assert sorted(numbers) == list(range(3, 43)) and parts.last() == 42 and parts.last(17) == 42
+    told = {r.pos: json.loads(r.line) for r in parts.lines().where("pos >= 99990").collect()}
+    assert [told[99_990 + i]["doc_id"] for i in range(10)] == list(range(99_990, 100_000)) and told[100_000] == {"op": "delete", "doc_id": 7, "terms": None}
+    assert {n: told[99_998 + n]["doc_id"] for n in numbers} == dict(zip(numbers, range(40)))
+    assert {r.pos for r in parts.lines(after=40, before=100_039).collect()} == {100_039, 100_040}
+    assert parts.seal() == 42 and parts.seal() == 42 and parts.lines(after=42).count() == 0
+    with pytest.raises(LogStateError, match="sealed"):
+        parts.append("add", 1, [])
+    assert not [n for n in os.listdir(tmp_path / "log") if n.startswith(".0") and not n.endswith(".crc")]
+
+
+class Crash(Exception):
+    pass
+
+
+def test_compaction_that_is_cut_off_anywhere_leaves_a_whole_state(spark, tmp_path, monkeypatch):
+    log = OpLog(spark, f"file://{tmp_path}")
+    log.append(ops_of(spark, ROWS))
+    log.add(4, "x y")
+    want = [(1, ["c"]), (3, []), (4, ["x", "y"])]
+    before, checks, inside = log._current()["number"], [], False
+
+    def whole():
+        reader = OpLog(spark, f"file://{tmp_path}")
+        assert state(reader.state()) == want and reader.validate()
+        checks.append(reader._current()["number"])
+
+    def looked_at(step):
+        def call(self, *a, **b):
+            nonlocal inside
+            if not inside:  # what a crash at this point would leave
+                inside = True
+                whole()
+                inside = False
+            return step(self, *a, **b)
+
+        return call
+
+    with monkeypatch.context() as m:
+        for name in ("write", "write_new", "publish", "delete"):
+            m.setattr(Folder, name, looked_at(getattr(Folder, name)))
+        assert log.compact() == 3
+    whole()
+    assert len(checks) > 6 and set(checks) == {before, before + 1} and log.scan() == 3
+    # cut off after the seal: the log reads as before, and the next compaction goes on
+    with monkeypatch.context() as m:
+        m.setattr(snapshot, "write_version", lambda *a: (_ for _ in ()).throw(Crash))
+        with pytest.raises(Crash):
+            log.compact()
+    whole()
+    with pytest.raises(LogStateError, match="sealed"):
+        log.add(5, "z")
+    assert log.compact() == 3
+    log.add(5, "z")
+    assert state(log.state()) == [*want, (5, ["z"])] and log.validate()
+
+
+def test_concurrent_writers_lose_no_record(spark, tmp_path):
+    log = OpLog(spark, f"file://{tmp_path}")
+    log.add(0, "start")
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda i: OpLog(spark, f"file://{tmp_path}").add(i, f"t{i}"), range(1, 4)))
+    assert state(log.state()) == [(0, ["start"]), *((i, [f"t{i}"]) for i in range(1, 4))] and log.scan() == 4 and log.validate()
+
+
+def test_changes_write_what_they_change(spark, tmp_path):
+    root = f"file://{tmp_path}/saved"
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    docs = {i: rng.choices(words, k=60) for i in range(4000)}
+    frame = lambda d: spark.createDataFrame(sorted(d.items()), DOCS)
+    snapshot.save(LexicalIndex.build(frame(docs)), spark, root)
+    folder = Folder(spark, root)
+    whole = folder.size()[0]
+    new = {i: rng.choices(words, k=60) for i in [*range(0, 3900, 100), 9000]}  # 1 %
+    snapshot.change(spark, root, frame(new), spark.createDataFrame([(5,), (77777,)], "doc_id long"))
+    assert folder.size()[0] - whole < whole * 0.05
+    docs |= new
+    docs.pop(5)
+    for step in range(9):  # deltas are merged on the way
+        one = {step: ["only", "these"]}
+        snapshot.change(spark, root, frame(one))
+        docs |= one
+    pointer = json.loads(folder.read(snapshot.POINTER))
+    assert len(pointer["deltas"]) < snapshot.MOST_DELTAS and set(folder.names()) - {snapshot.POINTER} == snapshot.versions(pointer)
+    got, want = snapshot.load(spark, root), LexicalIndex.build(frame(docs))
+    assert sorted(map(tuple, got.postings().collect())) == sorted(map(tuple, want.postings().collect()))
+    assert got.scalars() == want.scalars() and sorted(map(tuple, got.term_stats().collect())) == sorted(map(tuple, want.term_stats().collect()))
+    assert retrieve(got, ["w1", "only"], spark=spark).collect() == retrieve(want, ["w1", "only"], spark=spark).collect()
+    snapshot.change(spark, root, gone=frame(docs).where("doc_id >= 2000"))  # much: a new base
+    assert not json.loads(folder.read(snapshot.POINTER))["deltas"] and snapshot.load(spark, root).scalars().n_docs == sum(i < 2000 for i in docs)
+
+
 def test_stream_equals_replay(spark, tmp_path):
     ops = ops_of(spark, ROWS * 5)
     source = f"file://{tmp_path}/in"
