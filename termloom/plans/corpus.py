@@ -14,7 +14,8 @@ REPEATED = ["the", "the", "of", "der"]
 UNSEEN = ["qqzzxx", "zzqqxx"]
 #: Unknown spellings near frequent terms.
 MISSPELT = ["thoution", "withe", "fromm", "the"]
-DOC_IDS = [1, 2, 3, 5, 8, 13, 21, 34, 55, 89]
+#: Terms of few documents.
+NARROW = ["Den", "Than"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .corpus import DOC_IDS, MISSPELT, QUERY, REPEATED, UNSEEN
+from .corpus import MISSPELT, NARROW, QUERY, REPEATED, UNSEEN
 
 #: Tokens, postings and statistics of the documents.
 BASE = r"""
@@ -27,10 +27,9 @@ def with_base(rest: str) -> str:
     return f"WITH {BASE}, {rest}"
 
 
-def values(terms: list[str]) -> str:
-    """A CTE q(query_id, term, m) of one query."""
-    bag = {t: terms.count(t) for t in terms}
-    rows = ", ".join(f"(CAST(0 AS BIGINT), '{t}', {m})" for t, m in bag.items())
+def values(*queries: list[str]) -> str:
+    """A CTE q(query_id, term, m) of queries, numbered from 0."""
+    rows = ", ".join(f"(CAST({n} AS BIGINT), '{t}', {terms.count(t)})" for n, terms in enumerate(queries) for t in dict.fromkeys(terms))
     return f"q(query_id, term, m) AS (VALUES {rows})"
 
 
@@ -72,8 +71,9 @@ def tfidf(q: str, k: int = 10, **p) -> str:
 
 def likelihood(q: str, formula: str, mode: str = "matching", k: int = 10) -> str:
     """``formula`` of tf, doc_len and pc; every candidate is scored on every query term."""
-    cands = "SELECT DISTINCT query_id, doc_id FROM q JOIN post USING (term)" if mode == "matching" else "SELECT DISTINCT query_id, doc_id FROM q, dl"
-    return with_base(f"""{q}, cand AS ({cands}),
+    matching, scanning = "SELECT DISTINCT query_id, doc_id FROM q JOIN post USING (term)", "SELECT DISTINCT query_id, doc_id FROM q, dl"
+    cands = {"matching": matching, "scan_all": scanning, "planned": f"SELECT query_id, doc_id FROM ({matching}) UNION SELECT query_id, doc_id FROM plan, dl WHERE plan = 'scan_all'"}[mode]
+    return with_base(f"""{q}, {PLAN}, cand AS ({cands}),
         p AS (SELECT cand.query_id, cand.doc_id, q.m, coalesce(post.tf, 0) AS tf, doc_len, coalesce(cf, 0) / CAST(total_len AS DOUBLE) AS pc
               FROM cand JOIN q ON cand.query_id = q.query_id JOIN dl ON dl.doc_id = cand.doc_id
               LEFT JOIN post ON post.doc_id = cand.doc_id AND post.term = q.term LEFT JOIN ts ON ts.term = q.term, cs),
@@ -82,6 +82,11 @@ def likelihood(q: str, formula: str, mode: str = "matching", k: int = 10) -> str
         {TOP.format(k=k)}""")
 
 
+PLAN = """plan AS (
+        SELECT query_id, CAST(coalesce(sum(df), 0) AS BIGINT) AS n_postings, CASE WHEN coalesce(sum(df), 0) > 0.5 * any_value(n_docs) THEN 'scan_all' ELSE 'postings' END AS plan
+        FROM (SELECT DISTINCT query_id, term FROM q) LEFT JOIN ts USING (term), cs GROUP BY query_id)"""
+
+
 def jm(weight: float) -> str:
     return f"((1 - {weight}) * tf / CAST(doc_len AS DOUBLE) + {weight} * pc)"
 
@@ -112,7 +117,6 @@ EXPANDED = """
     once AS (SELECT term, min((later, qpos, rank)) AS place FROM wide GROUP BY term)
 """
 
-IDS = ", ".join(map(str, DOC_IDS))
 LIVE = """
     last AS (SELECT doc_id, arg_max(op, seq) AS op, arg_max(body, seq) AS body FROM {ops} GROUP BY doc_id),
     live AS (SELECT doc_id, body FROM last WHERE op = 'add'),
@@ -125,6 +129,26 @@ def log(rest: str, ops: str = "ev") -> str:
     return f"WITH {OPS}, {LIVE.format(ops=ops)} {rest}"
 
 
+def told(**rows: str) -> str:
+    """what, outcome: SQL values as text."""
+    return " UNION ALL ".join(f"SELECT '{what}' AS what, CAST({value} AS VARCHAR) AS outcome FROM n" for what, value in rows.items())
+
+
+#: A document's hash of 120 bits, and the digests of all prefixes of the log; n has the number of records.
+DIGESTS = r"""
+    n AS (SELECT CAST(count(*) AS BIGINT) AS n, max(doc_id) AS last FROM ev),
+    told AS (SELECT seq, doc_id, op, md5(doc_id || ' ' || array_to_string(list_transform(list_sort(list_filter(string_split_regex(coalesce(body, ''), '\s+'), lambda x: x <> '')), lambda t: length(t) || ':' || t), '')) AS h FROM ev),
+    marked AS (SELECT seq, doc_id, CASE WHEN op = 'add' THEN 1 ELSE 0 END AS k, CASE WHEN op = 'add' THEN CAST('0x' || substr(h, 1, 15) AS BIGINT) ELSE 0 END AS a, CASE WHEN op = 'add' THEN CAST('0x' || substr(h, 16, 15) AS BIGINT) ELSE 0 END AS b FROM told),
+    swapped AS (SELECT seq, k - coalesce(lag(k) OVER w, 0) AS k, xor(a, coalesce(lag(a) OVER w, 0)) AS a, xor(b, coalesce(lag(b) OVER w, 0)) AS b FROM marked WINDOW w AS (PARTITION BY doc_id ORDER BY seq)),
+    digest AS (SELECT seq, CAST(sum(k) OVER w AS BIGINT) AS n_docs, bit_xor(a) OVER w AS mark, bit_xor(b) OVER w AS mark2 FROM swapped WINDOW w AS (ORDER BY seq))
+"""
+
+
+def largest_prefix(applied: int) -> str:
+    """The largest prefix with the digest of the first ``applied`` records."""
+    return f"(SELECT max(d.seq) FROM digest d JOIN digest g ON (d.n_docs, d.mark, d.mark2) = (g.n_docs, g.mark, g.mark2) WHERE g.seq = least({applied}, (SELECT n FROM n)))"
+
+
 STATE = log("SELECT doc_id, terms, doc_len FROM state")
 
 SQL = {
@@ -141,10 +165,10 @@ SQL = {
     "doc_stats": with_base("x AS (SELECT 1) SELECT doc_id, doc_len FROM dl"),
     "corpus_stats": with_base("x AS (SELECT 1) SELECT n_docs, total_len, round(avg_doc_len, 6) AS avg_doc_len FROM cs"),
     "term_stats": with_base("x AS (SELECT 1) SELECT term, df, cf FROM ts"),
-    "term_frequency_lookup": with_base(f"{values(QUERY)} SELECT d.doc_id, q.term, coalesce(tf, 0) AS tf FROM (SELECT doc_id FROM documents WHERE doc_id IN ({IDS})) d CROSS JOIN q LEFT JOIN post ON post.doc_id = d.doc_id AND post.term = q.term"),
+    "term_frequency_lookup": with_base(f"{values(QUERY)} SELECT d.doc_id, q.term, coalesce(tf, 0) AS tf FROM documents d CROSS JOIN q LEFT JOIN post ON post.doc_id = d.doc_id AND post.term = q.term"),
     "term_frequency_all_docs": with_base(f"{values(QUERY)} SELECT d.doc_id, q.term, coalesce(tf, 0) AS tf FROM documents d CROSS JOIN q LEFT JOIN post ON post.doc_id = d.doc_id AND post.term = q.term"),
     "document_frequency_lookup": with_base(f"{values(QUERY + UNSEEN)} SELECT q.term, coalesce(df, 0) AS df FROM q LEFT JOIN ts USING (term)"),
-    "document_length_lookup": with_base(f"i AS (SELECT unnest([{IDS}, -7]) AS doc_id) SELECT CAST(i.doc_id AS BIGINT) AS doc_id, coalesce(doc_len, 0) AS doc_len FROM i LEFT JOIN dl USING (doc_id)"),
+    "document_length_lookup": with_base("i AS (SELECT doc_id FROM dl UNION SELECT doc_id + 1 FROM dl) SELECT i.doc_id, coalesce(doc_len, 0) AS doc_len FROM i LEFT JOIN dl USING (doc_id)"),
     "document_length_all_docs": with_base("x AS (SELECT 1) SELECT d.doc_id, coalesce(doc_len, 0) AS doc_len FROM documents d LEFT JOIN dl USING (doc_id)"),
     "document_ids": "SELECT doc_id FROM documents",
     "vocabulary": with_base("x AS (SELECT 1) SELECT term FROM ts"),
@@ -163,7 +187,7 @@ SQL = {
     "bm25_custom_k1_b": bm25(values(QUERY), k1=2.0, b=0.3),
     "bm25_dup_terms": bm25(values(REPEATED)),
     "bm25_unseen_terms": bm25(values(UNSEEN)),
-    "bm25_score_docs": with_base(f"{bm25_cte(values(QUERY))} SELECT CAST(0 AS BIGINT) AS query_id, d.doc_id, coalesce(score, 0.0) AS score FROM (SELECT doc_id FROM documents WHERE doc_id IN ({IDS})) d LEFT JOIN s USING (doc_id)"),
+    "bm25_score_docs": with_base(f"{bm25_cte(values(QUERY))} SELECT CAST(0 AS BIGINT) AS query_id, d.doc_id, coalesce(score, 0.0) AS score FROM documents d LEFT JOIN s USING (doc_id)"),
     "bm25_score_all_docs": with_base(f"{bm25_cte(values(QUERY))} SELECT CAST(0 AS BIGINT) AS query_id, d.doc_id, coalesce(score, 0.0) AS score FROM documents d LEFT JOIN s USING (doc_id)"),
     "bm25_batch_benchmark": bm25(BENCH),
     "tfidf_default": tfidf(values(QUERY)),
@@ -171,7 +195,7 @@ SQL = {
     "tfidf_smoothed": tfidf(values(QUERY), idf="smoothed"),
     "tfidf_linear_smoothed": tfidf(values(QUERY), tf="linear", idf="smoothed"),
     "tfidf_batch_benchmark": tfidf(BENCH),
-    "tfidf_score_docs": with_base(f"{tfidf_cte(values(QUERY))} SELECT CAST(0 AS BIGINT) AS query_id, d.doc_id, coalesce(score, 0.0) AS score FROM (SELECT doc_id FROM documents WHERE doc_id IN ({IDS})) d LEFT JOIN s USING (doc_id)"),
+    "tfidf_score_docs": with_base(f"{tfidf_cte(values(QUERY))} SELECT CAST(0 AS BIGINT) AS query_id, d.doc_id, coalesce(score, 0.0) AS score FROM documents d LEFT JOIN s USING (doc_id)"),
     "tfidf_score_all_docs": with_base(f"{tfidf_cte(values(QUERY))} SELECT CAST(0 AS BIGINT) AS query_id, d.doc_id, coalesce(score, 0.0) AS score FROM documents d LEFT JOIN s USING (doc_id)"),
     "ql_dirichlet": likelihood(values(QUERY), dirichlet(1000.0)),
     "ql_dirichlet_mu": likelihood(values(QUERY), dirichlet(250.0)),
@@ -190,7 +214,7 @@ SQL = {
     "log_state_prefix": log("SELECT doc_id, terms, doc_len FROM state", "(SELECT * FROM ev WHERE seq <= 5000)"),
     "log_state_suffix_merge": STATE,
     "log_compact": log("SELECT CAST(row_number() OVER (ORDER BY doc_id) AS BIGINT) AS seq, 'add' AS op, doc_id, terms FROM state"),
-    "log_status": f"WITH {OPS} SELECT CAST(count(*) AS BIGINT) AS records, CAST(4000 AS BIGINT) AS applied, CAST(greatest(count(*) - 4000, 0) AS BIGINT) AS pending FROM ev",
+    "log_status": f"WITH {OPS} SELECT CAST(count(*) AS BIGINT) AS records, CAST(least(count(*), 4000) AS BIGINT) AS applied, CAST(greatest(count(*) - 4000, 0) AS BIGINT) AS pending FROM ev",
     "log_validate": log("SELECT CAST(count(*) AS BIGINT) AS n_docs_a, CAST(count(*) AS BIGINT) AS n_docs_b, true AS valid FROM live"),
     "log_digest_by_prefix": f"""
         WITH {OPS}, x AS (SELECT seq, CASE WHEN op = 'add' THEN 1 ELSE 0 END - coalesce(lag(CASE WHEN op = 'add' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY seq), 0) AS d FROM ev)
@@ -211,3 +235,41 @@ SQL["log_search_bm25"] = rf"""
 """
 #: What a log's states come to without a hash of one engine: the offset found again.
 SQL["log_infer_applied"] = f"WITH {OPS} SELECT CAST(least(5000, count(*)) AS BIGINT) AS at_least, true AS same_state FROM ev"
+BOTH = values(QUERY, NARROW)
+LINED = """lined AS (
+    SELECT CAST(pos AS BIGINT) AS doc_id, line AS text FROM (
+        SELECT unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS pos FROM (SELECT string_split(string_agg(text, chr(10) ORDER BY doc_id), chr(10)) AS ls FROM documents)))"""
+TERMS = r"array_to_string(list_sort(list_filter(string_split_regex(body, '\s+'), lambda x: x <> '')), ' ')"
+SQL |= {
+    "candidates_scan_all": with_base(f"{values(QUERY)}, {PLAN} SELECT DISTINCT query_id, doc_id FROM plan, dl WHERE plan = 'scan_all' UNION SELECT query_id, doc_id FROM q JOIN post USING (term)"),
+    "candidates_planned": with_base(f"{BOTH}, {PLAN} SELECT DISTINCT query_id, doc_id FROM plan, dl WHERE plan = 'scan_all' UNION SELECT query_id, doc_id FROM q JOIN post USING (term)"),
+    "candidate_plans": with_base(f"{BOTH}, {PLAN} SELECT query_id, n_postings, plan FROM plan"),
+    "ql_planned": likelihood(BOTH, dirichlet(1000.0), "planned", 20),
+    "fuzzy_stored_vocabulary": SQL["fuzzy_expand_term"],
+    "guards": "WITH n AS (SELECT count(*) AS n FROM documents) " + told(
+        empty_query="'EmptyQueryError'", empty_both="'EmptyQueryError'", empty_index="'EmptyIndexError'", empty_index_k0="'EmptyIndexError'", k0="0", k3="3", grams="'InvalidFuzzyConfigError'", documents="n"),
+    "index_from_postings": with_base("x AS (SELECT 1) SELECT doc_id, CAST(count(*) AS BIGINT) AS n_terms, max(doc_len) AS doc_len FROM post JOIN dl USING (doc_id) GROUP BY doc_id"),
+    "saved_index_search": f"WITH {LINED}, " + bm25(values(QUERY)).replace("FROM documents", "FROM lined").removeprefix("WITH "),
+    "snapshot_change": with_base("""
+        p AS (SELECT term, doc_id, tf, doc_len FROM post JOIN dl USING (doc_id) WHERE doc_id % 10 NOT IN (3, 7)
+              UNION ALL SELECT unnest(['a', 'b']), doc_id, unnest([2, 1]), 3 FROM dl WHERE doc_id % 10 = 3)
+        SELECT term, doc_id, CAST(tf AS BIGINT) AS tf, CAST(doc_len AS BIGINT) AS doc_len, (SELECT CAST(count(*) AS BIGINT) FROM dl WHERE doc_id % 10 <> 7) AS n_docs FROM p"""),
+    "log_status_files": f"""WITH {OPS}, n AS (SELECT CAST(count(*) AS BIGINT) AS n FROM ev)
+        SELECT 'new' AS at, false AS checkpoint, false AS meta, false AS log, CAST(0 AS BIGINT) AS records, CAST(0 AS BIGINT) AS applied, CAST(0 AS BIGINT) AS pending
+        UNION ALL SELECT 'pending', true, true, true, n, least(n, 4000), greatest(n - 4000, 0) FROM n""",
+    "log_append": f"""WITH {OPS}, n AS (SELECT CAST(count(*) AS BIGINT) AS n, max(doc_id) AS last FROM ev)
+        SELECT seq, op, doc_id, CASE WHEN op = 'add' THEN {TERMS} END AS terms FROM ev
+        UNION ALL SELECT n + 1, 'add', last, 'more one record' FROM n UNION ALL SELECT n + 2, 'delete', last, NULL FROM n""",
+    "log_add_delete_state": log("SELECT doc_id, terms, doc_len FROM state", """(SELECT seq, doc_id, op, body FROM ev
+        UNION ALL SELECT count(*) + 1, max(doc_id) + 1, 'add', 'one more  record' FROM ev UNION ALL SELECT count(*) + 2, max(doc_id), 'delete', NULL FROM ev)"""),
+    "log_compact_files": log("SELECT CAST(row_number() OVER (ORDER BY doc_id) AS BIGINT) AS seq, 'add' AS op, doc_id, terms, true AS valid FROM state"),
+    "log_prune_validate": log("SELECT doc_id, terms, doc_len, true AS valid FROM state"),
+    "log_checkpoint_reset": log("SELECT doc_id, terms, doc_len, (SELECT CAST(count(*) AS BIGINT) FROM ev) AS applied, CAST(0 AS BIGINT) AS left_in_log, true AS valid FROM state",
+        "(SELECT seq, doc_id, op, body FROM ev UNION ALL SELECT count(*) + 1, 0, 'delete', NULL FROM ev)"),
+    "log_doctor": f"WITH {OPS}, {DIGESTS} " + told(status="'LogStateError'", dry="'LogStateError'", fixed=largest_prefix(4000), again=largest_prefix(4000), valid="'True'", pending=f"n - {largest_prefix(4000)}"),
+    "log_meta_guard": f"WITH {OPS}, {DIGESTS} " + told(whole="least(n, 4000)", beyond="'LogStateError'", missing="'LogStateError'", restored="least(n, 4000)", new="0"),
+    "log_scan_torn": f"WITH {OPS}, {DIGESTS} " + told(best_effort="least(n, 6999)", strict="CASE WHEN n < 7000 THEN n::VARCHAR ELSE 'LogStateError' END"),
+    "log_search_suffix": SQL["log_search_bm25"],
+    "log_infer_largest_prefix": f"WITH {OPS}, {DIGESTS} SELECT n AS records, {largest_prefix(5000)} AS found FROM n",
+    "log_digests": f"WITH {OPS}, {DIGESTS} SELECT seq, n_docs, mark, mark2 FROM digest",
+}

@@ -180,6 +180,12 @@ class OpLog:
 
     # -- writing
 
+    def _pointer(self, commit: dict | None, rest: DataFrame, few: bool = False) -> dict:
+        """A snapshot of the commit's with the ops ``rest`` applied."""
+        if commit is None:
+            return snapshot.write_version(LexicalIndex.build(oplog.replay(rest)), self.spark, self.folder.root)
+        return snapshot.write_delta(self.spark, self.folder.root, commit["pointer"], oplog.replay(rest), rest.select("doc_id"), few)
+
     def _advance(self, append, durable: bool, few: bool) -> None:
         """Logs records by ``append(parts, known)`` and commits what the log then holds beyond the checkpoint."""
         commit = self._current()
@@ -196,8 +202,7 @@ class OpLog:
             rest, applied = self._suffix(commit, last=last)
             rest = rest.persist()
             n = applied + rest.count()
-            before = commit["pointer"] if commit else snapshot.write_version(LexicalIndex.empty(self.spark), self.spark, self.folder.root)
-            pointer = snapshot.write_delta(self.spark, self.folder.root, before, oplog.replay(rest), rest.select("doc_id"), few)
+            pointer = self._pointer(commit, rest, few)
             rest.unpersist()
             if self._try_commit(commit, parts.name, pointer, {"applied_records": n, "applied_parts": last, "base": meta.get("base")}, durable):
                 return
@@ -244,8 +249,7 @@ class OpLog:
             last = parts.last((self._meta(commit) or {}).get("applied_parts") or 0)
             rest, applied = self._suffix(commit, strict, last)
             n = applied + rest.count()
-            before = commit["pointer"] if commit else snapshot.write_version(LexicalIndex.empty(self.spark), self.spark, self.folder.root)
-            pointer = snapshot.write_delta(self.spark, self.folder.root, before, oplog.replay(rest), rest.select("doc_id"))
+            pointer = self._pointer(commit, rest)
             if reset_log:
                 log, meta = f"{self.log_name}-{uuid.uuid4().hex}", {"applied_records": 0, "applied_parts": 0, "base": pointer}
             else:
