@@ -145,7 +145,7 @@ def _frequencies(texts: DataFrame, width: int) -> np.ndarray:
 
 
 def _profiles(given: DataFrame, sent: Broadcast, width: int, percent: int) -> DataFrame:
-    """doc_id, n, set key (c1, c2), group g, prefix and sketch of every row. Groups that collide are compared as one."""
+    """doc_id, mark (the text's hash), n, set key (c1, c2), group g, prefix and sketch of every row. Groups that collide are compared as one."""
     kind = given.schema["doc_id"].dataType.simpleString()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,11 +161,11 @@ def _profiles(given: DataFrame, sent: Broadcast, width: int, percent: int) -> Da
                 sketches.append(sketch(one))
             k = np.array(keys).T
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(n, pa.int64()), *map(pa.array, k), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
-                ["doc_id", "n", "c1", "c2", "g", "prefix", "sketch"],
+                [part.column(0), part.column(2), pa.array(n, pa.int64()), *map(pa.array, k), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
+                ["doc_id", "mark", "n", "c1", "c2", "g", "prefix", "sketch"],
             )
 
-    return given.mapInArrow(make, f"doc_id {kind}, n long, c1 long, c2 long, g long, prefix array<long>, sketch array<long>")
+    return given.withColumn("mark", F.xxhash64("text")).mapInArrow(make, f"doc_id {kind}, mark long, n long, c1 long, c2 long, g long, prefix array<long>, sketch array<long>")
 
 
 def _shared_entries(filled: DataFrame, store: Store, rows: int, entries: int) -> DataFrame:
@@ -346,17 +346,20 @@ def _compared(units: DataFrame, percent: int, best: bool) -> DataFrame:
     return units.mapInArrow(block_pairs, "part_a long, part_b long")
 
 
-def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id."""
-    store = Store(docs.sparkSession, "ngram-join")
+def _linked(docs: DataFrame, width: int, percent: int, store: Store) -> tuple[DataFrame, DataFrame, int]:
+    """Every row's profile, every class with copies, its component's smallest doc_id and whether it stands for the component, and the number of rows.
+
+    ``foremost`` of a class is (without an id, doc_id, mark) of its smallest row; the class with the smallest one
+    stands for its component, of equals the first.
+    """
     given = docs.select("doc_id", "text")
     sent = docs.sparkSession.sparkContext.broadcast(_frequencies(docs.select("text"), width))
     profiles, seen = store.put_seen(_profiles(given, sent, width, percent), "profiles", rows=F.count("*"), entries=F.sum(F.size("prefix").cast("long")))
     sent.destroy()  # what is stored is not made again
     rows, filled = seen["rows"], profiles.where("n > 0")
 
-    slim = filled.groupBy("c1", "c2").agg(F.min("doc_id").alias("min_doc"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("g").alias("g"), F.first("sketch").alias("sketch"))
-    classes = store.put(slim.withColumn("k", F.monotonically_increasing_id()), "classes")
+    slim = filled.groupBy("c1", "c2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("foremost"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("g").alias("g"), F.first("sketch").alias("sketch"))
+    classes = store.put(slim.withColumn("min_doc", F.col("foremost.doc_id")).withColumn("k", F.monotonically_increasing_id()), "classes")
 
     shared = store.put(_shared_entries(filled.select("g", "n", "prefix"), store, rows, seen["entries"] or 0), "entries")
     signed = shared.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("g")).alias("x"), F.bit_xor(F.xxhash64("g", F.lit(7))).alias("y"), F.sum(F.col("n") - F.col("left")).alias("at")).where("c > 1")
@@ -378,12 +381,17 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
             links = store.put(links.unionByName(more), "links")
             roots = components(links, store)
 
-    named = roots.join(classes.select(F.col("k").alias("node"), "min_doc"), "node")
-    names = named.groupBy("root").agg(F.min("min_doc").alias("component_id"))
-    least = roots.join(names, "root").select(F.col("node").alias("k"), "component_id")
-    of_class = classes.select("k", "c1", "c2", "copies", "min_doc").join(least, "k", "left").select("c1", "c2", "copies", F.coalesce("component_id", "min_doc").alias("component_id"))
-    of_class = store.put(of_class, "components")
+    named = roots.join(classes.select(F.col("k").alias("node"), "foremost"), "node")
+    names = named.groupBy("root").agg(F.min("foremost.doc_id").alias("component_id"), F.min_by("node", F.struct("foremost", "node")).alias("keeper"))
+    least = roots.join(names, "root").select(F.col("node").alias("k"), "component_id", (F.col("node") == F.col("keeper")).alias("keeper"))
+    of_class = classes.select("k", "c1", "c2", "copies", "min_doc", "foremost").join(least, "k", "left")
+    of_class = of_class.select("c1", "c2", "copies", "foremost", F.coalesce("component_id", "min_doc").alias("component_id"), F.coalesce("keeper", F.lit(True)).alias("keeper"))
+    return profiles, store.put(of_class, "components"), rows
 
+
+def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id."""
+    profiles, of_class, rows = _linked(docs, width, percent, Store(docs.sparkSession, "ngram-join"))
     slim = profiles.select("doc_id", F.col("n").alias("n_shingles"), "c1", "c2")
     empty = slim.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     found = lookup(slim.where("n_shingles > 0"), of_class, ["c1", "c2"], "copies", rows).select(*empty.columns)
@@ -391,15 +399,24 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
 
 def one_per_component(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` whose id names their component, with all columns.
+    """One row of ``docs`` for each component, with all columns, and all rows without words.
 
-    Only rows that a bounded filter of the dropped ids cannot clear are shuffled.
+    Rows are known by their id and text, since links are a row's own, whatever other rows have its id: the row with the
+    smallest id stays, of several the one whose text has the smallest hash, and a row without an id only where
+    no other is there. Only rows that a bounded filter cannot clear are shuffled.
     """
     store = Store(docs.sparkSession, "ngram-keep")
-    found = link_components(docs, width, percent)
-    gone, seen = store.put_seen(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone", rows=F.count("*"))
-    slot = F.expr(f"pmod(xxhash64(doc_id), {power_of_two(max(seen['rows'], 1) * 64)}L)")
-    words = bit_filter(gone.select(slot.alias("slot")))
-    marked = maybe_in(docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), "doc_id"), words, slot, "maybe")
-    clear = marked.where("not maybe").select("row.*")
-    return clear.unionByName(marked.where("maybe").join(gone, "doc_id", "left_anti").select("row.*"))
+    profiles, of_class, rows = _linked(docs, width, percent, store)
+    placed = lookup(profiles.where("n > 0").select("doc_id", "mark", "c1", "c2"), of_class, ["c1", "c2"], "copies", rows)
+    stays = F.col("keeper") & F.col("doc_id").eqNullSafe(F.col("foremost.doc_id")) & (F.col("mark") == F.col("foremost.mark"))
+    known = store.put(placed.where(~stays | (F.col("copies") > 1)).groupBy("doc_id", "mark").agg(F.max(stays).alias("stays"), F.count("*").alias("n")), "known")
+    # those that go, and those that are there several times
+    asked, seen = store.put_seen(known.where(~F.col("stays") | (F.col("n") > 1)).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("stays").alias("__stays")), "asked", rows=F.count("*"))
+    slot = lambda i, m: F.pmod(F.xxhash64(i, m), F.lit(power_of_two(max(seen["rows"], 1) * 64)).cast("long"))
+    words = bit_filter(asked.select(slot(F.col("__id"), F.col("__mark")).alias("slot")))
+    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"))
+    marked = maybe_in(whole, words, slot(F.col("id"), F.col("mark")), "maybe")
+    same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark"))
+    found = marked.where("maybe").join(asked, same, "left")
+    once = found.where("__stays").dropDuplicates(["id", "mark"])
+    return marked.where("not maybe").select("row.*").unionByName(found.where("__stays IS NULL").select("row.*")).unionByName(once.select("row.*"))

@@ -101,9 +101,24 @@ def test_near_copies_near_the_border(spark):
     assert {1, 3, 15} & set(kept) != {1, 3, 15} and len(texts) // 2 < len(kept) < len(texts)
 
 
+def test_near_copies_go_by_row(spark):
+    """Rows of one id and rows without an id, against brute force: links are a row's own."""
+    rng = random.Random(6)
+    text = lambda: " ".join(f"w{rng.randrange(5000)}" for _ in range(60))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(2, a), (5, f"{a} more"), (5, b), (7, c), (None, f"{c} more"), (None, d), (None, f"{d} more"), (None, d), (9, e), (9, f"{e} more"), (9, e.replace("w", "W")), (None, None), (3, ""), (3, ""), (4, f"{b} x y")]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, mark string").repartition(4)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    near = lambda t: next((n for n, x in enumerate((a, b, c, d, e)) if t and t.lower().startswith(x)), None)
+    groups = Counter(near(t) for _, t in kept)
+    assert groups == {0: 1, 1: 1, 2: 1, 3: 1, 4: 1, None: 3}  # one of each component; rows without words all stay
+    assert {near(t): i for i, t in kept if near(t) is not None} == {0: 2, 1: 4, 2: 7, 3: None, 4: 9}
+    assert (2, a) in kept and (7, c) in kept and not any(i is None and near(t) == 2 for i, t in kept)
+
+
 def test_registered():
     assert set(queries.QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{n}" for n in range(1, 14)]
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES) and corpus_pipeline.ORACLE_SQL is None
 
 
