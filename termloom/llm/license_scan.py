@@ -2,12 +2,15 @@
 
 A text becomes its words (letters, digits and everything outside ASCII, A-Z lower-cased) with one space
 between them. Base phrases are found where their words stand side by side. Notices may differ from
-the text by one edit for every EDIT_EVERY characters: by the pigeonhole principle, of a notice cut
-into edits + 1 pieces one at least stands unchanged in any such place, so one Aho-Corasick pass over
-the text for all pieces of all notices gives every candidate: a piece says where the notice would begin.
-The regex library's bounded-error matching verifies each candidate's own stretch of text, which is too short
-for two places side by side, and reports its best span and edits. Where a better span covers part of a
-stretch, what is left of it is searched again. The work grows with the text's length and its candidates.
+the text by one edit for every EDIT_EVERY characters, but not in the words that name the licence, and a span
+begins and ends with whole words. By the pigeonhole principle, of a notice cut into edits + 1 pieces one at
+least stands unchanged in any such place, so one Aho-Corasick pass over the text for all pieces of all
+notices gives every candidate: a piece says where the notice would begin. In each candidate's own stretch of
+text, which is too short for two places side by side, a plain search looks for the notice as it stands; else
+the least number of edits anywhere in the stretch is counted with bit vectors (Myers, 1999), and from that
+number on the regex library's bounded-error matching verifies the edits, one more at a time, and reports the
+span. Where a better span covers part of a stretch, what is left of it is searched again. The work grows with
+the text's length and its candidates.
 
 Defined cases: a null text counts as empty; a text without words has no place, no label and score 0.
 Overlapping places of a phrase all count; of overlapping spans of a notice the one with fewest edits
@@ -37,18 +40,40 @@ PHRASES = {
     "mit license": "mit",
 }
 
-#: Short notices (words in lower case, without punctuation) and their labels.
+#: Openings and reference lines of common licences (words in lower case, without punctuation), their labels, and the words that name the licence.
 NOTICES = {
-    "licensed under the apache license version 2 0": "apache",
-    "this work is licensed under the gnu general public license version 3": "gpl",
-    "this program is free software you can redistribute it and or modify it": "gpl",
-    "permission is hereby granted free of charge to any person obtaining a copy": "mit",
-    "released under the mit license": "mit",
-    "redistribution and use in source and binary forms": "bsd",
-    "this work is licensed under a creative commons attribution license": "cc-by",
-    "this source code form is subject to the terms of the mozilla public license": "mpl",
-    "gnu lesser general public license": "lgpl",
-    "all rights reserved": "all-rights-reserved",
+    "licensed under the apache license version 2 0": ("apache", "apache"),
+    "apache license version 2 0 january 2004": ("apache", "apache"),
+    "this work is licensed under the gnu general public license version 3": ("gpl", "gnu general public license"),
+    "this program is free software you can redistribute it and or modify it": ("gpl", ""),
+    "under the terms of the gnu general public license as published by the free software foundation": ("gpl", "gnu general public license"),
+    "gnu affero general public license": ("agpl", "affero"),
+    "gnu lesser general public license": ("lgpl", "lesser"),
+    "gnu library general public license": ("lgpl", "library"),
+    "permission is hereby granted free of charge to any person obtaining a copy": ("mit", ""),
+    "released under the mit license": ("mit", "mit"),
+    "licensed under the mit license": ("mit", "mit"),
+    "redistribution and use in source and binary forms": ("bsd", ""),
+    "released under the bsd license": ("bsd", "bsd"),
+    "licensed under the bsd license": ("bsd", "bsd"),
+    "neither the name of the copyright holder nor the names of its contributors may be used": ("bsd", ""),
+    "permission to use copy modify and or distribute this software for any purpose": ("isc", ""),
+    "released under the isc license": ("isc", "isc"),
+    "licensed under the isc license": ("isc", "isc"),
+    "this work is licensed under a creative commons attribution license": ("cc-by", "creative commons attribution license"),
+    "creative commons attribution 4 0 international": ("cc-by", "creative commons attribution 4"),
+    "creative commons attribution sharealike": ("cc-by-sa", "sharealike"),
+    "creative commons attribution share alike": ("cc-by-sa", "share alike"),
+    "creative commons attribution noncommercial": ("cc-by-nc", "noncommercial"),
+    "creative commons attribution noderivatives": ("cc-by-nd", "noderivatives"),
+    "cc0 1 0 universal": ("cc0", "cc0"),
+    "this source code form is subject to the terms of the mozilla public license": ("mpl", "mozilla"),
+    "mozilla public license version 2 0": ("mpl", "mozilla"),
+    "released under the mpl license": ("mpl", "mpl"),
+    "eclipse public license": ("epl", "eclipse"),
+    "boost software license version 1 0": ("boost", "boost"),
+    "this is free and unencumbered software released into the public domain": ("unlicense", ""),
+    "all rights reserved": ("all-rights-reserved", ""),
 }
 EDIT_EVERY = 10
 
@@ -66,17 +91,82 @@ def pieces_of(notice: str, edits: int) -> list[tuple[int, str]]:
     return [(s, notice[s:e]) for s, e in zip(cuts, cuts[1:])]
 
 
+class Notice:
+    """One notice: where it is looked for and how it is verified."""
+
+    def __init__(self, text: str, label: str, name: str, edits: int):
+        self.text, self.label, self.edits = text, label, edits
+        at = f" {text} ".find(f" {name} ") if name else -1
+        if name and at < 0:
+            raise ValueError(f"{name!r} does not stand in {text!r}")
+        self.name = f" {name} " if name else ""
+        escaped = lambda t: regex.escape(t, literal_spaces=True)
+        if name:
+            left, right = text[: max(0, at - 1)], text[at + len(name) + 1 :]
+            self._parts = (escaped(left), escaped(name), escaped(right))
+        else:
+            self._parts = (escaped(text), None, "")
+        self._patterns: dict[int, regex.Pattern] = {}
+        self._bits: dict[str, int] = {}
+        for i, c in enumerate(text):
+            self._bits[c] = self._bits.get(c, 0) | 1 << i
+
+    def _pattern(self, edits: int) -> regex.Pattern:
+        """Whole words within so many edits for each side of the name; the best match, if there are two sides."""
+        if edits not in self._patterns:
+            left, name, right = self._parts
+            near = lambda t: f"(?:{t}){{e<={edits}}}"
+            body = near(left) if name is None else (f"{near(left)} " if left else "") + name + (f" {near(right)}" if right else "")
+            self._patterns[edits] = regex.compile(f"{'(?b)' if left and right else ''}(?<= ){body}(?= )")
+        return self._patterns[edits]
+
+    def least(self, text: str) -> int:
+        """The least number of edits between the notice and any stretch of the text."""
+        n = len(self.text)
+        every, top, bits = (1 << n) - 1, 1 << (n - 1), self._bits
+        plus, minus, score = every, 0, n
+        best = n
+        for c in text:
+            eq = bits.get(c, 0)
+            v = eq | minus
+            h = (((eq & plus) + plus) ^ plus) | eq
+            up = minus | ~(h | plus) & every
+            down = plus & h
+            if up & top:
+                score += 1
+            elif down & top:
+                score -= 1
+                if score < best:
+                    best = score
+            up, down = up << 1 & every, down << 1 & every
+            plus = down | ~(v | up) & every
+            minus = up & v
+        return best
+
+    def best(self, line: str, start: int, end: int) -> tuple[int, int, int] | None:
+        """Edits, start and end of the best place between two places of a line."""
+        at = line.find(f" {self.text} ", start, end)
+        if at >= 0:
+            return 0, at + 1, at + 1 + len(self.text)
+        if self.name and line.find(self.name, start, end) < 0:
+            return None
+        for edits in range(max(1, self.least(line[start:end])), self.edits + 1):
+            m = self._pattern(edits).search(line, start, end)
+            if m and sum(m.fuzzy_counts) <= edits:
+                return sum(m.fuzzy_counts), m.start(), m.end()
+        return None
+
+
 class Scanner:
     """All notices' pieces in one automaton."""
 
-    def __init__(self, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES, edit_every: int = EDIT_EVERY):
+    def __init__(self, phrases: dict[str, str] = PHRASES, notices: dict[str, tuple[str, str]] = NOTICES, edit_every: int = EDIT_EVERY):
         self.phrases = [(f" {p} ".encode(), label) for p, label in phrases.items()]
-        self.notices = []
+        self.notices: list[Notice] = []
         seeds: dict[str, list[tuple[int, int]]] = {}
-        for k, (notice, label) in enumerate(notices.items()):
-            edits = len(notice) // edit_every
-            self.notices.append((label, len(notice), edits, regex.compile(f"(?b)(?:{regex.escape(notice, literal_spaces=True)}){{e<={edits}}}")))
-            for start, piece in pieces_of(notice, edits):
+        for k, (text, (label, name)) in enumerate(notices.items()):
+            self.notices.append(Notice(text, label, name, len(text) // edit_every))
+            for start, piece in pieces_of(text, len(text) // edit_every):
                 seeds.setdefault(piece, []).append((k, start))
         self.automaton = ahocorasick.Automaton()
         for piece, where in seeds.items():
@@ -102,26 +192,27 @@ class Scanner:
         for end, (size, where) in self.automaton.iter(line) if self.seeds else ():
             for k, offset in where:
                 begins.setdefault(k, set()).add(end + 1 - size - offset)
-        return [(self.notices[k][0], *span) for k in sorted(begins) for span in self._verified(line, k, sorted(begins[k]))]
+        return [(self.notices[k].label, *span) for k in sorted(begins) for span in self._verified(line, k, sorted(begins[k]))]
 
     def _verified(self, line: str, k: int, begins: list[int]) -> list[tuple[int, int, int, float]]:
         """start, end, edits and similarity of the places of a notice that would begin within its edits of ``begins``."""
-        _, n, edits, pattern = self.notices[k]
+        notice = self.notices[k]
+        n, edits = len(notice.text), notice.edits
         stretches, first = [], None
         for at in begins:
             if first is None or at > first + edits:
                 first = at
-                stretches.append([max(0, at - edits), 0])
-            stretches[-1][1] = min(len(line), at + n + edits)
+                stretches.append([max(0, at - edits - 1), 0])
+            stretches[-1][1] = min(len(line), at + n + edits + 1)
         taken: list[tuple[int, int, int]] = []
         while stretches:
-            found = [(m, x) for x in stretches if (m := pattern.search(line, *x))]
-            for cost, s, e in sorted({(sum(m.fuzzy_counts), m.start(), m.end()) for m, _ in found}):
+            found = [(place, x) for x in stretches if (place := notice.best(line, *x))]
+            for cost, s, e in sorted({place for place, _ in found}):
                 i = bisect_left(taken, (s,))
                 if (i == 0 or taken[i - 1][1] <= s) and (i == len(taken) or e <= taken[i][0]):
                     taken.insert(i, (s, e, cost))
-            # what the places taken leave of the stretches that had one
-            stretches = sorted({gap for _, x in found for gap in _gaps(*x, taken) if gap[1] - gap[0] >= n - edits})
+            # what the places taken leave of the stretches that had one; the space between two belongs to both
+            stretches = sorted({(max(0, a - 1), min(len(line), b + 1)) for _, x in found for a, b in _gaps(*x, taken) if b - a >= n - edits and (a, b) != tuple(x)})
         return [(s, e, cost, 1 - cost / n) for s, e, cost in taken]
 
 
