@@ -30,6 +30,8 @@ Params = Bm25 | TfIdf | JelinekMercer | Dirichlet
 MAX_SHARE = 0.5
 #: Terms that are pushed into a scan as literals.
 MOST_LITERALS = 2_000
+#: A term with more postings than this, and than a 1024th of the documents, is joined in parts of about so many.
+HOT_POSTINGS = 100_000
 
 
 class Retriever(Protocol):
@@ -109,9 +111,26 @@ def _term_score(index: LexicalIndex, p: Bm25 | TfIdf) -> Column:
     return tfidf_term(F.col("tf"), n, F.col("df"), p)
 
 
+def _matched(index: LexicalIndex, queries: DataFrame, weighted: DataFrame) -> DataFrame:
+    """Postings with the queries' terms (``weighted``).
+
+    In a stored index, terms with very many postings are cut into parts by document, and only their rows of
+    ``weighted`` are repeated for each part. How many postings a term has is known before any is read, and
+    at most 1024 terms for every term of an average document are that frequent.
+    """
+    postings = index.postings(queries)
+    if index._only is not None or index._term_stats is None:
+        return postings.join(weighted, "term")
+    cut = max(HOT_POSTINGS, index.scalars().n_docs // 1024)
+    parts = F.ceil(F.col("df") / F.lit(cut)).cast("int")
+    hot = index.term_stats(queries).where(F.col("df") > cut).select("term", parts.alias("parts"))
+    dealt = postings.join(F.broadcast(hot), "term", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+    return dealt.join(weighted.withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))), ["term", "part"])
+
+
 def _vector_scores(index: LexicalIndex, queries: DataFrame, p: Bm25 | TfIdf) -> DataFrame:
     """query_id, doc_id, score of BM25 or TF-IDF; documents without a contribution are left out."""
-    joined = index.postings(queries).join(_weighted(index, queries), "term")
+    joined = _matched(index, queries, _weighted(index, queries))
     scored = joined.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("m") * _term_score(index, p)), DIGITS).alias("score"))
     return scored.where((F.col("score") > 0) & finite(F.col("score")))
 
@@ -136,7 +155,7 @@ def _language_scores(index: LexicalIndex, queries: DataFrame, p: JelinekMercer |
         alone = F.col("fixed") - F.when(F.col("counted") > 0, F.col("counted") * F.log(F.col("doc_len") + F.lit(p.mu))).otherwise(F.lit(0.0))
     having = log_or_zero(smoothed_probability(F.col("tf"), F.col("doc_len"), F.col("pc"), p))
     lacking = log_or_zero(smoothed_probability(zero, F.col("doc_len"), F.col("pc"), p))
-    matched = index.postings(queries).join(terms, "term").groupBy("query_id", "doc_id").agg(F.first("doc_len").alias("doc_len"), F.sum(F.col("m") * (having - lacking)).alias("more"))
+    matched = _matched(index, queries, terms).groupBy("query_id", "doc_id").agg(F.first("doc_len").alias("doc_len"), F.sum(F.col("m") * (having - lacking)).alias("more"))
     final = F.round(alone + F.col("more"), DIGITS) + F.lit(0.0)
     of_matched = matched.join(base, "query_id").select("query_id", "doc_id", final.alias("score"))
     # all documents stand for queries that no document matches, or for every query

@@ -6,11 +6,13 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+import termloom.operators.retrieve
 from termloom.errors import EmptyIndexError, EmptyQueryError, InvalidFuzzyConfigError
 from termloom.functions.scoring import Bm25, Dirichlet, JelinekMercer, TfIdf
 from termloom.operators import fuzzy
 from termloom.operators.index import LexicalIndex
-from termloom.operators.retrieve import IndexRetriever, as_queries, candidates, retrieve, score_documents
+from termloom.operators.retrieve import IndexRetriever, as_queries, candidates, plan_candidates, retrieve, score_documents
+from termloom.sources import snapshot
 
 DOCS = "doc_id long, terms array<string>"
 
@@ -181,3 +183,85 @@ def test_fuzzy_settings_matter_only_for_unknown_terms(spark):
         fuzzy.expand_queries(i, v, as_queries(spark, ["colr"]), fuzzy.FuzzyConfig(k=0))
     with pytest.raises(InvalidFuzzyConfigError):
         fuzzy.FuzzyVocabulary.of_index(i, 0)
+
+
+def stored(spark, tmp_path, n=400):
+    rng = random.Random(12)
+    words = [f"w{i:04d}" for i in range(2000)]
+    docs = spark.createDataFrame([(i, ["the"] * (1 + i % 3) + rng.choices(words, k=25)) for i in range(n)], DOCS)
+    snapshot.save(LexicalIndex.build(docs), spark, f"file://{tmp_path}/saved")
+    return snapshot.load(spark, f"file://{tmp_path}/saved"), LexicalIndex.build(docs)
+
+
+def rows_read(df):
+    """Rows that the plan's scans put out, after ``df`` was collected."""
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_stored_index_is_read_by_term(spark, tmp_path):
+    """A query's terms are literals of the scan: other files' row groups are not read, in the base nor in a delta."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several files, small as they are
+    try:
+        kept, _ = stored(spark, tmp_path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    every = rows_read(kept.postings())
+    some = kept.restricted(["w0007", "w0011"]).postings()
+    assert 0 < rows_read(some) < every / 2 and some.count() < 30
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(term, [w0007,w0011])]" in plan(some)
+    snapshot.change(spark, f"file://{tmp_path}/saved", spark.createDataFrame([(3, ["w0007"]), (9000, ["w0007", "x"])], DOCS))
+    changed = snapshot.load(spark, f"file://{tmp_path}/saved")
+    assert plan(changed.restricted(["w0007"]).postings()).count("EqualTo(term,w0007)") >= 2
+    hits = {r.doc_id for r in retrieve(changed, ["w0007"], 1000, spark=spark).collect()}
+    assert hits == {r.doc_id for r in changed.postings().where("term = 'w0007'").collect()} and {3, 9000} <= hits
+
+
+def test_frequent_terms_are_joined_in_parts(spark, tmp_path, monkeypatch):
+    """Batches over a stored index give the same hits, whatever the parts; a term in all documents is cut evenly."""
+    kept, plain = stored(spark, tmp_path)
+    queries = spark.createDataFrame([(q, i, t) for q in range(30) for i, t in enumerate(["the", f"w{q:04d}", "the", "nowhere"])], "query_id long, qpos int, term string")
+    for params in (Bm25(), Dirichlet(), JelinekMercer()):
+        want = sorted(map(tuple, retrieve(plain, queries, 5, params, spark=spark).collect()))
+        for most in (100_000, 40):
+            monkeypatch.setattr(termloom.operators.retrieve, "HOT_POSTINGS", most)
+            assert sorted(map(tuple, retrieve(kept, queries, 5, params, spark=spark).collect())) == want
+    dealt = termloom.operators.retrieve._matched(kept, queries, termloom.operators.retrieve._weighted(kept, queries)).where("term = 'the'").groupBy("part").count().collect()
+    sizes = sorted(r["count"] for r in dealt)
+    assert len(sizes) == 10 and sizes[-1] < 2 * sizes[5]
+
+
+def test_candidate_plans(spark):
+    docs = spark.createDataFrame([(i, ["common", f"u{i}"]) for i in range(10)], DOCS)
+    index = LexicalIndex.build(docs)
+    queries = as_queries(spark, {0: ["common"], 1: ["u3", "u4"], 2: ["nowhere"], 3: ["common", "u1"]})
+    plans = {r.query_id: (r.n_postings, r.plan) for r in plan_candidates(index, queries).collect()}
+    assert plans == {0: (10, "scan_all"), 1: (2, "postings"), 2: (0, "postings"), 3: (11, "scan_all")}
+    exact = sorted(map(tuple, candidates(index, queries).collect()))
+    planned = [tuple(r) for r in candidates(index, queries, 0.5).orderBy("query_id", "doc_id").collect()]
+    assert planned == exact == [*((0, i) for i in range(10)), (1, 3), (1, 4), *((3, i) for i in range(10))]
+    # the plan shows in query likelihood only: documents without a match are ranked if the query scans all
+    wide = retrieve(index, {0: ["common"], 1: ["u3"]}, 20, Dirichlet(), "planned", spark)
+    assert sorted(r.query_id for r in wide.collect()) == [0] * 10 + [1]
+
+
+def test_fallback_reads_the_smallest_ids_only(spark):
+    index = LexicalIndex.build(spark.createDataFrame([(i, ["a"] * (i % 7)) for i in range(50)], DOCS))
+    queries = spark.createDataFrame([(q, 0, f"none{q}") for q in range(20)] + [(77, 0, "a")], "query_id long, qpos int, term string")
+    df = retrieve(index, queries, 3, Dirichlet(), spark=spark)
+    hits = sorted(map(tuple, df.collect()))
+    assert [h for h in hits if h[0] < 20] == [(q, n + 1, n, 0.0) for q in range(20) for n in range(3)] and len(hits) == 63
+
+
+def test_similar_terms_equal_all_overlaps(spark):
+    """The rarest n-grams find every pair of that similarity."""
+    rng = random.Random(17)
+    words = {"".join(rng.choices("abcd", k=rng.randrange(1, 9))) for _ in range(250)}
+    vocabulary = fuzzy.FuzzyVocabulary.of_terms(spark.createDataFrame([(w,) for w in words], "term string"), 2)
+    asked = spark.createDataFrame([("".join(rng.choices("abcde", k=rng.randrange(1, 9))),) for _ in range(60)], "term string")
+    every = fuzzy.overlaps(asked, vocabulary)
+    for least in (0.1, 0.25, 0.5, 0.75, 1.0):
+        want = {tuple(r) for r in every.where(f"jaccard >= {least}").collect()}
+        assert {tuple(r) for r in fuzzy.similar(asked, vocabulary, least).collect()} == want
