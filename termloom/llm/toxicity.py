@@ -1,12 +1,9 @@
 """Toxicity by nearest labelled examples: exact cosine of weighed TF-IDF in a block-max inverted index.
 
-Features are a text's words (runs of letters, lower-cased), their first four and five letters, and for
-each of these whether it is there twice, three times and so on (LEVELS). All
-those in the examples are the vocabulary, however rare; weights are (1 + ln tf) * idf, times how much the
-feature's presence says about the label: its log-likelihood ratio, less 1, which is what that comes to on
-average where a feature says nothing. A feature that both labels have must tell them apart at the 5 % level
-(CHANCE), which a rare one cannot reach; one that a single label has weighs as it is, from one example
-on. The others weigh nothing. Vectors have length one.
+Features are a text's words (runs of letters, lower-cased). All those in the examples are the vocabulary, and
+all weigh something: (1 + ln tf) * idf, times how much the word's presence says about the label, its
+log-likelihood ratio. Without that factor the nearest examples are those of the same subject and language, whatever their
+label, and votes tell little (figures in the README).
 
 Examples stand in blocks of BLOCK, like by like. For each feature an inverted list holds the examples
 that have it, block by block, with the largest weight in each block. A block's bound is the sum of the
@@ -49,45 +46,34 @@ PER_LABEL = 2000
 NEIGHBOURS = 15
 BLOCK = 64
 PRIOR = 0.5
-#: What the log-likelihood ratio of a feature that says nothing stays below in 95 % of cases (fixed value: chi-square, one degree of freedom).
-CHANCE = 3.84
 #: Blocks that are summed up before any is skipped.
 FIRST = 6
 THRESHOLD = 0.3
 
-#: Lengths of the prefixes, and counts that are features of their own.
-PREFIXES = (4, 5)
-LEVELS = (2, 3, 5, 8)
+#: The least that a word's presence says: one that both labels have alike still weighs something.
+LEAST = 1e-6
 
 #: What stands between words: runs of anything but letters and numbers other than digits.
 _GAP = r"[^\p{L}\p{Nl}\p{No}]+"
 
 
 def _counted(texts: pa.Array, bases: pa.Array | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """Words and their prefixes in whole texts, a batch at a time.
+    """Words in whole texts, a batch at a time.
 
-    Numbers of the texts, in order, numbers of the features in ``bases`` (None: in all those found), how often
+    Numbers of the texts, in order, numbers of the words in ``bases`` (None: in all those found), how often
     each is there, and the bases.
     """
     pieces = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), _GAP)
     of = np.repeat(np.arange(len(texts)), pc.list_value_length(pieces).to_numpy(zero_copy_only=False))
     coded = pieces.flatten().dictionary_encode()
-    words, length = coded.dictionary, pc.utf8_length(coded.dictionary)
-    none = pa.scalar(None, pa.string())
-    starts = [pc.if_else(pc.greater(length, n), pc.binary_join_element_wise("^", pc.utf8_slice_codeunits(words, 0, n), ""), none) for n in PREFIXES]
-    names = pa.concat_arrays([pc.if_else(pc.greater(length, 0), words, none), *starts])
+    words = coded.dictionary
     if bases is None:
-        bases = names.drop_null().unique()
-    number = pc.fill_null(pc.index_in(names, value_set=bases), -1).to_numpy(zero_copy_only=False).reshape(-1, len(words))
-    key, n = np.unique(of * len(words) + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
-    of, word = np.divmod(key, max(1, len(words)))
-    at = number[:, word]
-    key, n = (of * len(bases) + at)[at >= 0], np.broadcast_to(n, at.shape)[at >= 0]
-    order = np.argsort(key, kind="stable")
-    key, n = key[order], n[order]
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
-    of, base = np.divmod(key[first], max(1, len(bases)))
-    return of, base, np.add.reduceat(n, first) if len(first) else n, bases
+        bases = words.filter(pc.greater(pc.utf8_length(words), 0))
+    number = pc.fill_null(pc.index_in(words, value_set=bases), -1).to_numpy(zero_copy_only=False)
+    at = number[coded.indices.to_numpy(zero_copy_only=False)]
+    key, n = np.unique((of * len(bases) + at)[at >= 0], return_counts=True)
+    of, base = np.divmod(key, max(1, len(bases)))
+    return of, base, n, bases
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -97,17 +83,16 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _telling(with_0: np.ndarray, with_1: np.ndarray, n0: float, n1: float) -> np.ndarray:
-    """What features in with_0 of n0 and with_1 of n1 texts say: log-likelihood ratio less 1, or 0 where chance may explain it."""
+    """What words in with_0 of n0 and with_1 of n1 texts say: their log-likelihood ratio; all alike, if there is one label only."""
     def part(k: np.ndarray, n: float, p: np.ndarray) -> np.ndarray:
         with np.errstate(divide="ignore", invalid="ignore"):
             return np.where(k > 0, k * np.log(p), 0) + np.where(n - k > 0, (n - k) * np.log1p(-p), 0)
 
     if not n0 or not n1:
-        return np.zeros(len(with_0))
+        return np.ones(len(with_0))
     p = (with_0 + with_1) / (n0 + n1)
     ratio = 2 * (part(with_0, n0, with_0 / n0) + part(with_1, n1, with_1 / n1) - part(with_0, n0, p) - part(with_1, n1, p))
-    told = (ratio >= CHANCE) | (with_0 == 0) | (with_1 == 0)
-    return np.where(told, np.maximum(0, np.round(ratio - 1, 6)), 0)
+    return np.maximum(LEAST, np.round(ratio, 6))
 
 
 class Neighbours:
@@ -244,26 +229,16 @@ class Neighbours:
 
 
 class Reader:
-    """Counts those of the vocabulary's features in whole texts that weigh something."""
+    """Counts the vocabulary's words in whole texts."""
 
     def __init__(self, model: Neighbours):
-        weighs = {f: j for j, f in enumerate(model.vocabulary) if model.weight_of[j] > 0}
-        # features with their levels, numbered among themselves; -1 where one weighs nothing
-        bases = sorted({f.split("#")[0] for f in weighs})
-        self.bases = pa.array(bases, pa.string())
-        self.levels = np.array([[weighs.get(f if level == 1 else f"{f}#{level}", -1) for f in bases] for level in (1, *LEVELS)], dtype=np.int64)
+        self.words = pa.array(model.vocabulary, pa.string())
 
     def __call__(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each text the numbers of its features, and how often each is there."""
-        of, base, n, _ = _counted(texts, self.bases)
-        reached = [np.flatnonzero(n >= level) for level in LEVELS]
-        features = np.concatenate([self.levels[0][base], *(level[base[r]] for level, r in zip(self.levels[1:], reached))])
-        times = np.concatenate((n, np.ones(len(features) - len(n), dtype=np.int64)))
-        of = np.concatenate([of, *(of[r] for r in reached)])
-        order = np.flatnonzero(features >= 0)
-        order = order[np.argsort(of[order], kind="stable")]
-        cuts = np.searchsorted(of[order], np.arange(1, len(texts)))
-        return list(zip(np.split(features[order], cuts), np.split(times[order], cuts)))
+        """For each text the numbers of its words, and how often each is there."""
+        of, words, n, _ = _counted(texts, self.words)
+        cuts = np.searchsorted(of, np.arange(1, len(texts)))
+        return list(zip(np.split(words, cuts), np.split(n, cuts)))
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, k: int = NEIGHBOURS) -> Neighbours:
@@ -289,10 +264,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, k: int
             # each text by itself: its features are all it has
             for i in range(b.num_rows):
                 _, base, n, bases = _counted(b.column(1).slice(i, 1))
-                found = [bases.take(pa.array(base))] + [pc.binary_join_element_wise(bases.take(pa.array(base[n >= level])), str(level), "#") for level in LEVELS]
-                times = np.ones(sum(map(len, found)), dtype=np.int64)
-                times[: len(n)] = n
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([pa.concat_arrays(found)], pa.list_(pa.string())), pa.array([times], pa.list_(pa.int64()))], ["doc_id", "names", "counts"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([bases.take(pa.array(base))], pa.list_(pa.string())), pa.array([n], pa.list_(pa.int64()))], ["doc_id", "names", "counts"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     rows = texts.mapInArrow(count, f"doc_id {kind}, names array<string>, counts array<long>").toArrow()

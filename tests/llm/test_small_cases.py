@@ -634,22 +634,20 @@ def test_toxicity_of_repeated_rows(spark):
 
 def test_toxicity_reads_words_as_a_plain_loop_does():
     texts = [None, "", "  ", "One one ONE, two-two_two 3four 5", "häuser Häuser déjà х" * 3, "abcdef " * 9 + "abcdeg", "²x ½ Ⅷ"]
-    want = []
-    for t in texts:
-        words = Counter(re.findall(r"[^\W\d_]+", (t or "").lower()))
-        plain = Counter(words)
-        for w, n in words.items():
-            for k in toxicity.PREFIXES:
-                if len(w) > k:
-                    plain[f"^{w[:k]}"] += n
-        for f, n in list(plain.items()):
-            plain.update(f"{f}#{level}" for level in toxicity.LEVELS if n >= level)
-        want.append(plain)
-    bases = sorted({f.split("#")[0] for c in want for f in c})
-    of, base, n, _ = toxicity._counted(pa.array(texts), pa.array(bases))
-    assert list(zip(of, [bases[b] for b in base], n)) == sorted((i, f, k) for i, c in enumerate(want) for f, k in c.items() if "#" not in f)
-    names = sorted({f for c in want for f in c})
+    want = [Counter(re.findall(r"[^\W\d_]+", (t or "").lower())) for t in texts]
+    names = sorted({w for c in want for w in c})
+    of, base, n, _ = toxicity._counted(pa.array(texts), pa.array(names))
+    assert list(zip(of, [names[b] for b in base], n)) == sorted((i, w, k) for i, c in enumerate(want) for w, k in c.items())
     model = toxicity.Neighbours([1], np.arange(len(names)), np.ones(len(names)), np.array([0, len(names)]), [1], names)
-    model.weight_of = np.ones(len(names))
+    assert (model.weight_of > 0).all()
     read = [Counter({names[f]: k for f, k in zip(*found)}) for found in toxicity.Reader(model)(pa.array(texts))]
     assert read == want
+
+
+def test_every_word_of_the_examples_weighs():
+    """Words of one label, of both alike, and of one example alone."""
+    rng = np.random.default_rng(4)
+    with_0, with_1 = rng.integers(0, 9, 300), rng.integers(0, 4, 300)
+    told = toxicity._telling(with_0, with_1, 500, 2000)
+    assert (told > 0).all() and toxicity._telling(np.array([50]), np.array([200]), 500, 2000)[0] == toxicity.LEAST
+    assert told[(with_0 == 0) & (with_1 == 1)].min() > 0.01 and (toxicity._telling(with_0, with_1, 0, 10) == 1).all()
