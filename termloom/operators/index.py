@@ -34,6 +34,11 @@ def _array_length(terms: Column) -> Column:
     return F.coalesce(F.size(terms), F.lit(0)).cast("long")
 
 
+def _once(docs: DataFrame) -> DataFrame:
+    """``docs`` with terms that are made once a row: the optimiser copies an expression into all its uses, but not through a generator."""
+    return docs.select("doc_id", F.explode(F.array("terms")).alias("terms"))
+
+
 @dataclass(frozen=True)
 class CorpusStats:
     n_docs: int
@@ -86,7 +91,8 @@ class LexicalIndex:
         if self._postings is not None:
             held = self._of_terms(self._postings)
             return held if wanted is None else held.join(wanted, "term", "left_semi")
-        tokens = self._of_terms(self._docs.select("doc_id", _array_length(F.col("terms")).alias("doc_len"), F.explode("terms").alias("term")))
+        measured = _once(self._docs).withColumn("doc_len", _array_length(F.col("terms")))
+        tokens = self._of_terms(measured.select("doc_id", "doc_len", F.explode("terms").alias("term")))
         if wanted is not None:
             tokens = tokens.join(wanted, "term", "left_semi")
         return tokens.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
@@ -121,6 +127,9 @@ class LexicalIndex:
         return self.doc_stats().select("doc_id")
 
     def terms(self) -> DataFrame:
+        """term of all live documents; over raw documents only terms shuffle, not postings."""
+        if self._docs is not None:
+            return self._of_terms(_once(self._docs).select(F.explode("terms").alias("term"))).distinct()
         return self.term_stats().select("term")
 
     def postings_list(self, term: str) -> DataFrame:
