@@ -55,7 +55,8 @@ class FuzzyVocabulary:
 def _grams(terms: DataFrame, k: int) -> DataFrame:
     if k < 1:
         raise InvalidFuzzyConfigError("n-grams need at least one character")
-    made = terms.select("term", char_grams(F.col("term"), k).alias("grams")).withColumn("n_grams", F.size("grams"))
+    # the outer array is a generator's, so that n-grams are made once a term and not for each of their uses
+    made = terms.select("term", F.explode(F.array(char_grams(F.col("term"), k))).alias("grams")).withColumn("n_grams", F.size("grams"))
     return made.select("term", "n_grams", F.explode("grams").alias("gram"))
 
 
@@ -77,10 +78,10 @@ def _pairs(terms: DataFrame, vocabulary: FuzzyVocabulary, min_jaccard: float) ->
     rarest = Window.partitionBy("term").orderBy("df", "gram")
     # a hair less than the product, so that rounding never asks for one n-gram too many
     needed = F.ceil(F.col("n_asked") * min_jaccard - 1e-9)
-    some = asked.join(counted, "gram").withColumn("place", F.row_number().over(rarest))
+    some = asked.join(counted, "gram").withColumn("place", F.row_number().over(rarest)).withColumn("seen", F.count("*").over(Window.partitionBy("term")))
     # n-grams that no candidate has are the rarest of all: they take places as well
-    unseen = asked.groupBy("term").agg(F.first("n_asked").alias("n")).join(some.groupBy("term").agg(F.count("*").alias("seen")), "term").select(F.col("term").alias("t"), (F.col("n") - F.col("seen")).alias("unseen"))
-    kept = some.join(unseen, F.col("term") == F.col("t")).where(F.col("place") + F.col("unseen") <= F.col("n_asked") - needed + 1).select("term", "gram", "n_asked")
+    unseen = F.col("n_asked") - F.col("seen")
+    kept = some.where(F.col("place") + unseen <= F.col("n_asked") - needed + 1).select("term", "gram", "n_asked")
     known = vocabulary.grams.select(F.col("term").alias("candidate"), "gram", "n_grams")
     fits = (F.col("n_grams") >= F.col("n_asked") * min_jaccard - 1e-9) & (F.col("n_grams") * min_jaccard - 1e-9 <= F.col("n_asked"))
     return known.join(kept, "gram").where(fits & (F.col("candidate") != F.col("term"))).select("term", "candidate").distinct()
@@ -108,12 +109,13 @@ def unknown_terms(index: LexicalIndex, queries: DataFrame) -> DataFrame:
     return queries.select("term").distinct().join(index.term_stats(queries), "term", "left_anti")
 
 
-def expand_queries(index: LexicalIndex, vocabulary: FuzzyVocabulary, queries: DataFrame, config: FuzzyConfig = FuzzyConfig()) -> DataFrame:
+def expand_queries(index: LexicalIndex, vocabulary: FuzzyVocabulary, queries: DataFrame, config: FuzzyConfig = FuzzyConfig(), unknown: DataFrame | None = None) -> DataFrame:
     """query_id, qpos, term: each query's terms in order without repetition, then those its unknown terms expand to.
 
-    Settings are only looked at if a term is unknown.
+    ``unknown`` (term) are the unknown terms of the queries, where the caller has looked already. Settings
+    are only looked at if a term is unknown.
     """
-    unknown = unknown_terms(index, queries)
+    unknown = unknown_terms(index, queries) if unknown is None else unknown
     if config.k < 1 and unknown.take(1):
         raise InvalidFuzzyConfigError("n-grams need at least one character")
     more = expand_terms(unknown, vocabulary, config)
@@ -132,9 +134,13 @@ def fuzzy_retrieve(index: LexicalIndex, vocabulary: FuzzyVocabulary, query: list
     expansion runs once and its terms are pushed into the scan.
     """
     spark = spark or index.doc_stats().sparkSession
-    expanded = expand_queries(index, vocabulary, as_queries(spark, query), config)
+    queries = as_queries(spark, query)
     if isinstance(query, DataFrame):
-        return retrieve(index, expanded, k, spark=spark, **how)
+        return retrieve(index, expand_queries(index, vocabulary, queries, config), k, spark=spark, **how)
+    # the driver's own terms: those that are unknown become literals, as the others are
+    unknown = [F.lit(r.term) for r in unknown_terms(index, queries).collect()]
+    few = spark.range(1).select(F.explode(F.array(*unknown)).alias("term")) if unknown else spark.createDataFrame([], "term string")
+    expanded = expand_queries(index, vocabulary, queries, config, few)
     lists: dict[int, list[str]] = {}
     for r in expanded.orderBy("query_id", "qpos").collect():
         lists.setdefault(r.query_id, []).append(r.term)

@@ -10,7 +10,7 @@ import termloom.operators.retrieve
 from termloom.errors import EmptyIndexError, EmptyQueryError, InvalidFuzzyConfigError
 from termloom.functions.scoring import Bm25, Dirichlet, JelinekMercer, TfIdf
 from termloom.operators import fuzzy
-from termloom.operators.index import LexicalIndex
+from termloom.operators.index import LexicalIndex, tokenised
 from termloom.operators.retrieve import IndexRetriever, as_queries, candidates, plan_candidates, retrieve, score_documents
 from termloom.sources import snapshot
 
@@ -265,3 +265,12 @@ def test_similar_terms_equal_all_overlaps(spark):
     for least in (0.1, 0.25, 0.5, 0.75, 1.0):
         want = {tuple(r) for r in every.where(f"jaccard >= {least}").collect()}
         assert {tuple(r) for r in fuzzy.similar(asked, vocabulary, least).collect()} == want
+
+
+def test_documents_are_tokenised_once(spark):
+    texts = spark.createDataFrame([(1, "a b a"), (2, ""), (3, None), (4, " c\tb ")], "doc_id long, text string").repartition(2)
+    index = LexicalIndex.build(tokenised(texts))
+    for table in (index.postings(), index.terms()):
+        assert table._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert sorted(map(tuple, index.postings().collect())) == [("a", 1, 2, 3), ("b", 1, 1, 3), ("b", 4, 1, 2), ("c", 4, 1, 2)]
+    assert sorted(r.term for r in index.terms().collect()) == ["a", "b", "c"]
