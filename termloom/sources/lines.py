@@ -2,7 +2,8 @@
 
 A file is read in splits. Lines end at \\n, a \\r before it goes with it, and a last line end starts no new line. A
 line's number is its place in its split plus the lines of all earlier splits, of which there is one count a
-split; so no file has to fit into one row or one task.
+split; so no file has to fit into one row or one task. A corpus can be a folder: its files follow one another by path,
+so that several tasks can write it.
 """
 
 from __future__ import annotations
@@ -43,11 +44,19 @@ def _few(spark: SparkSession, folder: Folder, name: str) -> bool:
     return files + size // of_split + spark.sparkContext.defaultParallelism <= MOST_SPLITS
 
 
+def _before(rows: DataFrame, order: str, *within: str) -> DataFrame:
+    """``rows`` with ``before``, the sum of ``n`` over the rows that precede them."""
+    frame = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("before", F.coalesce(F.sum("n").over(frame), F.lit(0)))
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """pos, line of a file. Of a folder's files each is numbered from 0."""
+    """pos, line of a file, or of a folder's files as one sequence, in order of their paths."""
     rows = scanned(spark, path)
-    before = F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = _splits(rows).withColumn("before", F.coalesce(before, F.lit(0)))
+    splits = _splits(rows)
+    files = _before(splits.groupBy("file").agg(F.sum("n").alias("n")), "file").select("file", F.col("before").alias("earlier"))
+    inside = _before(splits, "start", "file")
+    offsets = inside.join(files, "file").select("file", "start", "first", (F.col("before") + F.col("earlier")).alias("before"))
     return _with_offsets(rows, offsets, _few(spark, Folder(spark, path), "")).select("pos", "line")
 
 

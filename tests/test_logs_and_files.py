@@ -13,6 +13,7 @@ from termloom.operators import oplog
 from termloom.operators.index import LexicalIndex
 from termloom.operators.retrieve import retrieve
 from termloom.operators.scan import numbered, running
+from termloom.plans import catalog
 from termloom.sources import lines, snapshot
 from termloom.sources.files import Folder
 from termloom.sources.log_parts import LogParts
@@ -71,6 +72,30 @@ def test_line_corpus(spark, tmp_path):
     assert sorted(r.x for r in only.collect()) == [[], ["a", "b"]]
 
 
+def test_a_folder_is_one_line_corpus(spark, tmp_path):
+    for name, content in (("b", "3\n4"), ("a", "0\n1\n2\n"), ("c", ""), ("d", "5\n")):
+        (tmp_path / f"{name}.txt").write_text(content)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3")
+    try:
+        rows = lines.read_corpus(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r.doc_id, *r.terms) for r in rows) == [(n, str(n)) for n in range(6)]
+
+
+def test_no_task_writes_the_whole_line_corpus(spark, tmp_path):
+    big = spark.range(4000).select(F.col("id").alias("doc_id"), F.expr("repeat(cast(id as string), 30)").alias("text"))
+    big.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        path = catalog._line_corpus(spark, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(Folder(spark, path).names()) > 2
+    assert lines.read_lines(spark, path).where(F.expr("line <> repeat(cast(pos as string), 30)")).count() == 0
+    assert lines.read_lines(spark, path).count() == 4000
+
+
 def test_snapshot_round_trip(spark, tmp_path):
     index = LexicalIndex.build(spark.createDataFrame([(1, ["a", "b", "a"]), (2, []), (3, ["b"])], DOCS))
     root = f"file://{tmp_path}/saved"
