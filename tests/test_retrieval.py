@@ -274,3 +274,25 @@ def test_documents_are_tokenised_once(spark):
         assert table._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
     assert sorted(map(tuple, index.postings().collect())) == [("a", 1, 2, 3), ("b", 1, 1, 3), ("b", 4, 1, 2), ("c", 4, 1, 2)]
     assert sorted(r.term for r in index.terms().collect()) == ["a", "b", "c"]
+
+
+def test_large_batches_are_dealt_by_document(spark, monkeypatch):
+    rows = [(n, [f"t{n % 7}", "the", f"t{n % 3}", "the"][: n % 5]) for n in range(60)]
+    index = lambda: LexicalIndex.build(spark.createDataFrame(rows, "doc_id long, terms array<string>"))
+    asked = spark.createDataFrame([(q, i, t) for q in range(5) for i, t in enumerate(["the", f"t{q}", "t1", "zz"])], "query_id long, qpos int, term string")
+    found = lambda p: [tuple(r) for r in retrieve(index(), asked, 4, p, spark=spark).orderBy("query_id", "rank").collect()]
+    every = (Bm25(), TfIdf(), Dirichlet())
+    plain = [found(p) for p in every]
+    monkeypatch.setattr(termloom.operators.retrieve, "PAIRS", 20)
+    assert [found(p) for p in every] == plain
+    scored = termloom.operators.retrieve.scores(index(), asked)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in scored and "hashpartitioning(query_id" not in scored.split("hashpartitioning(doc_id")[0]
+
+
+def test_rows_are_counted_without_a_shuffle_if_ids_are_unique(spark):
+    rows = [(1, ["a", "b", "a"]), (2, []), (3, None), (4, ["b", None, None, "c"])]
+    once = LexicalIndex.build(spark.createDataFrame(rows, "doc_id long, terms array<string>"))
+    twice = LexicalIndex.build(spark.createDataFrame([*rows, (1, ["b", "a", "c"])], "doc_id long, terms array<string>"))
+    told = lambda df: sorted(map(repr, df.select("term", "doc_id", "tf", "doc_len").collect()))
+    assert told(once.counted()) == told(once.postings()) and told(twice.counted()) == told(twice.postings())
+    assert "Exchange" not in once.counted()._jdf.queryExecution().executedPlan().toString()
