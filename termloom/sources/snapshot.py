@@ -25,12 +25,17 @@ from .files import Folder
 POINTER = "CURRENT"
 GONE = "doc_id long"
 MOST_DELTAS, BASE_SHARE = 8, 0.25
+#: Merged deltas of at most so many documents are written by one task.
+FEW_DOCS = 10_000
+#: Ids of changed documents that are broadcast, some 64 bytes each.
+MOST_BROADCAST = 1_000_000
 
 
 def _write(index: LexicalIndex, base: str, few: bool = False) -> None:
     """Postings by term and documents by id; in one file each if they are few."""
-    postings, docs = index.postings(), index.doc_stats()
-    ordered = (postings.coalesce(1), docs.coalesce(1)) if few else (postings.repartitionByRange("term"), docs.repartitionByRange("doc_id"))
+    # counted row by row, postings shuffle once, into their ranges; those of a frequent term can fill several
+    postings, docs = index.counted(), index.doc_stats()
+    ordered = (postings.coalesce(1), docs.coalesce(1)) if few else (postings.repartitionByRange("term", "doc_id"), docs.repartitionByRange("doc_id"))
     ordered[0].sortWithinPartitions("term", "doc_id").write.parquet(f"{base}/postings")
     ordered[1].sortWithinPartitions("doc_id").write.parquet(f"{base}/doc_stats")
 
@@ -50,12 +55,15 @@ def write_version(index: LexicalIndex, spark: SparkSession, root: str) -> dict:
     return _pointer(version, s.n_docs, s.total_len, [])
 
 
-def _live(parts: list[DataFrame], gone: list[DataFrame]) -> DataFrame:
-    """Rows of parts, the oldest first, without those whose document a later part has in ``gone`` (one for each part but the first)."""
+def _live(parts: list[DataFrame], gone: list[DataFrame], n_gone: int) -> DataFrame:
+    """Rows of parts, the oldest first, without those whose document a later part has in ``gone`` (one for each part but the first).
+
+    There are ``n_gone`` ids; unless they are very many they go to the rows, which stay where they are.
+    """
     stacked = [p.withColumn("__part", F.lit(n)) for n, p in enumerate(parts)]
     ids = [g.withColumn("__part", F.lit(n + 1)) for n, g in enumerate(gone)]
     last = reduce(DataFrame.unionByName, ids).groupBy("doc_id").agg(F.max("__part").alias("__gone"))
-    joined = reduce(DataFrame.unionByName, stacked).join(last, "doc_id", "left")
+    joined = reduce(DataFrame.unionByName, stacked).join(F.broadcast(last) if n_gone <= MOST_BROADCAST else last, "doc_id", "left")
     return joined.where("__gone IS NULL OR __part >= __gone").select(*parts[0].columns)
 
 
@@ -65,7 +73,8 @@ def read_version(spark: SparkSession, root: str, pointer: dict) -> LexicalIndex:
     every = [pointer["version"], *deltas]
     if deltas:
         gone = [table(d, "gone", GONE) for d in deltas]
-        index = LexicalIndex(postings=_live([table(v, "postings", POSTINGS) for v in every], gone), doc_stats=_live([table(v, "doc_stats", DOC_STATS) for v in every], gone))
+        n_gone = sum(d["rows"] for d in pointer["deltas"])
+        index = LexicalIndex(postings=_live([table(v, "postings", POSTINGS) for v in every], gone, n_gone), doc_stats=_live([table(v, "doc_stats", DOC_STATS) for v in every], gone, n_gone))
     else:
         v = pointer["version"]
         index = LexicalIndex(postings=table(v, "postings", POSTINGS), doc_stats=table(v, "doc_stats", DOC_STATS), term_stats=table(v, "term_stats", TERM_STATS))
@@ -103,21 +112,22 @@ def write_delta(spark: SparkSession, root: str, pointer: dict, docs: DataFrame,
     if rows > BASE_SHARE * max(out["n_docs"], 1) and len(out["deltas"]) > 1 or rows > max(out["n_docs"], MOST_DELTAS):
         merged = write_version(read_version(spark, root, out), spark, root)
     elif len(out["deltas"]) >= MOST_DELTAS:
-        merged = _merged(spark, root, out, few)
+        merged = _merged(spark, root, out, rows)
     else:
         return out
     Folder(spark, root).delete(version)  # no pointer names it
     return merged
 
 
-def _merged(spark: SparkSession, root: str, pointer: dict, few: bool) -> dict:
-    """The same index with its deltas merged into one."""
+def _merged(spark: SparkSession, root: str, pointer: dict, rows: int) -> dict:
+    """The same index with its deltas, of ``rows`` changed documents, merged into one."""
     version = f"d-{uuid.uuid4().hex}"
     base = f"{root.rstrip('/')}/{version}"
     table = lambda d, name, schema: spark.read.schema(schema).parquet(f"{root.rstrip('/')}/{d['version']}/{name}")
     deltas = pointer["deltas"]
     gone = [table(d, "gone", GONE) for d in deltas]
-    live = lambda name, schema: _live([table(d, name, schema) for d in deltas], gone[1:])
+    few = rows <= FEW_DOCS
+    live = lambda name, schema: _live([table(d, name, schema) for d in deltas], gone[1:], rows)
     _write(LexicalIndex(postings=live("postings", POSTINGS), doc_stats=live("doc_stats", DOC_STATS)), base, few)
     ids = reduce(DataFrame.unionByName, gone).distinct()
     (ids.coalesce(1) if few else ids).write.parquet(f"{base}/gone")
