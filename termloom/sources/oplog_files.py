@@ -30,6 +30,9 @@ from . import snapshot
 from .files import Folder
 from .log_parts import LogParts
 
+#: Changes of at most so many records are written by one task, in one file each.
+FEW_RECORDS = 10_000
+
 _RECORD = "seq long, op string, doc_id long, terms array<string>, _broken string"
 
 
@@ -183,10 +186,10 @@ class OpLog:
     def _pointer(self, commit: dict | None, rest: DataFrame, few: bool = False) -> dict:
         """A snapshot of the commit's with the ops ``rest`` applied."""
         if commit is None:
-            return snapshot.write_version(LexicalIndex.build(oplog.replay(rest)), self.spark, self.folder.root)
+            return snapshot.write_version(LexicalIndex.build(oplog.replay(rest), unique=True), self.spark, self.folder.root)
         return snapshot.write_delta(self.spark, self.folder.root, commit["pointer"], oplog.replay(rest), rest.select("doc_id"), few)
 
-    def _advance(self, append, durable: bool, few: bool) -> None:
+    def _advance(self, append, durable: bool) -> None:
         """Logs records by ``append(parts, known)`` and commits what the log then holds beyond the checkpoint."""
         commit = self._current()
         rest, applied = self._suffix(commit)
@@ -201,8 +204,10 @@ class OpLog:
             last = parts.last(meta.get("applied_parts") or 0)
             rest, applied = self._suffix(commit, last=last)
             rest = rest.persist()
-            n = applied + rest.count()
-            pointer = self._pointer(commit, rest, few)
+            waiting = rest.count()
+            n = applied + waiting
+            # a single op takes up all that waits, which can be a whole log
+            pointer = self._pointer(commit, rest, waiting <= FEW_RECORDS)
             rest.unpersist()
             if self._try_commit(commit, parts.name, pointer, {"applied_records": n, "applied_parts": last, "base": meta.get("base")}, durable):
                 return
@@ -224,15 +229,15 @@ class OpLog:
         self.folder.publish(parts.part(last), f"{parts.name}/.torn-{uuid.uuid4().hex}")
 
     def add(self, doc_id: int, text: str, durable: bool = False) -> None:
-        self._advance(lambda parts, known: parts.append("add", doc_id, text.split(), known, durable), durable, True)
+        self._advance(lambda parts, known: parts.append("add", doc_id, text.split(), known, durable), durable)
 
     def delete(self, doc_id: int, durable: bool = False) -> None:
         """Logged even if the document is not there."""
-        self._advance(lambda parts, known: parts.append("delete", doc_id, None, known, durable), durable, True)
+        self._advance(lambda parts, known: parts.append("delete", doc_id, None, known, durable), durable)
 
     def append(self, ops: DataFrame, durable: bool = False) -> None:
         """Logs a batch of ops (seq, op, doc_id, terms), in order of seq, as one part, and applies it."""
-        self._advance(lambda parts, known: parts.append_all(ops, known), durable, False)
+        self._advance(lambda parts, known: parts.append_all(ops, known), durable)
 
     def log_only(self, ops: DataFrame) -> None:
         """Logs a batch that no checkpoint takes up yet."""
@@ -295,7 +300,7 @@ class OpLog:
             fresh = LogParts(self.spark, self.folder, f"{self.log_name}-{uuid.uuid4().hex}")
             part = fresh.append_all(self._state(commit, strict).select(F.col("doc_id").alias("seq"), F.lit("add").alias("op"), "doc_id", "terms"))
             kept = parse_strict(fresh.lines())
-            pointer = snapshot.write_version(LexicalIndex.build(oplog.replay(kept)), self.spark, self.folder.root)
+            pointer = snapshot.write_version(LexicalIndex.build(oplog.replay(kept), unique=True), self.spark, self.folder.root)
             if self._try_commit(commit, fresh.name, pointer, {"applied_records": pointer["n_docs"], "applied_parts": part, "base": None}, durable):
                 return pointer["n_docs"]
             self.folder.delete(fresh.name)

@@ -110,6 +110,22 @@ def test_snapshot_round_trip(spark, tmp_path):
         snapshot.load(spark, f"file://{tmp_path}/nowhere")
 
 
+def test_a_single_op_after_a_large_batch_is_not_one_task(spark, tmp_path):
+    log = OpLog(spark, f"file://{tmp_path}")
+    batch = spark.range(1, 12_001).select(F.col("id").alias("seq"), F.lit("add").alias("op"), F.col("id").alias("doc_id"), F.array(F.col("id").cast("string")).alias("terms"))
+    log.append(oplog.prefix(batch, 10))
+    log.log_only(oplog.suffix(batch, 10))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        log.add(7, "x")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = {n: len([f for f in os.listdir(tmp_path / n / "doc_stats") if f.endswith(".parquet")]) for n in os.listdir(tmp_path) if n.startswith(("d-", "v-"))}
+    assert max(files.values()) > 1
+    assert log.checkpoint_index().scalars().n_docs == 12_000
+    assert log.checkpoint_index().postings_list("x").collect() == [(7, 1)]
+
+
 def test_log_lost_meta_is_found_and_repaired(spark, tmp_path):
     log = OpLog(spark, f"file://{tmp_path}")
     assert log.status().first().asDict() == {"checkpoint": False, "meta": False, "log": False, "records": 0, "applied": 0, "pending": 0}
