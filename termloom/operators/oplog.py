@@ -57,6 +57,13 @@ def digest(state: DataFrame) -> DataFrame:
     return state.select(mark.alias("m"), mark2.alias("m2")).agg(F.count("*").alias("n_docs"), F.coalesce(F.bit_xor("m"), zero).alias("mark"), F.coalesce(F.bit_xor("m2"), zero).alias("mark2"))
 
 
+def _marked(ops: DataFrame) -> DataFrame:
+    """seq, doc_id, now: what each op's document adds to a digest, nothing if it is deleted."""
+    zero, live = F.lit(0).cast("long"), F.col("op") == "add"
+    mark, mark2 = _marks(F.col("doc_id"), F.col("terms"))
+    return ops.select("seq", "doc_id", F.struct(live.cast("long").alias("n"), F.when(live, mark).otherwise(zero).alias("m"), F.when(live, mark2).otherwise(zero).alias("m2")).alias("now"))
+
+
 def digests_by_prefix(ops: DataFrame, n: int | None = None, width: int = WIDTH) -> DataFrame:
     """seq, n_docs, mark, mark2: the digest after every op, without replaying any prefix.
 
@@ -65,10 +72,12 @@ def digests_by_prefix(ops: DataFrame, n: int | None = None, width: int = WIDTH)
     the stretch, and its first op of a stretch takes over from its last one before; so neither the log nor a document
     with many ops is gathered in one task. ``n`` is the log's length, if known.
     """
-    n = ops.count() if n is None else n
-    zero, live = F.lit(0).cast("long"), F.col("op") == "add"
-    mark, mark2 = _marks(F.col("doc_id"), F.col("terms"))
-    marked = ops.select("seq", "doc_id", F.expr(f"(seq - 1) div {width}").alias("part"), F.struct(live.cast("long").alias("n"), F.when(live, mark).otherwise(zero).alias("m"), F.when(live, mark2).otherwise(zero).alias("m2")).alias("now"))
+    return _digests(_marked(ops), ops.count() if n is None else n, width)
+
+
+def _digests(marks: DataFrame, n: int, width: int = WIDTH) -> DataFrame:
+    zero = F.lit(0).cast("long")
+    marked = marks.withColumn("part", F.expr(f"(seq - 1) div {width}"))
     inside = Window.partitionBy("part", "doc_id").orderBy("seq")
     former = marked.withColumn("former", F.lag("now").over(inside)).withColumn("first", F.row_number().over(inside) == 1)
     lasts = marked.groupBy("part", "doc_id").agg(F.max_by("now", "seq").alias("last"))
@@ -82,15 +91,26 @@ def digests_by_prefix(ops: DataFrame, n: int | None = None, width: int = WIDTH)
 
 
 def infer_applied(ops: DataFrame, state: DataFrame, max_scan: int | None = None) -> int | None:
-    """The longest prefix of the log that gives ``state``; None if there is none. Longer logs than ``max_scan`` are refused."""
-    n = ops.count()
+    """The longest prefix of the log that gives ``state``; None if there is none. Longer logs than ``max_scan`` are refused.
+
+    The log is read and hashed once: the passes over it use the stored hashes, some 40 bytes a record.
+    """
+    marks = _marked(ops).persist()
+    try:
+        return _applied_by(marks, state, max_scan)
+    finally:
+        marks.unpersist()
+
+
+def _applied_by(marks: DataFrame, state: DataFrame, max_scan: int | None) -> int | None:
+    n = marks.count()
     if max_scan is not None and n > max_scan:
         raise ValueError(f"the log has {n} records, more than {max_scan}")
     goal = digest(state).first()
     if not goal["n_docs"] and not n:
         return 0
     equal = [F.col(c) == goal[c] for c in ("n_docs", "mark", "mark2")]
-    hit = digests_by_prefix(ops, n).where(equal[0] & equal[1] & equal[2]).agg(F.max("seq")).first()[0]
+    hit = _digests(marks, n).where(equal[0] & equal[1] & equal[2]).agg(F.max("seq")).first()[0]
     return hit if hit is not None else 0 if not goal["n_docs"] else None
 
 

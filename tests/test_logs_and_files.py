@@ -60,6 +60,19 @@ def test_digests_of_prefixes_equal_replays(spark):
         oplog.infer_applied(ops, oplog.replay(ops), max_scan=3)
 
 
+def test_a_prefix_is_found_with_one_reading_of_the_log(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    ops = ops_of(spark, ROWS).mapInArrow(seen, oplog.OPS)
+    assert oplog.infer_applied(ops, oplog.replay(oplog.prefix(ops_of(spark, ROWS), 5))) == 6
+    assert read.value == len(ROWS)
+
+
 def test_line_corpus(spark, tmp_path):
     path = tmp_path / "c.txt"
     for content, want in (
