@@ -11,7 +11,7 @@ from termloom.errors import LogStateError
 from termloom.functions.text import whitespace_tokens
 from termloom.operators import oplog
 from termloom.operators.index import LexicalIndex
-from termloom.operators.retrieve import retrieve
+from termloom.operators.retrieve import _matched, _weighted, as_queries, retrieve
 from termloom.operators.scan import numbered, running
 from termloom.plans import catalog
 from termloom.sources import lines, snapshot
@@ -109,6 +109,26 @@ def test_no_task_writes_the_whole_line_corpus(spark, tmp_path):
     assert lines.read_lines(spark, path).count() == 4000
 
 
+def test_no_task_gets_all_postings_of_a_searched_term(spark, tmp_path):
+    """The command line's index of a corpus of lines, with one term in all of them."""
+    (tmp_path / "lines.txt").write_text("".join(f"the {n}\n" for n in range(4000)))
+    root = f"file://{tmp_path}/saved"
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        cli.run(cli.parser().parse_args(["index", "-i", f"file://{tmp_path}/lines.txt", "-o", root]), spark)
+        index = snapshot.load(spark, root).restricted(["the"])
+        queries = as_queries(spark, ["the"])
+        tasks = _matched(index, queries, _weighted(index, queries)).groupBy(F.spark_partition_id()).count().collect()
+        best = retrieve(snapshot.load(spark, root), ["the"], 3, spark=spark).collect()
+    finally:
+        for k in held:
+            spark.conf.unset(k)
+    assert sum(t["count"] for t in tasks) == 4000 and max(t["count"] for t in tasks) < 4000
+    assert [(h.rank, h.doc_id) for h in best] == [(1, 0), (2, 1), (3, 2)]
+
+
 def test_snapshot_round_trip(spark, tmp_path):
     index = LexicalIndex.build(spark.createDataFrame([(1, ["a", "b", "a"]), (2, []), (3, ["b"])], DOCS))
     root = f"file://{tmp_path}/saved"
